@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.llm import mixing, sharding
+from tesserae.llm import mixing, quality, sharding
 
 QUERIES = {
+    "op7_quality_outliers": quality.op7,
     "op8_source_mixing": mixing.op8,
     "op9_hash_tree_sharding": sharding.op9,
 }
