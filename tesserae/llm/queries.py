@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.llm import mixing, quality, sharding, simhash
+from tesserae.llm import mixing, quality, sharding, simhash, substring
 
 QUERIES = {
+    "op2_substring_dedup": substring.op2,
     "op4_simhash_near_dedup": simhash.op4,
     "op7_quality_outliers": quality.op7,
     "op8_source_mixing": mixing.op8,
