@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tesserae.llm import mixing, quality, sharding, simhash, substring
+from tesserae.llm import bpe, mixing, quality, sharding, simhash, substring
 
 QUERIES = {
     "op2_substring_dedup": substring.op2,
     "op4_simhash_near_dedup": simhash.op4,
+    "op6_byte_bpe": bpe.op6,
     "op7_quality_outliers": quality.op7,
     "op8_source_mixing": mixing.op8,
     "op9_hash_tree_sharding": sharding.op9,
