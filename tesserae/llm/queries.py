@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, mixing, quality, sharding, simhash, substring
+from tesserae.llm import bpe, mixing, quality, sharding, simhash, substring, token_count
 
 QUERIES = {
     "op2_substring_dedup": substring.op2,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_quality_outliers": quality.op7,
     "op8_source_mixing": mixing.op8,
     "op9_hash_tree_sharding": sharding.op9,
+    "op10_token_counts": token_count.op10,
 }
 
 ORACLE_SQL = {
