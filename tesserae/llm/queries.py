@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, mixing, quality, sharding, simhash, substring, token_count
+from tesserae.llm import bpe, mixing, quality, sharding, simhash, substring, token_count, warc
 
 QUERIES = {
     "op2_substring_dedup": substring.op2,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_warc": warc.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_quality_outliers": quality.op7,
     "op8_source_mixing": mixing.op8,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_warc": warc.OP5_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
 }
