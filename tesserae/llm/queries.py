@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, mixing, quality, sharding, simhash, substring, token_count, warc
+from tesserae.llm import bpe, langid, mixing, quality, sharding, simhash, substring, token_count, warc
 
 QUERIES = {
     "op2_substring_dedup": substring.op2,
+    "op3_language_id": langid.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_warc": warc.op5,
     "op6_byte_bpe": bpe.op6,
