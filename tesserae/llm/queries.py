@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, langid, mixing, quality, sharding, simhash, substring, token_count, warc
+from tesserae.llm import bpe, embed_dedup, langid, mixing, quality, sharding, simhash, substring, token_count, warc
 
 QUERIES = {
+    "op1_embedding_near_dedup": embed_dedup.op1,
     "op2_substring_dedup": substring.op2,
     "op3_language_id": langid.op3,
     "op4_simhash_near_dedup": simhash.op4,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_near_dedup": embed_dedup.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
 }
