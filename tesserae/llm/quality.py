@@ -44,7 +44,7 @@ CELLS, DISTANCE_CELLS = 256, 64
 # The words of 3-word windows that occur twice or more. Windows are compared by a 64-bit hash within one text;
 # equal ones stand side by side once sorted, and their places, sorted again, give the words they cover.
 _REPEATED = """
-transform(array(transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2]))), h ->
+transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))), h ->
   if(size(array_distinct(h)) = size(h), 0,
     transform(array(array_sort(transform(h, (x, i) -> struct(x AS x, i AS i)))), s ->
       aggregate(
@@ -53,19 +53,22 @@ transform(array(transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i +
         (a, p) -> struct(a.n + p + 3 - greatest(p, a.done) AS n, p + 3 AS done),
         a -> a.n))[0]))[0]
 """
+# One expression over a variable that holds the words: wherever the optimizer moves or repeats it, words are split once.
+_WORDS = f"transform(array(_w), w -> struct(size(w) AS n, if(size(w) < 3, 0, {_REPEATED}) AS repeated))[0]"
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """The input with the columns of ``BASE`` (all long) and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.drop(*ADDED, "_w", "_l").withColumn("_w", words(F.col("text"))).withColumn("_l", lines)
-    out = out.withColumn("n_words", F.size("_w").cast("long"))
+    out = docs.drop(*ADDED, "_w", "_l").withColumn("_w", words(F.col("text"))).withColumn("_w", F.expr(_WORDS))
+    out = out.withColumn("_l", F.transform(F.array(lines), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))[0])
+    out = out.withColumn("n_words", F.col("_w.n").cast("long"))
     out = out.withColumn("word_chars", (F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))).cast("long"))
     out = out.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
-    out = out.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    out = out.withColumn("n_repeat_words", F.when(F.size("_w") >= 3, F.expr(_REPEATED)).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn("_lines", F.size("_l")).drop("_w", "_l")
+    out = out.withColumn("n_dup_lines", (F.col("_l.n") - F.col("_l.distinct")).cast("long"))
+    out = out.withColumn("n_repeat_words", F.col("_w.repeated").cast("long"))
+    out = out.withColumn("_lines", F.col("_l.n")).drop("_w", "_l")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -184,8 +187,9 @@ def judge(docs: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
 
 def verdict(stats: DataFrame, params: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
     out = _with(stats, params, group).withColumn("distance2", _distance2(True) / F.col("scale"))
-    far = F.coalesce((F.col("distance2") > CUTOFF) & (F.col("group_size") >= LEAST), F.lit(False))
-    out = out.withColumn("kept", ~F.col("base_failed") & ~far)
+    # one sum, not a conjunction: parts of a conjunction would be pushed below the join and take the statistics once more
+    badness = F.coalesce(F.when(F.col("group_size") >= LEAST, F.col("distance2")), F.lit(0.0)) + F.when(F.col("base_failed"), F.lit(1e9)).otherwise(F.lit(0.0))
+    out = out.withColumn("kept", badness <= CUTOFF)
     return out.drop(*[c for c in params.columns if c not in group], *FEATURES)
 
 
