@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters outside this class.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, SparkSession] = {}
 
 
@@ -44,10 +45,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later jobs neither recompute it nor depend on executors that ran it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it again: later jobs neither recompute it nor depend on executors that ran it.
+
+    The shuffle files of the job are deleted as soon as it is done, instead of when the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release_scratch() -> None:

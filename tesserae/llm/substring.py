@@ -9,9 +9,10 @@ A word is removed if a window of ``WINDOW`` consecutive words that covers it als
 2. Only where an anchor's hash occurs twice or more is the window extended to twice that length: the full windows
    that have this anchor. Their hashes are counted, and the first place of each that repeats is kept.
 3. Windows that survive, other than first ones, cover the words to remove. Longer repeats are covered by their full
-   windows, so doubling ends here; ``levels`` goes on to longer windows for those who ask how far repeats reach.
+   windows, so no candidate is left to extend.
 
-Half windows are compared by 64-bit hashes (a collision only adds a candidate), full windows by 128 bits.
+Half windows are compared by 64-bit hashes (a collision only adds a candidate), full windows by 96 bits. Copies of
+whole texts are found beforehand by their digests: all their windows repeat, so only the first needs these levels.
 Frequent hashes are counted before they are shuffled; no hash's places are gathered in one task: the counts are
 joined back to the places by a join whose skewed keys Spark splits.
 
@@ -36,6 +37,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tesserae.llm.common import cut, mix64, pieces, plain, text_bytes
 
 WINDOW = 20
+#: Ids of copied documents that are sent to every task; more are joined by a shuffle.
+MOST_SENT = 1_000_000
+#: The end of a run that covers a whole text of a window's length or more.
+ALL = (1 << 31) - 1
+#: Stands for a null id, before all others.
+NO_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE2 = np.uint64(0xD1B54A32D192ED03 | 1)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -118,7 +125,7 @@ def anchors(words: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 _ANCHORS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+_WINDOWS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("again", pa.bool_())])
 
 
 def _anchor_rows(length: int):
@@ -146,7 +153,8 @@ def _starts(words: Words, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_rows(length: int):
-    """The full windows whose anchor is listed in column ``places``."""
+    """The full windows whose anchor is listed in column ``places``: a hash of 64 bits, another of 32 in one number with the place,
+    and whether the same window starts earlier in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +168,12 @@ def _window_rows(length: int):
                 h = window_hashes(hashes, start, length, _powers)
                 g = window_hashes(words.hashes(_powers2), start, length, _powers2)
                 ids = part.column("doc_id").take(pa.array(text))
-                place = (start - words.first[:-1][text]).astype(np.int32)
-                arrays = [ids, pa.array(place), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=_WINDOWS)
+                place = (g >> np.uint64(32) << np.uint64(32)).view(np.int64) | (start - words.first[:-1][text])
+                again = np.zeros(len(start), bool)
+                order = np.lexsort((start, g, h, text))
+                same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1]) & (text[order][1:] == text[order][:-1])
+                again[order[1:][same]] = True
+                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(place), pa.array(again)], schema=_WINDOWS)
 
     return run
 
@@ -174,7 +185,7 @@ def _covered(words: Words, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _removal_rows(names: list[str], schema: pa.Schema):
+def _removal_rows(names: list[str], schema: pa.Schema, length: int):
     """Texts without the words of the runs in column ``runs`` (of begin and end): what is kept is joined by one space, a text that keeps all is unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +196,8 @@ def _removal_rows(names: list[str], schema: pa.Schema):
                 n = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 text = np.repeat(np.arange(len(n)), n)
                 flat = runs.flatten()
-                begins, ends = (np.minimum(flat.field(k).to_numpy(zero_copy_only=False), words.n[text]) + words.first[:-1][text] for k in (0, 1))
+                short = words.n[text] < length
+                begins, ends = (np.where(short, 0, 1) * np.minimum(flat.field(k).to_numpy(zero_copy_only=False), words.n[text]) + words.first[:-1][text] for k in (0, 1))
                 gone = _covered(words, begins, ends)
                 removed, kept, digests = [], [], []
                 for k, whole in enumerate(part.column("text").to_pylist()):
@@ -205,20 +217,41 @@ def _removal_rows(names: list[str], schema: pa.Schema):
     return run
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id): documents whose text an earlier one has too. All their windows repeat, and none of them is a first one."""
+    each = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").alias("n")).where("n > 0")
+    first = each.groupBy("digest", "n").agg(F.min("doc_id").alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
+    first = first.select(F.col("digest").alias("digest2"), F.col("n").alias("n2"), "f")
+    both = each.join(first, (F.col("digest") == F.col("digest2")) & (F.col("n") == F.col("n2")))
+    return both.where("doc_id > f").select("doc_id").distinct()
+
+
 def repeated_runs(docs: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(doc_id, runs): for each document with words to remove, the runs of words (begin, end) that later windows cover."""
-    places = docs.mapInArrow(_anchor_rows(length), "doc_id bigint, at int, h bigint")
+    """(doc_id, runs): for each document with words to remove, the runs of words (begin, end) that later windows cover.
+
+    Copies of whole texts are settled first; the other documents' windows are judged among themselves. Each step is a job of
+    its own, whose shuffle files are deleted when it is done.
+    """
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    same = cut(copies(docs), "copies")
+    few = same.count() <= MOST_SENT
+    fresh = docs.join(F.broadcast(same), "doc_id", "left_anti") if few else docs
+    places = fresh.mapInArrow(_anchor_rows(length), "doc_id bigint, at int, h bigint")
     counted = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("r"))
     alive = places.join(counted, F.col("h") == F.col("r"), "left_semi")
-    listed = alive.groupBy("doc_id").agg(F.collect_list("at").alias("places")).withColumnRenamed("doc_id", "d")
-    windows = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text", "places")
-    windows = windows.mapInArrow(_window_rows(length), "doc_id bigint, at int, h bigint, g bigint")
-    windows = cut(windows, "windows")
-    first = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("h").alias("h2"), F.col("g").alias("g2"), "f")
-    later = windows.join(first, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
-    later = later.where(~F.struct("doc_id", "at").eqNullSafe(F.col("f"))).select("doc_id", "at")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("s")).select("doc_id", _merged("s", length).alias("runs"))
+    listed = alive.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    listed = cut(listed if few else listed.join(same, "doc_id", "left_anti"), "anchors")
+    windows = docs.join(listed, "doc_id").select("doc_id", "text", "places")
+    windows = windows.mapInArrow(_window_rows(length), "doc_id bigint, h bigint, place bigint, again boolean")
+    check, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    first = windows.where("NOT again").groupBy("h", check.alias("g")).agg(F.min("doc_id").alias("d2"), F.count("*").alias("n")).where("n > 1")
+    first = cut(first.select(F.col("h").alias("h2"), F.col("g").alias("g2"), "d2"), "first-windows")
+    later = windows.join(first, (F.col("h") == F.col("h2")) & (check == F.col("g2")), "left").where("again OR doc_id > d2")
+    runs = later.select("doc_id", at.cast("int").alias("at")).groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("s"))
+    runs = runs.select("doc_id", _merged("s", length).alias("runs"))
+    whole = F.array(F.struct(F.lit(0).alias("begin"), F.lit(ALL).alias("end")))
+    runs = runs.unionByName(same.select("doc_id", whole.alias("runs")))
+    return runs.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "runs")
 
 
 def _merged(column: str, length: int):
@@ -235,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     runs = cut(repeated_runs(docs.select("doc_id", "text"), length), "runs").withColumnRenamed("doc_id", "d")
     both = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
     out = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return both.mapInArrow(_removal_rows(names, to_arrow_schema(out)), out)
+    return both.mapInArrow(_removal_rows(names, to_arrow_schema(out), length), out)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
