@@ -41,6 +41,8 @@ WINDOW = 20
 MOST_SENT = 1_000_000
 #: The end of a run that covers a whole text of a window's length or more.
 ALL = (1 << 31) - 1
+#: Names of columns beside those of the input, which may have any others.
+_ID, _RUNS = "__removal_id", "__removal_runs"
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -186,13 +188,13 @@ def _covered(words: Words, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _removal_rows(names: list[str], schema: pa.Schema, length: int):
-    """Texts without the words of the runs in column ``runs`` (of begin and end): what is kept is joined by one space, a text that keeps all is unchanged."""
+    """Texts without the words of the runs in column ``_RUNS`` (of begin and end): what is kept is joined by one space, a text that keeps all is unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 words = Words(*text_bytes(part.column("text")))
-                runs = part.column("runs")
+                runs = part.column(_RUNS)
                 n = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 text = np.repeat(np.arange(len(n)), n)
                 flat = runs.flatten()
@@ -265,8 +267,8 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """The input with the texts' repeats removed, and n_words, n_removed and kept_sha256 (of the kept words)."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
     docs = docs.select(*names)
-    runs = cut(repeated_runs(docs.select("doc_id", "text"), length), "runs").withColumnRenamed("doc_id", "d")
-    both = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
+    runs = cut(repeated_runs(docs.select("doc_id", "text"), length), "runs").select(F.col("doc_id").alias(_ID), F.col("runs").alias(_RUNS))
+    both = docs.join(runs, F.col("doc_id").eqNullSafe(F.col(_ID)), "left").drop(_ID)
     out = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     return both.mapInArrow(_removal_rows(names, to_arrow_schema(out), length), out)
 

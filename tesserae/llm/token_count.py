@@ -139,21 +139,19 @@ class Counter:
         symbols = self.symbol[np.frombuffer(sequence.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         rank, made = self._ranks(symbols, np.zeros(1, np.int64))
         n = len(symbols)
-        heap = [(r, i, i + 1, m) for i, (r, m) in enumerate(zip(rank.tolist(), made.tolist(), strict=True)) if r < _NEVER]
+        heap = [(r, i, i + 1, m, 0, 0) for i, (r, m) in enumerate(zip(rank.tolist(), made.tolist(), strict=True)) if r < _NEVER]
         heapq.heapify(heap)
         is_now, left, right, version = symbols.tolist(), list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
         alive = bytearray(b"\1") * n
-        seen = {(i, i + 1): (0, 0) for _, i, _, _ in heap}
 
         def push(i: int, j: int) -> None:
             r, m = (x[0] for x in self._pairs(np.array([is_now[i]]), np.array([is_now[j]])))
             if r < _NEVER:
-                seen[i, j] = (version[i], version[j])
-                heapq.heappush(heap, (int(r), i, j, int(m)))
+                heapq.heappush(heap, (int(r), i, j, int(m), version[i], version[j]))
 
         while heap:
-            _, i, j, m = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and right[i] == j) or seen.get((i, j)) != (version[i], version[j]):
+            _, i, j, m, vi, vj = heapq.heappop(heap)
+            if not (alive[i] and alive[j] and right[i] == j and version[i] == vi and version[j] == vj):  # its pair is no more
                 continue
             is_now[i], alive[j] = m, 0
             version[i] += 1
