@@ -101,11 +101,12 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: str = "mix-1") -> DataFrame:
 
     Decisions are joined by key and source; rows that repeat a key get its decision once each.
     """
-    chosen = decide(docs, key, seed).where("copies > 0").select(F.col(key).alias("_k"), F.col("source").alias("_s"), "copies")
-    chosen = chosen.groupBy("_k", "_s").agg(F.min("copies").alias("_n"))
-    out = docs.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")))
-    out = out.where(F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "[^\\x20\\x09-\\x0D]")) > 1)
-    return out.withColumn("_c", F.explode(F.expr("sequence(1, _n)"))).select(*[out[c] for c in docs.columns])
+    chosen = decide(docs, key, seed).where("copies > 0").select(F.col(key).alias("k"), F.col("source").alias("s"), "copies")
+    chosen = chosen.groupBy("k", "s").agg(F.min("copies").alias("n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    out = rows.join(chosen, F.col(f"row.{key}").eqNullSafe(F.col("k")) & F.col("row.source").eqNullSafe(F.col("s")))
+    out = out.where(F.col("row.text").rlike("[^\\x20\\x09-\\x0D]"))
+    return out.select("row", F.explode(F.expr("sequence(1, n)"))).select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -182,7 +182,9 @@ def judge(docs: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
     """The input with the columns of ``ADDED``. Statistics are taken twice: once, without texts, for the estimates, and once beside the texts."""
     stats = features(statistics(docs.select(*group, "text"))).select(*group, *FEATURES, "base_failed")
     params = fit(cut(stats, "quality-stats"), group)
-    return verdict(features(statistics(docs)), params, group)
+    row = F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row")
+    out = verdict(features(statistics(docs.select(row, *group, "text"))), params, group)
+    return out.select("row.*", *ADDED)
 
 
 def verdict(stats: DataFrame, params: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:

@@ -137,8 +137,9 @@ def groups(fps: DataFrame, key: str = "doc_id") -> DataFrame:
 def near_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The input with one document of each group, that of the smallest key. Rows that repeat this key and text stay once."""
     first = groups(cut(fingerprints(docs, key), "simhash-fingerprints"), key).where(F.col(key).eqNullSafe(F.col("component_id")))
-    first = first.select(F.col(key).alias("_k")).distinct()
-    return docs.join(first, F.col(key).eqNullSafe(F.col("_k")), "left_semi").dropDuplicates([key])
+    first = first.select(F.col(key).alias("k")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"))
+    return rows.join(first, F.col("id").eqNullSafe(F.col("k")), "left_semi").dropDuplicates(["id"]).select("row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

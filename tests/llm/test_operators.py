@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tesserae.llm import bpe, components, embed_dedup, langid, mixing, quality, sharding, simhash, substring, token_count, warc
 from tests.llm import brute
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, fp long, kept boolean, runs string, target double, d long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, fp long, kept boolean, runs string, target double, d long, k long, row int, scale double, m0 double, f1 double, id string, n int"
 
 
 def sentence(rng, n):
@@ -41,7 +41,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3, True, "x", 0.5, 4) for r in rows], SCHEMA).cache()
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3, True, "x", 0.5, 4, 5, 6, 7.0, 8.0, 9.0, "y", 3) for r in rows], SCHEMA).cache()
 
 
 @pytest.fixture(scope="module")
