@@ -43,7 +43,7 @@ def type_statistics(rows: DataFrame, column: str = "content_type") -> DataFrame:
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """The rows of ``new`` whose key isn't there yet, the first by ``order`` for each key."""
     first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), F.struct(order)).alias("r")).select("r.*")
-    return first.join(existing.select(key), key, "left_anti")
+    return first.join(existing.select(key), key, "left_anti").select(*new.columns)
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -53,7 +53,7 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def replace(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``existing`` without the keys of ``new``, and ``new``: how a source that is taken in again replaces its rows."""
-    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    return existing.join(new.select(key).distinct(), key, "left_anti").select(*existing.columns).unionByName(new)
 
 
 def update(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
