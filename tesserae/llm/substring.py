@@ -276,3 +276,18 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+each AS (SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS x FROM w),
+win AS (
+  SELECT *, string_agg(x, ' ') OVER ahead AS s, count(*) OVER ahead = 20 AS whole FROM each
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+seen AS (SELECT doc_id, k, x, whole AND row_number() OVER (PARTITION BY whole, s ORDER BY doc_id, k) > 1 AS again FROM win),
+gone AS (SELECT doc_id, k, x, max(again::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM seen),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
