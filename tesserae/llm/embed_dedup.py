@@ -70,7 +70,7 @@ def axes(classes: DataFrame, dim: int) -> np.ndarray:
     return np.ascontiguousarray(q[:, ::-1])
 
 
-def halvings(classes: DataFrame, q: np.ndarray, n: int, tile: int, most: int = 200_000) -> list[np.ndarray]:
+def halvings(classes: DataFrame, q: np.ndarray, n: int, tile: int, most: int = 20_000) -> list[np.ndarray]:
     """Cut points by level, from a bounded sample (it only balances tiles): level d halves along axis d."""
     levels = max(0, int(np.ceil(np.log2(max(n / tile, 1)))))
     if not levels:
