@@ -91,7 +91,9 @@ def verify(recorded: DataFrame, actual: DataFrame, tolerance: int = 1024) -> Dat
 
 
 def readable(size: Column) -> Column:
-    out = F.when(size < 1024, F.concat(F.format_string("%d", size), F.lit(" B")))
-    for k, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(size < 1024 ** (k + 1), F.concat(F.format_number(size / 1024.0**k, 2), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_number(size / 1024.0**4, 2), F.lit(" TB")))
+    """Bytes as '1.5 MB'."""
+    out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        number = F.regexp_replace(F.round(size / 1024.0**k, 2).cast("decimal(20,2)").cast("string"), r"\.?0+$", "")
+        out = out.when((size < 1024 ** (k + 1)) | F.lit(k == 4), F.concat(number, F.lit(f" {unit}")))
+    return out

@@ -118,8 +118,8 @@ def test_store(spark):
     assert [r["decision"] for r in store.admit(sized, "size", "k", most=110).orderBy("k").collect()] == ["accepted", "accepted", "warning", "rejected", "rejected"]
     asked = spark.createDataFrame([(1,), (9,)], "k int")
     assert [r["error"] for r in store.fetch(asked, df, "k", "c").orderBy("k").collect()] == [None, "content not found"]
-    sizes = spark.createDataFrame([(5,), (2048,), (3 << 20,)], "s long").select(store.readable(F.col("s"))).collect()
-    assert [r[0] for r in sizes] == ["5 B", "2.00 KB", "3.00 MB"]
+    sizes = spark.createDataFrame([(5,), (2048,), (3 << 20,), (1536,)], "s long").select(store.readable(F.col("s"))).collect()
+    assert [r[0] for r in sizes] == ["5 B", "2 KB", "3 MB", "1.5 KB"]
 
 
 def test_mime(spark):
@@ -204,3 +204,29 @@ def test_embedding_errors_stay_with_their_rows(spark):
 
     got = embedding.embed(spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "k int, t string"), "t", sometimes).orderBy("k").collect()
     assert got[0]["embedding"] and got[1]["embedding"] is None and "no" in got[1]["embedding_error"] and got[2]["embedding"] == [0.0] * 64
+
+
+def test_registry(spark):
+    from tesserae.operators import registry as r
+
+    assert r.default_model("clip") == "Xenova/clip-vit-base-patch32" and r.models_for("image") == [m for m in r.MODELS if "clip" in m]
+    assert r.models(spark).where("dim = 384").count() == 1 and r.similar("my-CLIP") == r.models_for("image") and r.generator(True).chunks == 5
+    with pytest.raises(r.EngineError, match="similar"):
+        r.model("clip-large")
+    with pytest.raises(r.EngineError):
+        r.check_mode("multimodal", "Xenova/all-mpnet-base-v2")
+    assert r.check_mode("text", "Xenova/clip-vit-base-patch16") and not r.check_mode("text", "Xenova/all-mpnet-base-v2")
+    assert not r.Reranking("disabled").enabled and r.Reranking("metadata", semantic=0.4).enabled
+    for bad in ({"strategy": "odd"}, {"strategy": "lexical", "visual": 2}, {"strategy": "lexical", "fallback": "odd"}):
+        with pytest.raises(r.EngineError):
+            r.Reranking(**bad)
+    for bad in (("", 1), ("x" * 501, 1), ("q", 0), ("q", 101), ("q", True)):
+        with pytest.raises(r.EngineError):
+            r.check_query(*bad)
+    assert r.model_version("m", {"a": 1, "b": 2}) == r.model_version("m", {"b": 2, "a": 1}) != r.model_version("m", {})
+    paths = spark.createDataFrame([("/in/a/b.md",), ("/other/c.md",)], "p string").select(r.storage_path(F.col("p"), "/in/a"))
+    assert [x[0] for x in paths.collect()] == ["b.md", "/other/c.md"] and r.absolute_path("b.md", "/in/a") == "/in/a/b.md"
+    rows = spark.createDataFrame([("hash", 100, 1 << 20, True), ("read error", 300, 0, False)], "operation string, duration_ms long, bytes long, cache_hit boolean")
+    assert tuple(r.operation_metrics(rows).first()) == (2, 200.0, 1 << 20, 2.5, 50.0, 50.0)
+    assert r.operation_metrics(rows.limit(0)).first()["operations"] == 0
+    assert [x[0] for x in spark.createDataFrame([(15,), (1500,)], "m long").select(r.duration(F.col("m"))).collect()] == ["15ms", "1.5s"]
