@@ -9,13 +9,12 @@ from tesserae.functions import markup, ranking, text
 from tesserae.operators import chunking, embedding, knn, prompt, rerank
 from tesserae.plans.catalog import read
 
-T = F.col("text")
 DIM, K, BUDGET = 64, 5, 600
 
 
 def title_extract(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("text", F.when(F.col("lang") == "es", F.concat(F.lit("intro\n  #  "), F.substring("text", 1, 20))).otherwise(T))
-    return docs.select("doc_id", text.title(T, F.concat(F.lit("/in/a.b/"), "source", F.lit(".v1.md"))).alias("title"))
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.when(F.col("lang") == "es", F.concat(F.lit("intro\n  #  "), F.substring("text", 1, 20))).otherwise(F.col("text")))
+    return docs.select("doc_id", text.title(F.col("text"), F.concat(F.lit("/in/a.b/"), "source", F.lit(".v1.md"))).alias("title"))
 
 
 def lang_detect(spark, sf_dir: str) -> DataFrame:
@@ -31,51 +30,51 @@ def markup_flags(spark, sf_dir: str) -> DataFrame:
 def fenced(spark, sf_dir: str) -> DataFrame:
     """Documents with a code block and a diagram put in."""
     head = F.concat(F.lit("```"), F.when(F.col("lang") == "fr", "js").when(F.col("lang") == "de", "").otherwise("sql"), F.lit("\nselect 1\n```\n\n\n\n```mermaid\nA --> B\n```\n"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.concat(head, T).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("text")).alias("text"))
 
 
 def strip_fences(spark, sf_dir: str) -> DataFrame:
-    return fenced(spark, sf_dir).select("doc_id", text.strip_fences(T, "strip").alias("stripped"), text.strip_fences(T, "placeholder").alias("noted"))
+    return fenced(spark, sf_dir).select("doc_id", text.strip_fences(F.col("text"), "strip").alias("stripped"), text.strip_fences(F.col("text"), "placeholder").alias("noted"))
 
 
 def strip_mermaid(spark, sf_dir: str) -> DataFrame:
-    return fenced(spark, sf_dir).select("doc_id", text.strip_diagrams(T).alias("stripped"), text.strip_diagrams(T, "placeholder").alias("noted"))
+    return fenced(spark, sf_dir).select("doc_id", text.strip_diagrams(F.col("text")).alias("stripped"), text.strip_diagrams(F.col("text"), "placeholder").alias("noted"))
 
 
 def mermaid_edges(spark, sf_dir: str) -> DataFrame:
-    return fenced(spark, sf_dir).select("doc_id", markup.diagrams_column(T).alias("text"))
+    return fenced(spark, sf_dir).select("doc_id", markup.diagrams_column(F.col("text")).alias("text"))
 
 
 def mdx_strip(spark, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("import X from 'y';\n<Box a={1}><In>x</In></Box>\n"), T).alias("text"))
-    return rows.select("doc_id", markup.mdx_column(T).alias("stripped"), markup.mdx_column(T, True).alias("noted"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("import X from 'y';\n<Box a={1}><In>x</In></Box>\n"), F.col("text")).alias("text"))
+    return rows.select("doc_id", markup.mdx_column(F.col("text")).alias("stripped"), markup.mdx_column(F.col("text"), True).alias("noted"))
 
 
 def preprocess_modes(spark, sf_dir: str) -> DataFrame:
-    return fenced(spark, sf_dir).select("doc_id", *[markup.preprocess(T, F.lit("markdown"), m).alias(m) for m in markup.MODES])
+    return fenced(spark, sf_dir).select("doc_id", *[markup.preprocess(F.col("text"), F.lit("markdown"), m).alias(m) for m in markup.MODES])
 
 
 def preprocess_stats(spark, sf_dir: str) -> DataFrame:
-    return fenced(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in text.stats(T, text.strip_fences(T, "strip")).items()])
+    return fenced(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in text.stats(F.col("text"), text.strip_fences(F.col("text"), "strip")).items()])
 
 
 def safe_lines(spark, sf_dir: str) -> DataFrame:
-    return fenced(spark, sf_dir).select("doc_id", text.safe_lines(T).alias("text"))
+    return fenced(spark, sf_dir).select("doc_id", text.safe_lines(F.col("text")).alias("text"))
 
 
 def para_split(spark, sf_dir: str) -> DataFrame:
     """Lines stand for paragraphs: each newline is made a blank line."""
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(text.paragraphs(F.regexp_replace(T, "\n", "\n \n"))).alias("i", "paragraph"))
+    return docs.select("doc_id", F.posexplode(text.paragraphs(F.regexp_replace(F.col("text"), "\n", "\n \n"))).alias("i", "paragraph"))
 
 
 def sent_split(spark, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(T)).alias("i", "sentence"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "sentence"))
 
 
 def sentence_groups(spark, sf_dir: str) -> DataFrame:
     """Sentences packed greedily up to 60 words: (doc_id, first sentence of the group, sentences, words). The fold carries counts, not texts."""
-    sizes = F.transform(text.sentences(T), lambda s: text.word_tokens(s))
+    sizes = F.transform(text.sentences(F.col("text")), lambda s: text.word_tokens(s))
     fold = """aggregate(s, cast(array() as array<struct<n: int, words: int>>), (a, x) ->
       case when size(a) > 0 and element_at(a, -1).words + x <= 60
         then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).n + 1 as n, element_at(a, -1).words + x as words)))
@@ -89,15 +88,15 @@ def chunk_documents(spark, sf_dir: str) -> DataFrame:
 
 
 def token_estimate(spark, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.estimated_tokens(T).alias("estimate"), text.word_tokens(T).alias("words"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("estimate"), text.word_tokens(F.col("text")).alias("words"))
 
 
 def snippet(spark, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.snippet(T, 80).alias("snippet"), F.substring("text", 1, 512).alias("truncated"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), 80).alias("snippet"), F.substring("text", 1, 512).alias("truncated"))
 
 
 def embedding_id(spark, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.embedding_id(T).alias("embedding_id"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.embedding_id(F.col("text")).alias("embedding_id"))
 
 
 def embedded(spark, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import vectors as fn
 from tesserae.operators import knn
 
-Q, V = F.col("embedding"), "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 0)"
+V = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 0)"
 
 
 def table(spark, sf_dir: str) -> DataFrame:
@@ -23,21 +23,21 @@ def _against_first(function):
     def run(spark, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir)
         q = F.array(*[F.lit(float(x)) for x in first(rows)])
-        return rows.select("vec_id", F.round(function(Q, q), 6).alias("value"))
+        return rows.select("vec_id", F.round(function(F.col("embedding"), q), 6).alias("value"))
 
     return run
 
 
 def magnitudes(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir).select("vec_id", F.round(fn.magnitude(Q), 6).alias("value"))
+    return table(spark, sf_dir).select("vec_id", F.round(fn.magnitude(F.col("embedding")), 6).alias("value"))
 
 
 def normalized(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir).select("vec_id", F.transform(fn.normalized(Q), lambda x: F.round(x, 6)).alias("value"))
+    return table(spark, sf_dir).select("vec_id", F.transform(fn.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("value"))
 
 
 def validated(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir).select("vec_id", fn.problem(Q).alias("problem"), fn.off_unit(Q).alias("off_unit"))
+    return table(spark, sf_dir).select("vec_id", fn.problem(F.col("embedding")).alias("problem"), fn.off_unit(F.col("embedding")).alias("off_unit"))
 
 
 def knn_single(spark, sf_dir: str) -> DataFrame:
