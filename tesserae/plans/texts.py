@@ -239,6 +239,15 @@ g AS (SELECT query_id, any_value(query) AS query, coalesce(string_agg(t, chr(10)
 _MODAL = f"{_SEARCH}, m AS (SELECT *, content_type <> 'text' AS is_cross_modal, greatest(0, round(score * 0.9::DOUBLE + 0.05::DOUBLE, 6)) AS similarity FROM r), n AS (SELECT query_id, id, content_type, is_cross_modal, similarity, CASE WHEN is_cross_modal THEN similarity ELSE score END AS score FROM m WHERE NOT is_cross_modal OR similarity >= 0.3)"
 _JSX = "(regexp_matches(html, '" + "|".join(f"(?:{p})" for p in text.JSX).replace("'", "''") + "'))"
 _DIA = "(regexp_matches(html, '(?i)" + "|".join(f"(?:{p})" for p in text.DIAGRAM) + "'))"
+_Q = "'guide to the chart of src1'"
+_PARTS = "list_filter(regexp_split_to_array(lower(regexp_extract(source, '([^/]*)$', 1)), '[_\\-\\s\\.]+'), lambda p: length(p) > 2)"
+_QWORDS = f"list_filter(regexp_split_to_array({_Q}, '\\s+'), lambda w: length(w) > 2)"
+_NAME = "lower(regexp_extract(source, '([^/]*)$', 1))"
+_BOOST = " * ".join(f"CASE WHEN contains({_NAME}, '{w}') THEN {b}::DOUBLE ELSE 1 END" for w, b in (*ranking.KEYWORD_BOOSTS.items(), *ranking.PATTERN_BOOSTS.items()))
+_FILE = f"least(2.0::DOUBLE, (CASE WHEN contains({_NAME}, {_Q}) THEN 1.0::DOUBLE ELSE 0 END + list_sum(list_transform({_QWORDS}, lambda w: len(list_filter({_PARTS}, lambda p: contains(p, w) OR contains(w, p))) * 0.3::DOUBLE))) * {_BOOST})"
+_ABOUT = " + ".join(f"CASE WHEN contains({v}, {_Q}) THEN 0.5::DOUBLE ELSE 0 END + len(list_filter({_QWORDS}, lambda w: contains({v}, w))) * 0.2::DOUBLE" for v in ("lower(title)", "'a chart of sources'", "'chart'"))
+_META = f"{_SEARCH}, n AS (SELECT query_id, id, round(0.4::DOUBLE * score + 0.6::DOUBLE * (0.4::DOUBLE * {_FILE} + 0.3::DOUBLE * CASE content_type WHEN 'image' THEN 1.6::DOUBLE ELSE 1.8::DOUBLE END + 0.3::DOUBLE * greatest(0, {_ABOUT} + 0.3::DOUBLE + 0.5::DOUBLE - CASE WHEN length(content) BETWEEN 1 AND 999 THEN 0.1::DOUBLE ELSE 0 END)), 6) AS score FROM r) {_RANK}"
+_ANSWER = "WITH a AS (SELECT doc_id, trim(substr(text, 1, 300)) AS a FROM documents), w AS (SELECT doc_id, a, regexp_extract(a, '(?s)^(.*[.!?])', 1) AS w FROM a) SELECT doc_id, CASE WHEN length(w) > length(a) / 2.0 THEN w ELSE a END AS answer FROM w"
 ORACLE_SQL = {
     "title_extract": "SELECT doc_id, CASE WHEN lang = 'es' AND trim(substr(text, 1, 20)) <> '' THEN regexp_replace(split_part(regexp_replace(substr(text, 1, 20), '^\\s+', ''), chr(10), 1), '\\s+$', '') ELSE source || '.v1' END AS title FROM documents",
     "lang_detect": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 3 THEN 'markdown' ELSE CASE WHEN {_JSX} THEN 'mdx' WHEN {_DIA} THEN 'mermaid' ELSE 'markdown' END END AS language FROM pages",
@@ -262,6 +271,9 @@ SELECT doc_id, i::INT AS i, max(n)::INT AS n, max_by(words, k)::INT AS words FRO
     "search_ranked": f"{_SEARCH} SELECT query_id, id, rank, round(score, 2) AS rounded_score, title FROM r",
     "rerank_lexical": _lexical("(content_type = 'text')", "content"),
     "rerank_text_derived": _lexical("TRUE", "CASE WHEN content_type = 'image' THEN 'Image file: ' || title ELSE content END"),
+    "rerank_metadata": _META,
+    "answer_cleanup": _ANSWER,
+    "mdx_strip": f"SELECT doc_id, {_TRIM.format("'</Box>' || chr(10) || text")} AS stripped, {_TRIM.format("'[import removed]' || chr(10) || '[component removed]</Box>' || chr(10) || text")} AS noted FROM documents",
     "rerank_cross_encoder": f"{_SEARCH}, p AS (SELECT *, round(1 / (1 + exp(-(ln(length(content) + 1) - 7))), 6) AS p FROM r), n AS (SELECT query_id, id, CASE WHEN max(p) OVER (PARTITION BY query_id) - min(p) OVER (PARTITION BY query_id) < 0.1 THEN round(least(1.0::DOUBLE, score + {_bonus('content')}), 6) ELSE p END AS score FROM p) {_RANK}",
     "cross_modal_rank": f"{_MODAL} {_RANK}",
     "cross_modal_stats": f"{_MODAL} SELECT content_type, count(*) AS n, count(*) FILTER (is_cross_modal) AS n_cross_modal, round(avg(similarity) FILTER (is_cross_modal), 6) AS mean_similarity FROM n GROUP BY content_type",
