@@ -200,3 +200,53 @@ def op7(spark, sf_dir: str) -> DataFrame:
     stats = cut(features(statistics(docs)).drop("text"), "quality-documents")
     return verdict(stats, fit(stats)).select("doc_id", *BASE, "base_failed", "kept")
 
+
+
+def sql() -> str:
+    """The same rules in DuckDB's SQL: base statistics, medians, concentration steps and verdict."""
+    p = range(len(FEATURES))
+    same = " AND ".join(f"{{0}}.{g} IS NOT DISTINCT FROM {{1}}.{g}" for g in GROUP)
+    factor = ", ".join(
+        (f"sqrt(greatest({{rest}}, {FLOORS[i] ** 2!r}::DOUBLE))" if i == j else f"({{rest}}) / l{j}{j}").format(
+            rest=f"c{i}{j}" + (f" + {FLOORS[i] ** 2!r}::DOUBLE" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        ) + f" AS l{i}{j}" for i in p for j in range(i + 1)
+    )
+
+    def distances(rows: str, params: str, one_sided: bool = False) -> str:
+        z = []
+        for i, f in enumerate(FEATURES):
+            d = f"({f} - m{i})"
+            d = f"greatest({d}, 0)" if one_sided and i else d
+            z.append(f"({d}{''.join(f' - l{i}{k} * z{k}' for k in range(i))}) / l{i}{i} AS z{i}")
+        return f"SELECT r.*, q.* EXCLUDE (lang, source), {', '.join(z)}, {' + '.join(f'z{i} * z{i}' for i in p)} AS d2 FROM {rows} r LEFT JOIN {params} q ON {same.format('r', 'q')}"
+
+    first = ", ".join([f"max(m) FILTER (k = {i + 1}) / {CELLS}.0::DOUBLE AS m{i}" for i in p] + [f"power(1.4826::DOUBLE * max(s) FILTER (k = {i + 1}) / {CELLS}, 2) AS c{i}{i}" for i in p] + [f"0.0::DOUBLE AS c{i}{j}" for i in p for j in range(i)])
+    means = ", ".join([f"avg({FEATURES[i]}) AS m{i}" for i in p] + [f"avg({FEATURES[i]} * {FEATURES[j]}) - m{i} * m{j} AS c{i}{j}" for i in p for j in range(i + 1)])
+    out = rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+each AS (SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS x FROM w),
+win AS (SELECT *, string_agg(x, ' ') OVER ahead AS s, count(*) OVER ahead = 3 AS whole FROM each WINDOW ahead AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+often AS (SELECT doc_id, k, whole AND count(*) OVER (PARTITION BY doc_id, whole, s) > 1 AS often FROM win),
+covered AS (SELECT doc_id, max(often::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM often),
+repeated AS (SELECT doc_id, sum(c)::BIGINT AS n_repeat_words FROM covered GROUP BY doc_id),
+stats AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines
+  FROM w LEFT JOIN repeated USING (doc_id)),
+f AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, ln(greatest(word_chars, 1) / greatest(n_words, 1)::DOUBLE) AS f1,
+  ln(1.0::DOUBLE + 1000.0::DOUBLE * n_symbols / greatest(word_chars, 1)) AS f2, sqrt(n_dup_lines / greatest(n_lines, 1)::DOUBLE) AS f3, sqrt(n_repeat_words / greatest(n_words, 1)::DOUBLE) AS f4 FROM stats),
+good AS MATERIALIZED (SELECT lang, source, {', '.join(FEATURES)} FROM f WHERE NOT base_failed),
+cells AS (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, round(unnest([{', '.join(FEATURES)}]) * {CELLS})::BIGINT AS cell FROM good),
+middle AS (SELECT lang, source, k, quantile_disc(cell, 0.5) AS m FROM cells GROUP BY ALL),
+away AS (SELECT c.lang, c.source, c.k, any_value(m) AS m, quantile_disc(abs(cell - m), 0.5) AS s FROM cells c JOIN middle q ON c.k = q.k AND {same.format('c', 'q')} GROUP BY ALL),
+c0 AS (SELECT lang, source, {first} FROM away GROUP BY lang, source),
+p0 AS MATERIALIZED (SELECT *, {factor} FROM c0),
+"""
+    for t in range(STEPS):
+        out += f"""t{t} AS MATERIALIZED (SELECT *, floor(ln(1 + d2) * {DISTANCE_CELLS})::BIGINT AS cell FROM ({distances('good', f'p{t}')})),
+e{t} AS (SELECT lang, source, quantile_disc(cell, {CORE}) AS edge FROM t{t} GROUP BY ALL),
+c{t + 1} AS (SELECT r.lang, r.source, {means.replace('AS m', 'AS n').replace(' - m', ' - n').replace(' * m', ' * n')} FROM t{t} r JOIN e{t} q ON {same.format('r', 'q')} WHERE cell <= edge GROUP BY ALL),
+p{t + 1} AS MATERIALIZED (SELECT *, {factor} FROM (SELECT * RENAME ({', '.join(f'n{i} AS m{i}' for i in p)}) FROM c{t + 1})),
+"""
+    return out + f"""spread AS (SELECT lang, source, greatest(1.0::DOUBLE, (exp(quantile_disc(floor(ln(1 + d2) * {DISTANCE_CELLS})::BIGINT, 0.5) / {DISTANCE_CELLS}.0::DOUBLE) - 1) / {MEDIAN}::DOUBLE) AS scale, count(*) AS group_size FROM ({distances('good', f'p{STEPS}')}) GROUP BY ALL),
+judged AS (SELECT v.*, scale, group_size FROM ({distances('f', f'p{STEPS}', True)}) v LEFT JOIN spread s ON {same.format('v', 's')})
+SELECT doc_id, {', '.join(BASE)}, base_failed, NOT base_failed AND NOT coalesce(group_size >= {LEAST} AND d2 / scale > {CUTOFF}::DOUBLE, FALSE) AS kept FROM judged"""

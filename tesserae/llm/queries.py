@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op1_embedding_near_dedup": embed_dedup.OP1_SQL,
     "op2_substring_dedup": substring.OP2_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op7_quality_outliers": quality.sql(),
     "op8_source_mixing": mixing.OP8_SQL,
 }
