@@ -19,6 +19,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = cut(edges, "links")
+    if edges.isEmpty():
+        return edges.toDF("node", "root")
     mark = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
