@@ -240,7 +240,8 @@ def repeated_runs(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     fresh = docs.join(F.broadcast(same), "doc_id", "left_anti") if few else docs
     places = fresh.mapInArrow(_anchor_rows(length), "doc_id bigint, at int, h bigint")
     counted = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("r"))
-    alive = places.join(counted, F.col("h") == F.col("r"), "left_semi")
+    # written first: a join straight after the aggregation would use its partitioning, and Spark could not split a frequent hash's places
+    alive = places.join(cut(counted, "repeated-anchors"), F.col("h") == F.col("r"), "left_semi")
     listed = alive.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
     listed = cut(listed if few else listed.join(same, "doc_id", "left_anti"), "anchors")
     windows = docs.join(listed, "doc_id").select("doc_id", "text", "places")
