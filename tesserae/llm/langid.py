@@ -4,7 +4,7 @@ A text's subwords are its UTF-8 n-grams (2 to 4 bytes, A-Z in lower case, white
 ``BUCKETS`` embeddings. The embeddings of a whole text are averaged and a linear layer with a softmax gives a
 probability per language. Both are trained by stochastic gradient descent in numpy on the driver, on a bounded
 sample of labelled documents: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` of text, chosen by a hash of their
-ids, as evenly over languages as they allow. Steps alternate between whole texts and short slices, so that short
+ids, as evenly over languages as they allow: both bounds are dealt out by language. Steps alternate between whole texts and short slices, so that short
 texts are met in training too.
 
 A fifth of the sample is held back for calibration: the softmax's temperature is the one with the least log loss on
@@ -145,25 +145,49 @@ def _calibrate(model: Model, texts: list[bytes], target: np.ndarray, rng: np.ran
     model.threshold = float(p.max(1)[order][precise[-1]]) if len(precise) else 1.0
 
 
+def level(sizes: list[int], most: int) -> int:
+    """The greatest whole number that ``sizes`` can be lowered to, where they exceed it, for a sum of ``most`` or less."""
+    left = most
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= size
+    return max(sizes, default=0)
+
+
 def sample(docs: DataFrame, key: str = "doc_id") -> tuple[list[bytes], list[str]]:
-    """The training sample, in order of its hashes. The first pass chooses ids, the second fetches their texts."""
+    """The training sample, in order of its hashes. The first pass chooses ids, the second fetches their texts.
+
+    Each language has its own order and its own part of the rows and bytes; what it doesn't use goes to the others.
+    An id that repeats within a language counts as one document.
+    """
     fit = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
-    n = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = fit.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(key).alias("ids"))
+    n = {r["lang"]: r["ids"] for r in sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     draw = unit_draw(F.lit("langid-1"), F.col(key).cast("string"))
-    share = F.lit(0.0)
-    for lang, count in n.items():
-        share = F.when(F.col("lang") == lang, F.lit(1.2 * SAMPLE_ROWS / len(n) / count)).otherwise(share)
-    ids = fit.select(key, "lang", draw.alias("u"), F.octet_length("text").alias("n")).where(F.col("u") < share).orderBy("u", key, "n").limit(SAMPLE_ROWS).collect()
-    kept, total = set(), 0
-    for r in ids:
-        total += r["n"]
-        if total > SAMPLE_BYTES:
-            break
-        kept.add(r[key])
+    most, share = level(list(n.values()), SAMPLE_ROWS), F.lit(0.0)
+    for lang, ids in n.items():  # about twice what the language can have, so that it doesn't run short by chance
+        share = F.when(F.col("lang") == lang, F.lit((2.0 * most + 10) / ids)).otherwise(share)
+    near = fit.select(key, "lang", draw.alias("u"), share.alias("share"), F.octet_length("text").alias("n")).where("u < share")
+    near = near.groupBy(key, "lang").agg(F.first("u").alias("u"), F.first("share").alias("share"), F.max("n").alias("n"))
+    by_lang: dict[str, list] = {}
+    for r in near.orderBy(F.col("u") / F.col("share"), key, "lang").limit(4 * SAMPLE_ROWS).collect():
+        by_lang.setdefault(r["lang"], []).append(r)
+    most = level([len(rows) for rows in by_lang.values()], SAMPLE_ROWS)
+    by_lang = {lang: rows[:most] for lang, rows in by_lang.items()}
+    most_bytes = level([sum(r["n"] for r in rows) for rows in by_lang.values()], SAMPLE_BYTES)
+    kept = set()
+    for lang, rows in by_lang.items():
+        total = 0
+        for r in rows:
+            total += r["n"]
+            if total > most_bytes:
+                break
+            kept.add((r[key], lang))
     if not kept:
         return [], []
-    rows = fit.where(F.col(key).isin(*kept)).select(draw.alias("u"), key, "lang", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["u"], r[key], r["text"]))[:SAMPLE_ROWS]
+    rows = fit.where(F.col(key).isin(*{k for k, _ in kept})).groupBy(key, "lang").agg(F.min("text").alias("text"), F.first(draw).alias("u")).collect()
+    rows = sorted((r for r in rows if (r[key], r["lang"]) in kept), key=lambda r: (r["u"], r[key], r["lang"]))
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 
 

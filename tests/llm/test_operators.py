@@ -147,6 +147,17 @@ def test_language_without_labels(spark):
     assert langid.identify(df.limit(0)).collect() == []
 
 
+def test_language_sample_keeps_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 240)
+    lang = F.when(F.col("id") < 100_000, F.concat(F.lit("l"), F.col("id") % 5)).otherwise("rare")
+    docs = spark.range(100_150).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), lang.alias("lang"))
+    _, labels = langid.sample(docs)
+    assert {x: labels.count(x) for x in set(labels)} == {x: 40 for x in ("l0", "l1", "l2", "l3", "l4", "rare")}
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 1200)
+    _, labels = langid.sample(docs)
+    assert len(set(labels)) == 6 and min(map(labels.count, set(labels))) >= 16
+
+
 def test_language_model_is_a_function_of_its_sample():
     texts, labels = [b"the thing", b"der die das", b"the other", b"das sind"] * 20, ["en", "de", "en", "de"] * 20
     a, b = langid.train(texts, labels), langid.train(texts, labels)
