@@ -4,7 +4,8 @@ A text's subwords are its UTF-8 n-grams (2 to 4 bytes, A-Z in lower case, white
 ``BUCKETS`` embeddings. The embeddings of a whole text are averaged and a linear layer with a softmax gives a
 probability per language. Both are trained by stochastic gradient descent in numpy on the driver, on a bounded
 sample of labelled documents: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` of text, chosen by a hash of their
-ids, as evenly over languages as they allow: both bounds are dealt out by language. Steps alternate between whole texts and short slices, so that short
+ids, as evenly over languages as they allow: both bounds are dealt out by language, and
+documents too long for their language's bytes are trained on by a slice from a hashed place. Steps alternate between whole texts and short slices, so that short
 texts are met in training too.
 
 A fifth of the sample is held back for calibration: the softmax's temperature is the one with the least log loss on
@@ -176,19 +177,20 @@ def sample(docs: DataFrame, key: str = "doc_id") -> tuple[list[bytes], list[str]
     most = level([len(rows) for rows in by_lang.values()], SAMPLE_ROWS)
     by_lang = {lang: rows[:most] for lang, rows in by_lang.items()}
     most_bytes = level([sum(r["n"] for r in rows) for rows in by_lang.values()], SAMPLE_BYTES)
-    kept = set()
-    for lang, rows in by_lang.items():
-        total = 0
-        for r in rows:
-            total += r["n"]
-            if total > most_bytes:
-                break
-            kept.add((r[key], lang))
+    # documents longer than the bytes allow are trained on by a slice, so that none is left out or takes the others' room
+    piece = {lang: level([r["n"] for r in rows], min(most_bytes, sum(r["n"] for r in rows))) for lang, rows in by_lang.items()}
+    kept = {(r[key], lang) for lang, rows in by_lang.items() for r in rows}
     if not kept:
         return [], []
-    rows = fit.where(F.col(key).isin(*{k for k, _ in kept})).groupBy(key, "lang").agg(F.min("text").alias("text"), F.first(draw).alias("u")).collect()
+    size = F.lit(0)
+    for lang, most in piece.items():
+        size = F.when(F.col("lang") == lang, F.lit(most)).otherwise(size)
+    room = F.greatest(F.octet_length("text") - size, F.lit(0))
+    start = F.floor(unit_draw(F.lit("langid-slice"), F.col(key).cast("string")) * (room + 1)).cast("int")
+    data = F.substring(F.col("text").cast("binary"), start + 1, size)
+    rows = fit.where(F.col(key).isin(*{k for k, _ in kept})).groupBy(key, "lang").agg(F.min(data).alias("data"), F.first(draw).alias("u")).collect()
     rows = sorted((r for r in rows if (r[key], r["lang"]) in kept), key=lambda r: (r["u"], r[key], r["lang"]))
-    return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
+    return [bytes(r["data"]) for r in rows], [r["lang"] for r in rows]
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:

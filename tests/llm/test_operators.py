@@ -158,6 +158,17 @@ def test_language_sample_keeps_rare_languages(spark, monkeypatch):
     assert len(set(labels)) == 6 and min(map(labels.count, set(labels))) >= 16
 
 
+def test_language_sample_survives_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 10_000)
+    rows = [(i, ("ö" * 30_000 if i % 50 == 3 else f"text {i}"), ["en", "de"][i % 2]) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (500, "ü" * 90_000, "long"), (501, "ü" * 90_000, "long"), (504, "ü" * 90_000, "long")], "doc_id long, text string, lang string")
+    texts, labels = langid.sample(docs)
+    assert len(texts) == docs.where(~langid.held_out()).count() and set(labels) == {"en", "de", "long"}
+    assert sum(map(len, texts)) <= 10_000 and min(map(len, texts)) > 0
+    whole = {t.encode() for _, t, _ in rows if len(t) < 100}
+    assert all(t in whole or len(t) > 100 for t in texts)
+
+
 def test_language_model_is_a_function_of_its_sample():
     texts, labels = [b"the thing", b"der die das", b"the other", b"das sind"] * 20, ["en", "de", "en", "de"] * 20
     a, b = langid.train(texts, labels), langid.train(texts, labels)
