@@ -79,17 +79,17 @@ def fingerprint_batch(texts: list[str | None], size: int = SHINGLE) -> np.ndarra
     return majorities(flat, counts)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """(key, fp): the fingerprint of each row's whole text as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp): the fingerprint of each row's whole text as a signed long. Columns ``beside`` are carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 fp = fingerprint_batch(part.column("text").to_pylist(), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(fp)], names=[key, "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(fp)], names=[*carried, "fp"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, fp bigint")
+    carried, kinds = [key, *beside], dict(docs.dtypes)
+    return docs.select(*carried, "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", fp bigint")
 
 
 def _bits(x: Column, low: int, n: int) -> Column:
@@ -123,23 +123,33 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def groups(fps: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp, component_id): each row's smallest reachable key."""
-    classes = cut(fps.groupBy("fp").agg(F.min(key).alias("first")), "simhash-classes")
+def leasts(fps: DataFrame, first: Column) -> DataFrame:
+    """(c, least): for each distinct fingerprint c, the least ``first`` of all rows in its component."""
+    classes = cut(fps.groupBy("fp").agg(F.min(first).alias("first")), "simhash-classes")
     linked = components(cut(near_pairs(classes.select("fp")), "simhash-pairs"))
     named = linked.join(classes.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     linked = cut(linked.join(least, "root").select(F.col("node").alias("fp"), "least"), "simhash-linked")
-    classes = classes.join(linked, "fp", "left").select(F.col("fp").alias("c"), F.coalesce("least", "first").alias("component_id"))
-    return fps.join(classes, F.col("fp") == F.col("c")).select(key, "fp", "component_id")
+    return classes.join(linked, "fp", "left").select(F.col("fp").alias("c"), F.coalesce("least", "first").alias("least"))
+
+
+def groups(fps: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, fp, component_id): each row's smallest reachable key."""
+    return fps.join(leasts(fps, F.col(key)), F.col("fp") == F.col("c")).select(key, "fp", F.col("least").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The input with one document of each group, that of the smallest key. Rows that repeat this key and text stay once."""
-    first = groups(cut(fingerprints(docs, key), "simhash-fingerprints"), key).where(F.col(key).eqNullSafe(F.col("component_id")))
-    first = first.select(F.col(key).alias("k")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"))
-    return rows.join(first, F.col("id").eqNullSafe(F.col("k")), "left_semi").dropDuplicates(["id"]).select("row.*")
+    """The input with one document of each group, that of the smallest key (null only if all are null). Rows that repeat this key and text stay once.
+
+    A document is told by its key and its text's digest: others of the same key, or without key, are documents of their own.
+    """
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    told = docs.select(F.col(key).alias("k"), digest.alias("d"), "text")
+    fps = cut(fingerprints(told, "k", beside=("d",)), "simhash-fingerprints")
+    first = leasts(fps, F.struct(F.col("k").isNull().alias("none"), "k", "d")).select("least.k", "least.d").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), digest.alias("digest"))
+    rows = rows.join(first, F.col("id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left_semi")
+    return rows.dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

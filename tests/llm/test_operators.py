@@ -192,6 +192,14 @@ def test_simhash(docs, rows, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(top.values()))
 
 
+def test_near_dedup_tells_documents_by_key_and_text(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (sentence(rng, 80) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, e), (2, e), (3, d), (None, d), (4, f), (None, None), (5, "")]
+    got = [tuple(r) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (1, c), (2, d), (2, e), (4, f), (5, "")], key=str)
+
+
 def test_multi_index_finds_all_pairs(spark):
     rng = random.Random(6)
     seeds = [rng.getrandbits(64) for _ in range(30)] + [0, (1 << 64) - 1]
