@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: A word is a maximal run of characters outside this class.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
@@ -29,9 +30,12 @@ def word_count(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) has a folder of
+    its own; on a cluster executors would each write to their own disk, so that is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/tesserae-scratch"
     return found.rstrip("/")
 
@@ -59,16 +63,53 @@ def cut(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete intermediate tables that ``cut`` wrote and that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path in _made:
+            _delete(path, _made.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def numbered(df: DataFrame, name: str, keys: list[Column], within: list[str] | None = None, rows_each: int = 200_000) -> DataFrame:
+    """``df`` with a column ``place``: 0, 1, 2, ... in the order of ``keys``, without gaps, within each value of columns ``within`` (sorted first).
+
+    Rows are dealt to ranges of the order, as many as the table needs; a row's place is the one in its range after the
+    rows of the ranges before, which are counted. Neither a group nor the table is ever in one task. Rows that tie are
+    told apart by where they were found, so they too can be split; which of them comes first is left open.
+    """
+    within = within or []
+    n = df.count()
+    order = [*(F.col(c).asc_nulls_first() for c in within), *keys]
+    tagged = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranges = tagged.repartitionByRange(max(1, -(-n // rows_each)), *order, "_tie").sortWithinPartitions(*order, "_tie")
+    rows = cut(ranges.withColumn("_at", F.monotonically_increasing_id()).drop("_tie"), name)
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part"), *(F.col(c).alias(f"_in_{c}") for c in within)).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    before = W.partitionBy(*(f"_in_{c}" for c in within)) if within else W.partitionBy(F.lit(0))  # a row per range (and group)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("_low"))
+    same = part == F.col("_part")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+    sizes = cut(sizes.drop("_n", "_low"), f"{name}-ranges")
+    return rows.join(sizes, same).withColumn("place", F.col("_at") + F.col("_base")).drop("_at", "_part", "_base", *(f"_in_{c}" for c in within))
 
 
 def release_scratch() -> None:
     """Delete the intermediate tables of this driver; results that read them can't be run after that."""
     for path, spark in list(_made.items()):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path, spark)
         except Exception:  # the session ended before: what is left belongs to the folder's own clean-up
             pass
         _made.pop(path, None)

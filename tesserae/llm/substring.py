@@ -11,15 +11,16 @@ A word is removed if a window of ``WINDOW`` consecutive words that covers it als
 3. Windows that survive, other than first ones, cover the words to remove. Longer repeats are covered by their full
    windows, so no candidate is left to extend.
 
-Half windows are compared by 64-bit hashes (a collision only adds a candidate), full windows by 96 bits. Copies of
-whole texts are found beforehand by their digests: all their windows repeat, so only the first needs these levels.
-Frequent hashes are counted before they are shuffled; no hash's places are gathered in one task: the counts are
-joined back to the places by a join whose skewed keys Spark splits.
+Half windows are compared by 64-bit hashes, where a collision only adds a candidate; full windows by BLAKE2b-128 digests of
+their words themselves. Copies of whole texts are found beforehand by their digests: all their windows repeat, so
+only the first needs these levels. Frequent hashes are counted before they are shuffled, and counts are written
+before they are joined back to the places, so that no hash's places are gathered in one task: Spark splits the join.
 
 Nulls and edge cases: a null text has no words; texts with fewer words than a window keep all; a null doc_id sorts
-before all others; doc_id is a document's identity: rows that repeat it are copies of one document, each returned
-with that document's removals; an empty table gives an empty result; other columns pass through ``remove_repeats``,
-but for those named like the columns it adds, which are replaced.
+before all others. A document is a doc_id and a text: rows that repeat both are one document, each returned with its
+removals; rows of one doc_id (or of none) with other texts are documents of their own, in the order of their digests. An
+empty table gives an empty result; other columns pass through ``remove_repeats``, but for those named like the columns
+it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,19 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tesserae.llm.common import cut, mix64, pieces, plain, text_bytes
+from tesserae.llm.common import cut, free, mix64, numbered, pieces, plain, text_bytes
 
 WINDOW = 20
-#: Ids of copied documents that are sent to every task; more are joined by a shuffle.
-MOST_SENT = 1_000_000
 #: The end of a run that covers a whole text of a window's length or more.
 ALL = (1 << 31) - 1
 #: Names of columns beside those of the input, which may have any others.
-_ID, _RUNS = "__removal_id", "__removal_runs"
+_DOC, _ID, _RUNS = "__removal_doc", "__removal_id", "__removal_runs"
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE2 = np.uint64(0xD1B54A32D192ED03 | 1)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -65,7 +63,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_powers, _powers2 = _Powers(_BASE), _Powers(_BASE2)
+_powers = _Powers(_BASE)
 
 
 def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray, powers: _Powers) -> np.ndarray:
@@ -90,8 +88,25 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.n = np.diff(self.first)
 
-    def hashes(self, powers: _Powers = _powers) -> np.ndarray:
-        return mix64(_sums(_TABLE[self.data], self.start, self.end, powers) + (self.end - self.start).astype(np.uint64))
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word: equal words have equal ones, others may too."""
+        return mix64(_sums(_TABLE[self.data], self.start, self.end, _powers) + (self.end - self.start).astype(np.uint64))
+
+    def digests(self, start: np.ndarray, length: int) -> np.ndarray:
+        """BLAKE2b-128 of ``length`` words from each place given (none beyond its text's end), joined by one space: two numbers a window."""
+        size = self.end - self.start
+        after = np.cumsum(size + 1)
+        gap = np.ones(int(after[-1]) if len(after) else 0, bool)
+        gap[after - 1] = False
+        line = np.full(len(gap), 32, np.uint8)
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[self.start] += 1
+        inside[self.end] -= 1
+        line[gap] = self.data[np.cumsum(inside[:-1]).astype(bool)]
+        line = line.tobytes()
+        begins, ends = (after - size - 1)[start], after[start + length - 1] - 1
+        made = b"".join([hashlib.blake2b(line[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+        return np.frombuffer(made, np.int64).reshape(-1, 2)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, text): the first word of each window, and the text it is in."""
@@ -126,8 +141,8 @@ def anchors(words: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarray,
     return start, text, at, h[at]
 
 
-_ANCHORS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("again", pa.bool_())])
+_ANCHORS = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
+_WINDOWS = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32()), ("again", pa.bool_())])
 
 
 def _anchor_rows(length: int):
@@ -139,7 +154,7 @@ def _anchor_rows(length: int):
                 keep = np.ones(len(at), bool)
                 keep[1:] = at[1:] != at[:-1]
                 text, at, h = text[keep], at[keep], h[keep]
-                ids = part.column("doc_id").take(pa.array(text))
+                ids = part.column("doc").take(pa.array(text))
                 place = (at - words.first[:-1][text]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(h.view(np.int64))], schema=_ANCHORS)
 
@@ -155,8 +170,8 @@ def _starts(words: Words, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_rows(length: int):
-    """The full windows whose anchor is listed in column ``places``: a hash of 64 bits, another of 32 in one number with the place,
-    and whether the same window starts earlier in the same text."""
+    """The full windows whose anchor is listed in column ``places``: the digest of their words, their place, and whether the same window
+    starts earlier in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,15 +182,15 @@ def _window_rows(length: int):
                 listed = np.zeros(len(hashes) + 1, bool)
                 listed[_starts(words, part.column("places"))[0]] = True
                 start, text = start[listed[at]], text[listed[at]]
-                h = window_hashes(hashes, start, length, _powers)
-                g = window_hashes(words.hashes(_powers2), start, length, _powers2)
-                ids = part.column("doc_id").take(pa.array(text))
-                place = (g >> np.uint64(32) << np.uint64(32)).view(np.int64) | (start - words.first[:-1][text])
+                digest = words.digests(start, length)
+                h, g = digest[:, 0], digest[:, 1]
                 again = np.zeros(len(start), bool)
                 order = np.lexsort((start, g, h, text))
                 same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1]) & (text[order][1:] == text[order][:-1])
                 again[order[1:][same]] = True
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(place), pa.array(again)], schema=_WINDOWS)
+                place = (start - words.first[:-1][text]).astype(np.int32)
+                columns = [part.column("doc").take(pa.array(text)), pa.array(h), pa.array(g), pa.array(place), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(columns, schema=_WINDOWS)
 
     return run
 
@@ -219,42 +234,56 @@ def _removal_rows(names: list[str], schema: pa.Schema, length: int):
     return run
 
 
+def identified(docs: DataFrame, name: str = _DOC) -> DataFrame:
+    """``docs`` with a number for each document, in the order of doc_id (null first), then of the text's digest.
+
+    Where every doc_id has one text, the doc_id is that number. Otherwise the distinct pairs of doc_id and digest are numbered
+    in order, and their numbers are joined back.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    told = docs.select(key.alias("k"), F.col("doc_id").isNull().alias("none"), digest.alias("x"))
+    told = told.groupBy("k").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("none", "x") for f in (F.min, F.max)))
+    if told.where("min_none <> max_none OR min_x <> max_x").isEmpty():
+        return docs.withColumn(name, key)
+    pairs = docs.select("doc_id", digest.alias("digest")).distinct()
+    places = numbered(pairs, "substring-documents", [F.col("doc_id").asc_nulls_first(), F.col("digest")])
+    places = cut(places.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d"), F.col("place").alias(name)), "substring-numbers")
+    return docs.join(places, F.col("doc_id").eqNullSafe(F.col("_i")) & (digest == F.col("_d"))).drop("_i", "_d")
+
+
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id): documents whose text an earlier one has too. All their windows repeat, and none of them is a first one."""
-    each = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").alias("n")).where("n > 0")
-    first = each.groupBy("digest", "n").agg(F.min("doc_id").alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
-    first = first.select(F.col("digest").alias("digest2"), F.col("n").alias("n2"), "f")
-    both = each.join(first, (F.col("digest") == F.col("digest2")) & (F.col("n") == F.col("n2")))
-    return both.where("doc_id > f").select("doc_id").distinct()
+    """(doc): documents whose text an earlier one has too. All their windows repeat, and none of them is a first one."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    each = cut(docs.where(F.octet_length("text") > 0).select("doc", digest.alias("digest")), "text-digests")
+    first = each.groupBy("digest").agg(F.min("doc").alias("f"), F.max("doc").alias("l")).where("f < l").drop("l")
+    # written first: a join straight after the aggregation would use its partitioning, and Spark could not split a frequent text's copies
+    first = cut(first.select(F.col("digest").alias("digest2"), "f"), "first-texts")
+    return each.join(first, F.col("digest") == F.col("digest2")).where("doc > f").select("doc").distinct()
 
 
 def repeated_runs(docs: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(doc_id, runs): for each document with words to remove, the runs of words (begin, end) that later windows cover.
+    """(doc, runs): for each document of ``docs`` (doc, text) with words to remove, the runs of words (begin, end) that later windows cover.
 
     Copies of whole texts are settled first; the other documents' windows are judged among themselves. Each step is a job of
-    its own, whose shuffle files are deleted when it is done.
+    its own, whose shuffle files are deleted when it is done; tables of ids are written, so Spark knows from their size
+    whether they can be sent to every task.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     same = cut(copies(docs), "copies")
-    few = same.count() <= MOST_SENT
-    fresh = docs.join(F.broadcast(same), "doc_id", "left_anti") if few else docs
-    places = fresh.mapInArrow(_anchor_rows(length), "doc_id bigint, at int, h bigint")
-    counted = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("r"))
-    # written first: a join straight after the aggregation would use its partitioning, and Spark could not split a frequent hash's places
-    alive = places.join(cut(counted, "repeated-anchors"), F.col("h") == F.col("r"), "left_semi")
-    listed = alive.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    listed = cut(listed if few else listed.join(same, "doc_id", "left_anti"), "anchors")
-    windows = docs.join(listed, "doc_id").select("doc_id", "text", "places")
-    windows = windows.mapInArrow(_window_rows(length), "doc_id bigint, h bigint, place bigint, again boolean")
-    check, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    first = windows.where("NOT again").groupBy("h", check.alias("g")).agg(F.min("doc_id").alias("d2"), F.count("*").alias("n")).where("n > 1")
+    fresh = docs.join(same, "doc", "left_anti")
+    places = fresh.mapInArrow(_anchor_rows(length), "doc bigint, at int, h bigint")
+    counted = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("r")), "repeated-anchors")
+    alive = places.join(counted, F.col("h") == F.col("r"), "left_semi")
+    listed = cut(alive.groupBy("doc").agg(F.collect_list("at").alias("places")), "anchors")
+    free(counted)
+    windows = docs.join(listed, "doc").select("doc", "text", "places")
+    windows = windows.mapInArrow(_window_rows(length), "doc bigint, h bigint, g bigint, at int, again boolean")
+    first = windows.where("NOT again").groupBy("h", "g").agg(F.min("doc").alias("d2"), F.count("*").alias("n")).where("n > 1")
     first = cut(first.select(F.col("h").alias("h2"), F.col("g").alias("g2"), "d2"), "first-windows")
-    later = windows.join(first, (F.col("h") == F.col("h2")) & (check == F.col("g2")), "left").where("again OR doc_id > d2")
-    runs = later.select("doc_id", at.cast("int").alias("at")).groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("s"))
-    runs = runs.select("doc_id", _merged("s", length).alias("runs"))
+    later = windows.join(first, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left").where("again OR doc > d2")
+    runs = later.select("doc", "at").groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("s")).select("doc", _merged("s", length).alias("runs"))
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.lit(ALL).alias("end")))
-    runs = runs.unionByName(same.select("doc_id", whole.alias("runs")))
-    return runs.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "runs")
+    return runs.unionByName(same.select("doc", whole.alias("runs")))
 
 
 def _merged(column: str, length: int):
@@ -267,10 +296,10 @@ def _merged(column: str, length: int):
 def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """The input with the texts' repeats removed, and n_words, n_removed and kept_sha256 (of the kept words)."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
-    docs = docs.select(*names)
-    runs = cut(repeated_runs(docs.select("doc_id", "text"), length), "runs").select(F.col("doc_id").alias(_ID), F.col("runs").alias(_RUNS))
-    both = docs.join(runs, F.col("doc_id").eqNullSafe(F.col(_ID)), "left").drop(_ID)
-    out = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    known = identified(docs.select(*names))
+    runs = cut(repeated_runs(known.select(F.col(_DOC).alias("doc"), "text"), length), "runs").select(F.col("doc").alias(_ID), F.col("runs").alias(_RUNS))
+    both = known.join(runs, F.col(_DOC) == F.col(_ID), "left").drop(_ID, _DOC)
+    out = T.StructType([*docs.select(*names).schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     return both.mapInArrow(_removal_rows(names, to_arrow_schema(out), length), out)
 
 

@@ -39,9 +39,9 @@ def embedding_groups(rows, threshold=0.95):
 
 
 def repeats(rows, length=20):
-    """{doc_id: (n_words, removed places, kept words)}; rows in order of their ids."""
+    """{(doc_id, text): (n_words, removed places, kept words)}; documents in order of their ids, null first, then of their texts' digests."""
     seen, out = set(), {}
-    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+    for i, text in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0], sha(r[1]))):
         w = words(text)
         gone = set()
         for k in range(len(w) - length + 1):
@@ -49,7 +49,7 @@ def repeats(rows, length=20):
             if window in seen:
                 gone.update(range(k, k + length))
             seen.add(window)
-        out[i] = (len(w), gone, [x for k, x in enumerate(w) if k not in gone])
+        out[i, text] = (len(w), gone, [x for k, x in enumerate(w) if k not in gone])
     return out
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm import bpe, components, embed_dedup, langid, mixing, quality, sharding, simhash, substring, token_count, warc
+from tesserae.llm import bpe, common, components, embed_dedup, langid, mixing, quality, sharding, simhash, substring, token_count, warc
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, fp long, kept boolean, runs string, target double, d long, k long, row int, scale double, m0 double, f1 double, id string, n int"
@@ -95,14 +95,19 @@ def test_components(spark):
 # 2
 
 
+def digests(want):
+    return sorted(((i is not None, i, n, len(gone), brute.sha(" ".join(kept))) for (i, _), (n, gone, kept) in want), key=str)
+
+
+def found(df):
+    return sorted(((r["doc_id"] is not None, r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df).collect()), key=str)
+
+
 def test_substring(docs, rows, empty):
     got = substring.remove_repeats(docs).collect()
-    want = brute.repeats([(r[0], r[1]) for r in unique(rows)])
-    assert len(got) == len(rows)
-    for r in got:
-        n, gone, kept = want[r["doc_id"]]
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (n, len(gone), brute.sha(" ".join(kept)))
-        assert r["h"] == 2 and r["runs"] == "x"
+    want = brute.repeats([(r[0], r[1]) for r in rows])
+    assert sorted(((r["doc_id"] is not None, r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == digests([((r[0], 0), want[r[0], r[1] or ""]) for r in rows])
+    assert all(r["h"] == 2 and r["runs"] == "x" for r in got)
     assert substring.remove_repeats(empty).collect() == []
 
 
@@ -110,17 +115,43 @@ def test_substring_within_and_across(spark):
     rng = random.Random(8)
     pool = [sentence(rng, 15) for _ in range(12)]
     rows = [(i, " ".join(rng.choices(pool, k=rng.randint(1, 9)))) for i in range(80)]
-    want = brute.repeats(rows)
-    for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        n, gone, kept = want[r["doc_id"]]
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (n, len(gone), brute.sha(" ".join(kept)))
-
-
-def test_substring_without_sending_copies(spark, monkeypatch):
-    monkeypatch.setattr(substring, "MOST_SENT", 0)
-    text = sentence(random.Random(1), 50)
-    got = substring.remove_repeats(spark.createDataFrame([(1, text), (2, text), (3, "a b " + text)], "doc_id long, text string"))
-    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {1: 0, 2: 50, 3: 50}
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == digests(brute.repeats(rows).items())
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_substring_of_null_and_shared_ids(spark, threshold):
+    rng = random.Random(1)
+    u, v, w = (sentence(rng, 80) for _ in range(3))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)  # tables of ids sent to every task, or joined by a shuffle
+    try:
+        for rows in (
+            [(1, u), (2, u), (3, "a b " + u)],
+            [(None, v + " " + v), (None, u)],
+            [(1, v), (5, u), (5, v)],
+            [(None, u), (None, u), (-(1 << 63), u), (5, "x " + u), (5, w), (5, w), (5, None), (6, ""), (5, "")] + [(7, sentence(rng, 30) + " " + w) for _ in range(20)],
+        ):
+            want = brute.repeats(rows)
+            assert found(spark.createDataFrame(rows, "doc_id long, text string")) == digests([((i, 0), want[i, t or ""]) for i, t in rows])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_substring_tells_words_of_equal_hash(spark):
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rest = sentence(random.Random(2), 19)
+    df = spark.createDataFrame([(1, morse + " " + rest), (2, other + " " + rest), (3, morse + "\n" + rest)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_numbered_rows_in_many_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("g"), F.when(F.col("id") % 3 > 0, F.col("id") % 11).alias("x"))
+    got = common.numbered(df, "test-places", [F.col("x").asc_nulls_first()], ["g"], rows_each=300).collect()
+    for g in range(7):
+        mine = sorted(((r["place"], r["x"]) for r in got if r["g"] == g))
+        assert [p for p, _ in mine] == list(range(len(mine))) and [x for _, x in mine] == sorted((x for _, x in mine), key=lambda x: (x is not None, x))
+    assert sorted(r["place"] for r in common.numbered(df, "test-places", [F.col("x")], rows_each=700).collect()) == list(range(5000))
+    assert common.numbered(df.limit(0), "test-places", [F.col("x")]).collect() == []
 
 
 # 3

@@ -28,7 +28,7 @@ def test_stages(spark):
     _, top = brute.fingerprint_groups([(i, r["text"]) for i, r in rows[1].items()])
     assert set(rows[2]) == set(top.values())
 
-    for i, (_, gone, kept) in brute.repeats([(i, r["text"]) for i, r in rows[2].items()]).items():
+    for (i, _), (_, gone, kept) in brute.repeats([(i, r["text"]) for i, r in rows[2].items()]).items():
         r = rows[3][i]
         assert r["text"] == (" ".join(kept) if gone else rows[2][i]["text"]) and r["n_chars"] == (len(r["text"]) if gone else rows[2][i]["n_chars"])
 
