@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op5_warc": warc.OP5_SQL,
     "op7_quality_outliers": quality.sql(),
     "op8_source_mixing": mixing.OP8_SQL,
+    "op9_hash_tree_sharding": sharding.OP9_SQL,
 }

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table with awkward rows."""
 
 import base64
+import hashlib
 import math
 import random
 import zlib
@@ -444,13 +445,52 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.assign(empty).collect() == []
 
 
+def independent_descent(key, n, weights=None):
+    """A descent in plain Python, from the least draws of subtrees."""
+
+    def draw(s):
+        u = (int(hashlib.md5(f"tree-2/s{s}/{key}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        return -math.log(u) / (weights or {}).get(s, 1)
+
+    shards = list(range(n))
+    for width in (4, 2, 1):
+        parts = [shards[i : i + width] for i in range(0, len(shards), width)]
+        shards = min(parts, key=lambda p: min(map(draw, p)))
+    return shards[0]
+
+
+def test_shards_are_those_of_a_plain_descent(docs):
+    for r in sharding.assign(docs).collect():
+        key = "null" if r["doc_id"] is None else r["doc_id"]
+        assert (r["shard"], r["grown_shard"]) == (independent_descent(key, 8), independent_descent(key, 9))
+    heavy = {3: 5.0, 6: 0.5}
+    got = docs.select("doc_id", sharding.descend(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sharding.tree(11), heavy).alias("s")).collect()
+    assert all(r["s"] == independent_descent("null" if r["doc_id"] is None else r["doc_id"], 11, heavy) for r in got)
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    key = F.col("id").cast("string")
+    trees = [sharding.tree(n) for n in range(1, 21)]
+    rows = [r["r"] for r in spark.range(4000).select(sharding.routes(key, trees).alias("r")).collect()]
+    for n in range(1, 20):
+        moved = [r[n] for r in rows if r[n] != r[n - 1]]
+        assert set(moved) == {n} and abs(len(moved) - 4000 / (n + 1)) < 5 * math.sqrt(4000 / (n + 1))
+
+
+def test_plan_of_many_shards_stays_small(spark):
+    size = lambda n: len(sharding.descend(F.lit("x"), sharding.tree(n))._jc.toString())
+    assert size(64) < 2.5 * size(32) < 6 * size(16)
+    assert spark.range(200).select(sharding.descend(F.col("id").cast("string"), sharding.tree(64)).alias("s")).distinct().count() > 40
+
+
 def test_weights_move_only_their_subtrees(spark):
     ids = spark.range(3000).select(F.col("id").cast("string").alias("k"))
     a, b = sharding.tree(8), sharding.tree(8)
     b["g1"]["r2"] = [*b["g1"]["r2"], 8]
     moved = ids.select(sharding.descend(F.col("k"), a).alias("a"), sharding.descend(F.col("k"), b).alias("b")).where("a <> b").collect()
-    assert moved and all(r["b"] in (4, 5, 6, 7, 8) for r in moved)
-    assert not any(r["a"] < 4 and r["b"] < 4 for r in moved)
+    assert moved and all(r["b"] == 8 for r in moved)
+    both = ids.select(sharding.descend(F.col("k"), a).alias("a"), sharding.descend(F.col("k"), a, {5: 3.0}).alias("b"), sharding.descend(F.col("k"), a, {5: 0.3}).alias("c"))
+    assert {r["b"] for r in both.where("a <> b").collect()} == {5} == {r["a"] for r in both.where("a <> c").collect()}
 
 
 # 10
