@@ -3,17 +3,19 @@
 A text's subwords are its UTF-8 n-grams (2 to 4 bytes, A-Z in lower case, white space as one space each), hashed to
 ``BUCKETS`` embeddings. The embeddings of a whole text are averaged and a linear layer with a softmax gives a
 probability per language. Both are trained by stochastic gradient descent in numpy on the driver, on a bounded
-sample of labelled documents: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` of text, chosen by a hash of their
-ids, as evenly over languages as they allow: both bounds are dealt out by language, and
-documents too long for their language's bytes are trained on by a slice from a hashed place. Steps alternate between whole texts and short slices, so that short
-texts are met in training too.
+sample of labelled documents: at most ``SAMPLE_ROWS`` rows, or ``LANGUAGE_ROWS`` for each language if that is more, and
+``SAMPLE_BYTES`` of text, chosen by a hash of their ids, as evenly over languages as they allow: both bounds are dealt out
+by language, and documents too long for their language's bytes are trained on by a slice from a hashed place. Every
+language with a labelled row is learned, however many there are. Steps alternate between whole texts and short slices,
+so that short texts are met in training too.
 
 A fifth of the sample is held back for calibration: the softmax's temperature is the one with the least log loss on
 it, and the rejection threshold is the least score above which ``PRECISION`` of its predictions are right. Predictions
 below it are marked ``rejected``; the language is given all the same.
 
-Prediction folds the linear layer into the embeddings, so a text's logits are an average over a table of
-BUCKETS x languages, which is sent with the tasks (its size is checked). It uses nothing but the text.
+Prediction averages a table of BUCKETS rows over a text's subwords: the embeddings themselves, followed by the linear layer,
+or, with fewer languages than ``WIDTH``, the embeddings with the linear layer folded into them. Either has at most BUCKETS x
+WIDTH numbers (2 MB), which are sent with the tasks. It uses nothing but the text.
 
 Nulls and edge cases: null texts and texts without letters are ``und`` with score 0 and rejected; rows without
 language aren't trained on; a null doc_id is not held out and not trained on; without any labelled row every text is
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import mix64, pieces, text_bytes, unit_draw
 
 BUCKETS, WIDTH, LENGTHS = 1 << 15, 16, (2, 3, 4)
-SAMPLE_ROWS, SAMPLE_BYTES, MOST_LANGUAGES = 4000, 16 << 20, 200
+SAMPLE_ROWS, LANGUAGE_ROWS, SAMPLE_BYTES = 4000, 20, 16 << 20
 EPOCHS, RATE, PRECISION = 4, 2.0, 0.99
 UNKNOWN = "und"
 
@@ -58,14 +60,15 @@ def subwords(data: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages: each bucket's part in the logits
+    table: np.ndarray  # BUCKETS x width: each bucket's embedding, or its part in the logits
+    weight: np.ndarray | None  # width x languages: the linear layer, unless it is folded into the table
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row per text; texts without subwords have the bias alone."""
-        total = np.zeros((len(offsets) - 1, len(self.languages)))
+        total = np.zeros((len(offsets) - 1, self.table.shape[1]))
         count = np.zeros(len(offsets) - 1)
         for n in LENGTHS:
             size = np.maximum(np.diff(offsets) - n + 1, 0)
@@ -75,10 +78,11 @@ class Model:
             buckets = subwords(data, n)
             edges = np.stack([offsets[:-1][full], offsets[:-1][full] + size[full]], 1).ravel()
             edges = edges[:-1] if edges[-1] == len(buckets) else edges
-            for k in range(len(self.languages)):  # sums between a text's edges; those between texts are skipped
+            for k in range(self.table.shape[1]):  # sums between a text's edges; those between texts are skipped
                 total[full, k] += np.add.reduceat(self.table[:, k][buckets], edges, dtype=np.float64)[::2]
             count += size
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        mean = total / np.maximum(count, 1)[:, None]
+        return (mean if self.weight is None else mean @ self.weight) + self.bias
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best language's number, and its calibrated probability."""
@@ -128,7 +132,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Model:
             weight -= rate * 0.1 * np.outer(v, g)
             bias -= rate * 0.01 * g
             embed[ids] = rows - rate * np.outer(share * len(share) ** 0.5, back)
-    model = Model(languages, np.ascontiguousarray(embed @ weight), bias.astype(np.float64))
+    folded = len(languages) < WIDTH
+    model = Model(languages, np.ascontiguousarray(embed @ weight) if folded else embed, None if folded else weight.astype(np.float64), bias.astype(np.float64))
     if len(held):
         _calibrate(model, [texts[i] for i in held], target[held], rng)
     return model
@@ -163,41 +168,41 @@ def sample(docs: DataFrame, key: str = "doc_id") -> tuple[list[bytes], list[str]
     An id that repeats within a language counts as one document.
     """
     fit = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
-    sizes = fit.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(key).alias("ids"))
-    n = {r["lang"]: r["ids"] for r in sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    fit = fit.select(key, "lang", "text")
+    n = {r["lang"]: r["ids"] for r in fit.groupBy("lang").agg(F.approx_count_distinct(key).alias("ids")).collect()}
+    if not n:
+        return [], []
+    spark, rows_bound = docs.sparkSession, max(SAMPLE_ROWS, LANGUAGE_ROWS * len(n))
     draw = unit_draw(F.lit("langid-1"), F.col(key).cast("string"))
-    most, share = level(list(n.values()), SAMPLE_ROWS), F.lit(0.0)
-    for lang, ids in n.items():  # about twice what the language can have, so that it doesn't run short by chance
-        share = F.when(F.col("lang") == lang, F.lit((2.0 * most + 10) / ids)).otherwise(share)
-    near = fit.select(key, "lang", draw.alias("u"), share.alias("share"), F.octet_length("text").alias("n")).where("u < share")
+    most = level(list(n.values()), rows_bound)
+    # about twice what the language can have, so that it doesn't run short by chance
+    shares = F.broadcast(spark.createDataFrame([(lang, (2.0 * most + 10) / max(ids, 1)) for lang, ids in n.items()], "_lang string, share double"))
+    near = fit.select(key, "lang", draw.alias("u"), F.octet_length("text").alias("n")).join(shares, F.col("lang") == F.col("_lang")).where("u < share")
     near = near.groupBy(key, "lang").agg(F.first("u").alias("u"), F.first("share").alias("share"), F.max("n").alias("n"))
     by_lang: dict[str, list] = {}
-    for r in near.orderBy(F.col("u") / F.col("share"), key, "lang").limit(4 * SAMPLE_ROWS).collect():
+    for r in near.orderBy(F.col("u") / F.col("share"), key, "lang").limit(4 * rows_bound).collect():
         by_lang.setdefault(r["lang"], []).append(r)
-    most = level([len(rows) for rows in by_lang.values()], SAMPLE_ROWS)
+    most = level([len(rows) for rows in by_lang.values()], rows_bound)
     by_lang = {lang: rows[:most] for lang, rows in by_lang.items()}
     most_bytes = level([sum(r["n"] for r in rows) for rows in by_lang.values()], SAMPLE_BYTES)
     # documents longer than the bytes allow are trained on by a slice, so that none is left out or takes the others' room
     piece = {lang: level([r["n"] for r in rows], min(most_bytes, sum(r["n"] for r in rows))) for lang, rows in by_lang.items()}
-    kept = {(r[key], lang) for lang, rows in by_lang.items() for r in rows}
+    kept = [(r[key], lang, piece[lang]) for lang, rows in by_lang.items() for r in rows]
     if not kept:
         return [], []
-    size = F.lit(0)
-    for lang, most in piece.items():
-        size = F.when(F.col("lang") == lang, F.lit(most)).otherwise(size)
+    wanted = F.broadcast(spark.createDataFrame(kept, f"_key {dict(docs.dtypes)[key]}, _lang string, size int"))
+    size = F.col("size")
     room = F.greatest(F.octet_length("text") - size, F.lit(0))
     start = F.floor(unit_draw(F.lit("langid-slice"), F.col(key).cast("string")) * (room + 1)).cast("int")
     data = F.substring(F.col("text").cast("binary"), start + 1, size)
-    rows = fit.where(F.col(key).isin(*{k for k, _ in kept})).groupBy(key, "lang").agg(F.min(data).alias("data"), F.first(draw).alias("u")).collect()
-    rows = sorted((r for r in rows if (r[key], r["lang"]) in kept), key=lambda r: (r["u"], r[key], r["lang"]))
+    rows = fit.join(wanted, (F.col(key) == F.col("_key")) & (F.col("lang") == F.col("_lang")))
+    rows = rows.groupBy(key, "lang").agg(F.min(data).alias("data"), F.first(draw).alias("u")).collect()
+    rows = sorted(rows, key=lambda r: (r["u"], r[key], r["lang"]))
     return [bytes(r["data"]) for r in rows], [r["lang"] for r in rows]
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """(key, held_out, lang_pred, score, rejected)."""
-    if model.table.nbytes > 64 << 20:
-        raise ValueError("the model is too large to send with tasks")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 1 << 19):
@@ -220,7 +225,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Trains on the labelled rows that aren't held out, and predicts all rows."""
     texts, labels = sample(docs, key)
-    model = train(texts, labels) if texts else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    model = train(texts, labels) if texts else Model([], np.zeros((BUCKETS, 0), np.float32), None, np.zeros(0))
     return predict(docs, model, key)
 
 
