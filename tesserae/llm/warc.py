@@ -7,13 +7,18 @@ by offset, neighbouring byte ranges are coalesced into one read, and records are
 Of records with equal payloads of ``LEAST`` bytes or more, the one with the smallest id is a response; the others
 are revisits, which have no payload but refer to it. Equality is that of SHA-256 digests and lengths.
 
+A file begins with a warcinfo record, which is in no index. Responses are HTTP messages whose body is the payload; payload
+digests are those of the body. A record's id is made from the page's id and its payload's digest, so a revisit names its
+response (WARC-Refers-To, with the response's URI and date) without meeting it.
+
 A task writes each file under a name of its own and names it in the index only when it is complete; the index is
 committed by Spark. A file of a failed or repeated attempt is in no index and so is never read. Files go to a folder
 that executors share (``spark.checkpoint.dir``) through Arrow's file systems.
 
-Nulls and edge cases: a null payload is written as empty; a null URL has the URI ``urn:null`` and is read back as
-null; a null id is larger than all others, and is written as ``null``; rows that repeat an id with the same payload
-count as one record of the group: if it is the smallest, all of them are responses; an empty table gives an empty
+Nulls and edge cases: a null payload is written as empty; a URL that is null, or holds characters that a header can't, is
+written percent-encoded (null as ``urn:x-none``) and kept as it is in a field ``X-Target``, from which it is read back; a
+null id is larger than all others, and is written as ``null``; rows that repeat an id and payload are one capture: they
+have the same record id, and if theirs is the smallest id, all of them are responses; an empty table gives an empty
 result; clashing columns of the input aren't read.
 """
 
@@ -21,18 +26,23 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, pieces, scratch_path
+from tesserae.llm.common import cut, free, pieces, scratch_path
 
 LEAST = 100
 FILE_BYTES, GAP, MOST_READ = 64 << 20, 64 << 10, 8 << 20
+#: Archive bytes that a reading task is given, and the number of tasks beyond which they get more each.
+TASK_BYTES, MOST_TASKS = 4 << 20, 4096
+WHEN, NO_URL = "2024-01-01T00:00:00Z", "urn:x-none"
 _INDEX = pa.schema([
     ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()),
     ("page_id", pa.int64()),
@@ -46,30 +56,61 @@ _RECORD = pa.schema([
 
 
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Adds payload_bytes, payload_digest and refers_to (null for responses). Groups are counted before they are shuffled; ids, not payloads, are joined."""
+    """Adds payload_bytes, payload_digest, and refers_to and refers_url (null for responses).
+
+    Groups are settled on ids and digests alone. The decisions are written before they meet the payloads: Spark sees their size,
+    and sends them to every task if they are small; otherwise payloads and decisions are shuffled by id.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    sized = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    long = cut(sized.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest"), "warc-digests")
-    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    copies = long.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
-    copies = copies.select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), F.col("first").alias("refers_to")).distinct()
-    on = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("payload_digest") == F.col("_d"))
+    digest = F.sha2(payload, 256)
+    long = cut(pages.where(F.octet_length(payload) >= least).select("page_id", "url", F.unhex(digest).alias("digest")), "warc-digests")
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("page_id").alias("m"), F.count("*").alias("n"), F.min_by("url", "page_id").alias("first_url"))
+    first = cut(first.where("first < last OR (m > 0 AND m < n)").select(F.col("digest").alias("_f"), "first", "first_url"), "warc-first")
+    copies = long.join(first, F.col("digest") == F.col("_f")).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    copies = copies.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("first").alias("refers_to"), F.col("first_url").alias("refers_url")).distinct()
+    copies = cut(copies, "warc-copies")
+    free(long, first)
+    sized = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
+    on = F.col("page_id").eqNullSafe(F.col("_p")) & (F.unhex("payload_digest") == F.col("_d"))
     return sized.join(copies, on, "left").drop("_p", "_d")
 
 
-def _record(row: dict, when: str = "2024-01-01T00:00:00Z") -> bytes:
+def _target(url: str | None) -> str:
+    return NO_URL if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~-._") or "urn:x-empty"
+
+
+def _record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
+
+
+def _framed(head: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _info(name: str) -> bytes:
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id(None, name)}", f"WARC-Date: {WHEN}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _framed(head, b"software: tesserae\r\nformat: WARC File Format 1.1\r\n")
+
+
+def _record(row: dict) -> bytes:
     revisit = row["refers_to"] is not None
     body = b"" if revisit else (row["html"] or "").encode()
+    target = _target(row["url"])
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(row['page_id']))}>", f"WARC-Date: {when}",
-        f"WARC-Target-URI: {'urn:null' if row['url'] is None else ''.join(row['url'].splitlines())}",
-        f"WARC-Payload-Digest: sha256:{row['payload_digest']}", f"X-Payload-Bytes: {row['payload_bytes']}", f"X-Page-ID: {'null' if row['page_id'] is None else row['page_id']}",
+        f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(row['page_id'], row['payload_digest'])}",
+        f"WARC-Date: {WHEN}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{row['payload_digest']}",
+        f"X-Payload-Bytes: {row['payload_bytes']}", f"X-Page-ID: {'null' if row['page_id'] is None else row['page_id']}",
     ]
+    if target != row["url"]:
+        head.append(f"X-Target: {json.dumps(row['url'])}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {row['refers_to']}"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_record_id(row['refers_to'], row['payload_digest'])}", f"WARC-Refers-To-Target-URI: {_target(row['refers_url'])}",
+            f"WARC-Refers-To-Date: {WHEN}", f"X-Refers-To-Page-ID: {row['refers_to']}",
+        ]
+    message = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
+    return _framed([*head, "Content-Type: application/http; msgtype=response"], message + body)
 
 
 def parse(record: bytes) -> dict:
@@ -80,13 +121,14 @@ def parse(record: bytes) -> dict:
     size = int(field["Content-Length"])
     if not version.startswith("WARC/1.") or rest[size:] != b"\r\n\r\n":
         raise ValueError("not a whole WARC record")
-    kind, body, digest = field["WARC-Type"], rest[:size], field["WARC-Payload-Digest"].removeprefix("sha256:")
+    kind, digest = field["WARC-Type"], field["WARC-Payload-Digest"].removeprefix("sha256:")
+    body = rest[:size].partition(b"\r\n\r\n")[2]
     if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
         raise ValueError(f"the payload of {field['X-Page-ID']} does not have its digest")
     number = lambda x: None if x in (None, "null") else int(x)
     return {
-        "page_id": number(field["X-Page-ID"]), "url": None if field["WARC-Target-URI"] == "urn:null" else field["WARC-Target-URI"],
-        "payload_bytes": int(field["X-Payload-Bytes"]) if kind == "revisit" else size, "payload_digest": digest, "record_type": kind,
+        "page_id": number(field["X-Page-ID"]), "url": json.loads(field["X-Target"]) if "X-Target" in field else field["WARC-Target-URI"],
+        "payload_bytes": int(field["X-Payload-Bytes"]) if kind == "revisit" else len(body), "payload_digest": digest, "record_type": kind,
         "refers_to": number(field.get("X-Refers-To-Page-ID")), "html": body if kind == "response" else None,
     }
 
@@ -112,6 +154,9 @@ def write(decided: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
                     if out is None:
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{top}/{name}", compression=None)
+                        info = gzip.compress(_info(name), 4, mtime=0)
+                        out.write(info)
+                        at = len(info)
                     data = gzip.compress(_record(row), 4, mtime=0)
                     out.write(data)
                     rows.append({"file": name, "offset": at, "length": len(data), "url": row["url"], "digest": row["payload_digest"], "page_id": row["page_id"]})
@@ -120,7 +165,7 @@ def write(decided: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
                         yield from done()
         yield from done()
 
-    index = decided.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, INDEX)
+    index = decided.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", "refers_url").mapInArrow(run, INDEX)
     index.write.parquet(f"{folder}/index")
     return decided.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
 
@@ -168,8 +213,11 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             opened.close()
 
     wanted = index.select("file", "offset", "length")
-    # a file's ranges may be read by several tasks: files are cut at every 16 MB, so one large file doesn't make one long task
-    dealt = wanted.repartition(F.col("file"), F.floor(F.col("offset") / (16 << 20)))
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    # a file's ranges may be read by several tasks, so one large file doesn't make one long task; the number of tasks follows from what
+    # is to be read, as the index itself is small
+    tasks = max(1, min(-(-total // TASK_BYTES), MOST_TASKS), total // (64 * TASK_BYTES))
+    dealt = wanted.repartition(tasks, F.col("file"), F.floor(F.col("offset") / TASK_BYTES))
     return dealt.sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
 
 

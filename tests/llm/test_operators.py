@@ -201,6 +201,48 @@ def test_language_sample_survives_long_documents(spark, monkeypatch):
     assert all(t in whole or len(t) > 100 for t in texts)
 
 
+def test_language_sample_survives_one_very_long_text(spark):
+    rng = random.Random(4)
+    kinds = {"en": "the thing with wherever", "de": "der über schön nicht"}
+    rows = [(i, " ".join(rng.choices(kinds[k].split(), k=20)), k) for i in range(400) for k in [rng.choice(list(kinds))]]
+    first = min((i for i in range(400) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(f"langid-1/{i}".encode()).hexdigest())
+    rows[first] = (first, rows[first][1] + " x" * 9_000_000, rows[first][2])
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert np.mean([r["lang_pred"] == rows[r["doc_id"]][2] for r in got if r["doc_id"] != first]) > 0.98
+
+
+def test_language_knows_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 50)
+    rng = random.Random(7)
+    words = {f"l{k:03}": [sentence(rng, 1) + chr(0x100 + k) * 3 for _ in range(4)] for k in range(230)}
+    rows = [(i, " ".join(rng.choices(words[x], k=30)), x) for i, x in enumerate(x for x in words for _ in range(8))]
+    texts, labels = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(labels) == set(words)
+    model = langid.train(texts, labels)
+    assert model.weight is not None and len(model.languages) == 230 and model.table.nbytes <= 2 << 20
+
+
+def test_language_logits_are_plain_averages():
+    rng = np.random.default_rng(3)
+    texts = [b"", b"a", "Über  den\tWolken".encode(), b"THE end the END"]
+    for languages in (3, 40):
+        names = [f"l{k}" for k in range(languages)]
+        model = langid.train([b"some text of no use"] * languages, names)
+        model.table = rng.normal(size=model.table.shape).astype(np.float32)
+        got = model.logits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        for k, t in enumerate(texts):
+            t = bytes(x + 32 if 65 <= x <= 90 else 32 if 9 <= x <= 13 else x for x in t)
+            rows = []
+            for n in (2, 3, 4):
+                for i in range(len(t) - n + 1):
+                    x = int.from_bytes(bytes([n]) + t[i : i + n], "big")
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        x = (x ^ x >> shift) * factor % (1 << 64)
+                    rows.append(model.table[(x ^ x >> 31) % langid.BUCKETS].astype(float))
+            mean = np.mean(rows, 0) if rows else np.zeros(model.table.shape[1])
+            assert np.allclose(got[k], (mean if model.weight is None else mean @ model.weight) + model.bias)
+
+
 def test_language_model_is_a_function_of_its_sample():
     texts, labels = [b"the thing", b"der die das", b"the other", b"das sind"] * 20, ["en", "de", "en", "de"] * 20
     a, b = langid.train(texts, labels), langid.train(texts, labels)
@@ -259,17 +301,38 @@ def test_majorities_of_many():
 # 5
 
 
+def archived(path):
+    """The header fields of a file's records, read as any reader would: member by member, from the start."""
+    out, data = [], path.read_bytes()
+    while data:
+        member = zlib.decompressobj(31)
+        head, _, block = member.decompress(data).partition(b"\r\n\r\n")
+        data = member.unused_data
+        version, *lines = head.decode().split("\r\n")
+        assert version == "WARC/1.1" and block.endswith(b"\r\n\r\n")
+        out.append(dict(x.split(": ", 1) for x in lines) | {"block": len(block) - 4})
+    return out
+
+
 def test_warc(spark, tmp_path):
     page = "<html>" + "é" * 80 + "\r\n\r\nWARC/1.1</html>"
-    rows = [(5, "http://a/5", page), (3, "http://a/3", page), (9, None, page), (1, "http://a/1", "short"), (2, "http://a/2\r\nX: y", "short"), (7, "u", None), (8, "u", ""), (None, "n", page), (3, "http://a/3", page), (11, "big", "z" * 300_000)]
+    rows = [(5, "http://a/5", page), (3, "http://a/3", page), (9, None, page), (1, "http://a/1", "short"), (2, "http://a/2\r\nX: y", "short"), (7, "u", None), (8, "u", ""), (None, "n", page), (3, "http://a/3", page), (11, "big", "z" * 300_000), (12, "urn:x-none", "a"), (13, "", "b"), (14, "http://é/\n", "c"), (3, "http://a/3", "other")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(0)).withColumn("payload_digest", F.lit("clash"))
     index = warc.write(warc.decide(pages), f"file://{tmp_path}/w", file_bytes=2000)
     assert index.count() == len(rows) and index.select("file").distinct().count() > 1
     got = warc.read(index, f"file://{tmp_path}/w").collect()
     want = sorted((i if i is not None else -1, len((h or "").encode()), brute.sha(h or ""), "revisit" if h == page and i != 3 else "response", 3 if h == page and i != 3 else None) for i, _, h in rows)
     assert sorted((r["page_id"] if r["page_id"] is not None else -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
-    html = {i: h for i, _, h in rows}
-    assert all(bytes(r["html"]).decode() == (html[r["page_id"]] or "") for r in got if r["record_type"] == "response")
+    assert all(brute.sha(bytes(r["html"])) == r["payload_digest"] for r in got if r["record_type"] == "response")
+    assert sorted(str(r["url"]) for r in got) == sorted(str(u) for _, u, _ in rows) and {r["page_id"] for r in got if r["url"] is None} == {9}
+    records = [x for name in {r["file"] for r in index.collect()} for x in archived(tmp_path / "w" / name)]
+    assert sum(x["WARC-Type"] == "warcinfo" for x in records) == len({r["file"] for r in index.collect()}) and all(x["block"] == int(x["Content-Length"]) for x in records)
+    ids = {x["WARC-Record-ID"]: x for x in records}
+    assert len(ids) == len(records) - 1  # the one row that is repeated
+    for x in records:
+        if x["WARC-Type"] == "revisit":
+            response = ids[x["WARC-Refers-To"]]
+            assert response["WARC-Type"] == "response" and response["WARC-Payload-Digest"] == x["WARC-Payload-Digest"] and response["WARC-Target-URI"] == x["WARC-Refers-To-Target-URI"]
     some = warc.read(index.where("page_id IN (1, 11)"), f"file://{tmp_path}/w").collect()
     assert sorted(r["page_id"] for r in some) == [1, 11]
     assert warc.read(warc.write(warc.decide(pages.limit(0)), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").collect() == []
