@@ -4,12 +4,16 @@ Each document draws an exponential key ``-ln(u) / quality``; a smaller key is sa
 higher quality weight come first more often. A source's target is met by complete epochs (every document once
 per epoch) and then by the documents with the smallest keys, up to the words that are left: the sizes are
 prefix-summed in key order. The prefix sum never gathers a source in one task: key ranges are summed first, and
-only the one range that holds the budget's edge is ordered row by row.
+only the one range that holds the budget's edge is ordered row by row. Ranges are those of the key's logarithm, ``RANGES`` to
+a doubling: a weight only shifts it, so whatever the weights are, a range holds less than one in 5,000 documents of a source.
+
+Sources are numbered over ranges of their order, and targets are found by sums over all sources, round by round: sources
+too may be many.
 
 Nulls and edge cases: a null text has size 0 and takes 0 words; a null source is a source of its own, last in
 order; documents without words have keys like others and never change a sum; repeated rows have equal keys and
 are interchangeable; an empty table gives an empty result. Other columns of the input pass through ``mix``
-unchanged; the names of ``ADDED`` are replaced where they clash.
+unchanged; the names of ``ADDED`` are replaced where they clash in ``decide``.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tesserae.llm.common import UNIT_DRAW_SQL, cut, unit_draw, word_count
+from tesserae.llm.common import UNIT_DRAW_SQL, cut, numbered, unit_draw, word_count
 
 MAX_EPOCHS = 3
-#: Key ranges of a source: its edge range holds about this part of its documents.
-RANGES = 4096
+#: Key ranges to each doubling of a key.
+RANGES = 1024
 ADDED = ("size", "source_size", "target", "copies", "taken")
 SYMBOLS = "#*$%&|<>"
 
@@ -39,74 +43,77 @@ def targets(sizes: DataFrame, cap: int = MAX_EPOCHS) -> DataFrame:
 
     ``sizes``: (source, source_size), a row per source. Weights are 1, 2, 3, repeating in code point order of
     the source, null last. All words are shared by weight; what exceeds ``cap`` times a source's size is shared
-    anew by weight among the others until none is above. That ends at one level: sources are capped in order of
-    cap / weight as long as this ratio is below the words left per weight left.
+    anew by weight among the others until none is above.
+    """
+    s = numbered(sizes, "mix-sources", [F.col("source").asc_nulls_last()])
+    s = cut(s.select("source", "source_size", (F.col("place") % 3 + 1).alias("weight"), (F.col("source_size") * cap).alias("cap")), "mix-weights")
+    words = s.agg(F.sum("source_size")).first()[0] or 0
+    share, capped = 0.0, -1
+    while True:  # words of one weight: a round caps at least one source more, or is the last
+        over = F.col("cap") <= F.col("weight") * F.lit(share)
+        found = s.agg(F.sum(F.when(over, F.col("cap"))).alias("given"), F.sum(F.when(~over, F.col("weight"))).alias("weights"), F.sum(F.when(over, 1).otherwise(0)).alias("n")).first()
+        if found["n"] == capped or not found["weights"]:
+            break
+        capped, share = found["n"], (words - (found["given"] or 0)) / found["weights"]
+    over = F.col("cap") <= F.col("weight") * F.lit(share)
+    return s.select("source", "source_size", F.when(over, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(share)).alias("target"))
+
+
+def decide(docs: DataFrame, key: str = "doc_id", seed: str = "mix-1", beside: tuple[str, ...] = ()) -> DataFrame:
+    """(key, source, size, source_size, target, copies, taken, draw): how often each document goes into the mix. A row per input row.
+
+    Columns ``beside`` of the input are carried along.
     """
-    order = W.orderBy(F.col("source").isNull(), F.col("source"))
-    before = W.orderBy("ratio", "position").rowsBetween(W.unboundedPreceding, -1)
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = sizes.withColumn("position", F.row_number().over(order))
-    s = s.withColumn("weight", (F.lit(1) + (F.col("position") - 1) % 3).cast("double"))
-    s = s.withColumn("cap", F.lit(float(cap)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    s = s.withColumn("left_words", F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    s = s.withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", F.col("left_words") / F.col("left_weight"))
-    s = s.withColumn("shared", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "position", "level"))).over(every)["level"])
-    target = F.when((F.col("ratio") < F.col("level")) | F.col("shared").isNull(), F.col("cap")).otherwise(F.col("shared") * F.col("weight"))
-    return s.select("source", "source_size", target.alias("target"))
-
-
-def decide(docs: DataFrame, key: str = "doc_id", seed: str = "mix-1") -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken, draw): how often each document goes into the mix. A row per input row."""
     draw = -F.log(unit_draw(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))) / quality_weight(F.col("text"))
-    sized = cut(docs.select(key, "source", word_count(F.col("text")).alias("size"), draw.alias("draw")), "mix-sizes")
-    # exp(-draw) falls in (0, 1): ranges of it follow the keys' order from its top
-    sized = sized.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("draw"))) * RANGES).cast("int"))
+    sized = cut(docs.select(key, "source", word_count(F.col("text")).alias("size"), draw.alias("draw"), *beside), "mix-sizes")
+    sized = sized.withColumn("range", F.floor(F.log2("draw") * RANGES).cast("int"))
 
-    # the table of sources is as long as there are sources: its size decides whether joins send it to every task
-    by_range = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    by_range = cut(by_range, "mix-ranges")
+    # tables by source are written, so their size decides whether joins send them to every task
+    by_range = cut(sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     goal = targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    goal = cut(goal.withColumnRenamed("source", "s"), "mix-goals")
     ahead = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    edges = by_range.withColumn("before", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
-    edges = cut(_with(edges, goal), "mix-edges")
-
-    inner = (F.col("before") + F.col("range_size") <= F.col("rest"))
-    outer = F.col("before") >= F.col("rest")
-    placed = sized.join(
-        edges.withColumnRenamed("source", "s").withColumnRenamed("range", "r"),
-        F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")),
-    ).drop("s", "r")
-    whole = placed.where(inner | outer).withColumn("extra", F.when(inner, 1).otherwise(0))
-    in_order = W.partitionBy("source", "range").orderBy("draw", key).rowsBetween(W.unboundedPreceding, -1)
+    before = by_range.withColumn("before", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
+    # of each source, where the last range that is taken whole ends; ranges after the edge's are not taken
+    fits = before.join(goal, F.col("source").eqNullSafe(F.col("s")))
+    fits = fits.where(F.col("before") < F.col("rest")).groupBy("s").agg(F.max_by(F.struct(F.col("range").alias("edge"), "before"), "range").alias("e"))
+    fits = cut(fits.select(F.col("s").alias("t"), "e.edge", "e.before"), "mix-edges")
+    goal = cut(goal.join(fits, F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "mix-bounds")
+
+    placed = sized.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    at_edge = F.coalesce(F.col("range") == F.col("edge"), F.lit(False))
+    whole = placed.where(~at_edge).withColumn("extra", F.when(F.col("range") < F.col("edge"), 1).otherwise(0))
+    in_order = W.partitionBy("source").orderBy("draw", F.col(key).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     ahead_of_it = F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)) + F.col("size") / 2
-    edge = placed.where(~(inner | outer)).withColumn("extra", F.when(ahead_of_it <= F.col("rest"), 1).otherwise(0))
-    both = whole.unionByName(edge)
+    edge = placed.where(at_edge).withColumn("extra", F.when(ahead_of_it <= F.col("rest"), 1).otherwise(0))
     copies = (F.col("epochs") + F.col("extra")).cast("long")
-    return both.select(
+    return whole.unionByName(edge).select(
         key, "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies"), (copies * F.col("size")).alias("taken"), "draw",
+        F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies"), (copies * F.col("size")).alias("taken"), "draw", *beside,
     )
 
 
-def _with(edges: DataFrame, goal: DataFrame) -> DataFrame:
-    goal = goal.withColumnRenamed("source", "s")
-    return edges.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-
-
 def mix(docs: DataFrame, key: str = "doc_id", seed: str = "mix-1") -> DataFrame:
     """The mixed corpus: each document as often as it was taken, with the input's columns.
 
-    Decisions are joined by key and source; rows that repeat a key get its decision once each.
+    Decisions are joined by key, source and the text's digest. Of rows that repeat all three, the edge may take some once more than
+    others: these rows (one group a source at most) are numbered over ranges of their order, and the first of them get the extra copy.
     """
-    chosen = decide(docs, key, seed).where("copies > 0").select(F.col(key).alias("k"), F.col("source").alias("s"), "copies")
-    chosen = chosen.groupBy("k", "s").agg(F.min("copies").alias("n"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    out = rows.join(chosen, F.col(f"row.{key}").eqNullSafe(F.col("k")) & F.col("row.source").eqNullSafe(F.col("s")))
-    out = out.where(F.col("row.text").rlike("[^\\x20\\x09-\\x0D]"))
-    return out.select("row", F.explode(F.expr("sequence(1, n)"))).select("row.*")
+    digest = F.md5(F.col("text").cast("binary"))
+    told = docs.select(F.col(key).alias("k"), "source", "text", digest.alias("d"))
+    chosen = decide(told, "k", seed, ("d",)).where("size > 0").groupBy("k", "source", "d").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    chosen = chosen.where("all > 0").select("k", F.col("source").alias("s"), "d", F.floor(F.col("all") / F.col("rows")).alias("n"), (F.col("all") % F.col("rows")).alias("more"))
+    chosen = cut(chosen, "mix-chosen")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest"))
+    out = rows.join(chosen, F.col(f"row.{key}").eqNullSafe(F.col("k")) & F.col("row.source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d")))
+    uneven = chosen.where("more > 0")
+    if not uneven.isEmpty():
+        tied = numbered(out.where("more > 0"), "mix-tied", [], ["k", "s", "d"])
+        tied = tied.withColumn("n", F.col("n") + F.when(F.col("place") < F.col("more"), 1).otherwise(0))
+        out = out.where("more = 0").unionByName(tied.select(*out.columns))
+    return out.where("n > 0").select("row", F.explode(F.expr("sequence(1, n)"))).select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

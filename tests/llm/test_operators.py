@@ -477,10 +477,32 @@ def test_mixing(docs, rows, empty):
     assert sorted(map(str, mixing.decide(docs).collect())) == sorted(map(str, got))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert sum(len(brute.words(r["text"])) for r in mixed.where("doc_id <> 9").collect()) == sum(r["taken"] for r in got if r["doc_id"] not in (9, None))
+    taken = lambda rows: {k: sum(n for x, n in rows if x == k) for k in {x for x, n in rows if n}}
+    assert taken([((r["doc_id"], r["source"]), len(brute.words(r["text"]))) for r in mixed.collect()]) == taken([((r["doc_id"], r["source"]), r["taken"]) for r in got])
     assert mixing.decide(empty).collect() == [] and mixing.mix(empty).collect() == []
 
 
+def test_mix_gives_what_was_decided_of_repeated_rows(spark):
+    rng = random.Random(5)
+    rows = [(7, "one two three", "a")] * 30 + [(7, "four five", "a")] * 5 + [(None, sentence(rng, rng.randint(1, 30)), "a") for _ in range(20)]
+    rows += [(i, sentence(rng, rng.randint(1, 60)), "b") for i in range(60)] + [(i, "%" * rng.randint(1, 40) + " x", None) for i in range(60)] + [(500, "y " * 200_000, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = {}, {}
+    for r in mixing.decide(df, beside=("text",)).collect():
+        want[r["doc_id"], r["text"]] = want.get((r["doc_id"], r["text"]), 0) + r["copies"]
+    for r in mixing.mix(df).collect():
+        got[r["doc_id"], r["text"]] = got.get((r["doc_id"], r["text"]), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_key_ranges_stay_small_whatever_the_weights(spark):
+    ids = spark.range(200_000)
+    texts = ids.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, "##### x").when(F.col("id") % 8 > 0, "").otherwise("plain words").alias("text"))
+    draw = -F.log(common.unit_draw(F.lit("mix-1"), F.col("doc_id").cast("string"))) / mixing.quality_weight(F.col("text"))
+    cells = texts.groupBy(F.floor(F.log2(draw) * mixing.RANGES).alias("c")).count()
+    assert cells.agg(F.max("count")).first()[0] < 200_000 / 5000 * 3
+
+
 def test_targets_reshare(spark):
     sizes = {"a": 1, "b": 2, "c": 1000, None: 5, "d": 0}
     got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
