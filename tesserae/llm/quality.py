@@ -2,17 +2,22 @@
 
 A document's statistics are turned into four features: log mean word length, log share of markup symbols, and
 square roots of the shares of duplicate lines and of words in repeated windows. For each (language, source) group
-the minimum covariance determinant estimate of their mean and covariance is found by concentration steps: the
-documents nearest to the current estimate (``CORE`` of the group) give the next one. Documents that are farther
-from the estimate than ``CUTOFF`` in squared Mahalanobis distance, on the bad side, are rejected.
+the minimum covariance determinant estimate of their mean and covariance is found by concentration steps from several
+starts: the documents nearest to the current estimate (``CORE`` of the group) give the next one, as long as its covariance
+has a smaller determinant, and of all starts' ends the one with the smallest determinant is the estimate. Documents
+that are farther from it than ``CUTOFF`` in squared Mahalanobis distance, on the bad side, are rejected.
 
-Every step is an aggregate over groups: means and covariances are sums; the nearest part is found from a
-histogram of distances, counted before it is shuffled. No group is ever gathered, sorted or sampled.
+Starts are the medians and median absolute deviations, the mean and covariance of all, and two of five documents each that
+are drawn by a digest of their statistics. All starts of all groups take a step in the same two aggregations: a histogram
+of distances, counted before it is shuffled, finds the nearest part, and sums over it give means and covariances. No group
+is ever gathered, sorted or sampled. Estimates that a step didn't improve rest; steps end when all do (``STEPS`` at most).
 
 * Only what exceeds the group's mean in symbols, duplicate lines or repetition counts against a document; a
   word length may be off in either direction.
-* Variances have floors (``FLOORS``), so a group of near-identical documents doesn't reject ordinary ones.
-* Groups of fewer than ``LEAST`` documents that pass the base rules have no estimate: these documents are kept.
+* Variances have floors (``FLOORS``), so a group of near-identical documents doesn't reject ordinary ones; they are part of
+  the covariance whose determinant is compared.
+* A group of fewer than ``LEAST`` documents that pass the base rules is judged by the estimate of its language, one whose
+  language has fewer by the estimate of the whole table, however few documents that has.
 
 Nulls and edge cases: null text has no words, so it fails the base rules; null language or source form groups of
 their own; repeated rows each get the same verdict; an empty table gives an empty result; other columns pass
@@ -25,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tesserae.llm.common import cut, words
+from tesserae.llm.common import cut, free, words
 
 GROUP = ("lang", "source")
-#: Part of a group that an estimate rests on, concentration steps, and documents that a group needs.
-CORE, STEPS, LEAST = 0.75, 3, 20
+#: Part of a group that an estimate rests on, the most concentration steps, and documents that a group needs for an estimate of its own.
+CORE, STEPS, LEAST = 0.75, 15, 20
+#: Starts from drawn documents, the documents of each (one more than features), and by how much a log determinant must fall.
+DRAWN, EACH, FALL = 2, 5, 1e-9
 #: The 0.9999 quantile of chi-square with 4 degrees of freedom, and its median.
 CUTOFF, MEDIAN = 23.513, 3.3567
 #: Standard deviations that are added (in quadrature) to the estimates.
@@ -80,6 +87,7 @@ def features(stats: DataFrame) -> DataFrame:
         "f2": F.log(F.lit(1.0) + F.lit(1000.0) * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         "f3": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("_lines"), F.lit(1))),
         "f4": F.sqrt(F.col("n_repeat_words") / n),
+        "_digest": F.md5(F.concat_ws("/", *BASE, "_lines").cast("binary")),
     }).drop("_lines")
 
 
@@ -90,11 +98,11 @@ def _same(group: tuple[str, ...]) -> Column:
     return out
 
 
-def _with(rows: DataFrame, params: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """A left join by group; ``params`` was written before, so the planner knows its size and sends it to the tasks only if it is small."""
+def _with(rows: DataFrame, params: DataFrame, group: tuple[str, ...], how: str = "left") -> DataFrame:
+    """A join by group; ``params`` was written before, so the planner knows its size and sends it to the tasks only if it is small."""
     for g in group:
         params = params.withColumnRenamed(g, f"_{g}")
-    return rows.join(params, _same(group), "left").drop(*[f"_{g}" for g in group])
+    return rows.join(params, _same(group), how).drop(*[f"_{g}" for g in group])
 
 
 def _rank_cell(cells: DataFrame, by: list[str], part: float, name: str) -> DataFrame:
@@ -105,42 +113,53 @@ def _rank_cell(cells: DataFrame, by: list[str], part: float, name: str) -> DataF
     return found.where(F.col("_c") >= F.col("_n") * part).groupBy(*by).agg(F.min("cell").alias(name))
 
 
-def _start(core: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """Medians and median absolute deviations by group, as a first estimate with a diagonal covariance."""
-    long = core.select(*group, F.posexplode(F.array(*FEATURES)).alias("k", "x"))
-    cells = cut(long.groupBy(*group, "k", F.round(F.col("x") * CELLS).cast("long").alias("cell")).agg(F.count("*").alias("n")), "quality-cells")
-    by = [*group, "k"]
-    middle = cut(_rank_cell(cells, by, 0.5, "middle"), "quality-medians")
-    away = _with(cells, middle, tuple(by)).select(*by, F.abs(F.col("cell") - F.col("middle")).alias("cell"), "n").groupBy(*by, "cell").agg(F.sum("n").alias("n"))
-    both = _with(middle, _rank_cell(away, by, 0.5, "away"), tuple(by))
-    both = both.withColumn("m", F.col("middle") / CELLS).withColumn("s", 1.4826 * F.col("away") / CELLS)
-    pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    p = range(len(FEATURES))
-    wide = both.groupBy(*group).agg(*[pick("m", i).alias(f"m{i}") for i in p], *[pick("s", i).alias(f"s{i}") for i in p])
-    zero = {f"c{i}{j}": F.lit(0.0) for i in p for j in range(i)}
-    return wide.withColumns(zero | {f"c{i}{i}": F.col(f"s{i}") * F.col(f"s{i}") for i in p}).drop(*[f"s{i}" for i in p])
-
-
-def _estimate(core: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """Mean and covariance of each group."""
-    p = range(len(FEATURES))
-    x = [F.col(f) for f in FEATURES]
-    sums = core.groupBy(*group).agg(
-        *[F.avg(x[i]).alias(f"m{i}") for i in p], *[F.avg(x[i] * x[j]).alias(f"e{i}{j}") for i in p for j in range(i + 1)]
+P = range(len(FEATURES))
+_MEANS = [f"m{i}" for i in P]
+_FACTORS = [f"l{i}{j}" for i in P for j in range(i + 1)]
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """Medians and median absolute deviations by g, as an estimate with a diagonal covariance."""
+    long = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("k", "x"))
+    cells = cut(long.groupBy("g", "k", F.round(F.col("x") * CELLS).cast("long").alias("cell")).agg(F.count("*").alias("n")), "quality-cells")
+    middle = cut(_rank_cell(cells, ["g", "k"], 0.5, "middle"), "quality-medians")
+    away = cells.join(middle, ["g", "k"]).select("g", "k", F.abs(F.col("cell") - F.col("middle")).alias("cell"), "n").groupBy("g", "k", "cell").agg(F.sum("n").alias("n"))
+    both = middle.join(_rank_cell(away, ["g", "k"], 0.5, "away"), ["g", "k"])
+    pick = lambda c, k: F.max(F.when(F.col("k") == k, c))
+    wide = both.groupBy("g").agg(
+        *[pick(F.col("middle") / CELLS, i).alias(f"m{i}") for i in P], *[pick(1.4826 * F.col("away") / CELLS, i).alias(f"s{i}") for i in P]
     )
-    cov = {f"c{i}{j}": F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in p for j in range(i + 1)}
-    return sums.withColumns(cov).drop(*[f"e{i}{j}" for i in p for j in range(i + 1)])
+    zero = {f"c{i}{j}": F.lit(0.0) for i in P for j in range(i)}
+    return wide.withColumns(zero | {f"c{i}{i}": F.col(f"s{i}") * F.col(f"s{i}") for i in P}).drop(*[f"s{i}" for i in P])
+
+
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    """Mean and covariance by columns ``by``."""
+    x = [F.col(f) for f in FEATURES]
+    sums = rows.groupBy(*by).agg(*[F.avg(x[i]).alias(f"m{i}") for i in P], *[F.avg(x[i] * x[j]).alias(f"e{i}{j}") for i in P for j in range(i + 1)])
+    cov = {f"c{i}{j}": F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in P for j in range(i + 1)}
+    return sums.withColumns(cov).drop(*[f"e{i}{j}" for i in P for j in range(i + 1)])
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Mean and covariance of the documents whose digests are least when read from one of several places, by g and start (from 2)."""
+    turned = lambda k: F.substring(F.concat("_digest", "_digest"), 1 + 3 * k, 32)
+    picked = rows.groupBy("g").agg(*[F.min_by(F.struct(*FEATURES), turned(k)).alias(f"d{k}") for k in range(DRAWN * EACH)])
+    named = F.array(*[F.struct(F.lit(2 + k // EACH).alias("s"), F.col(f"d{k}").alias("x")) for k in range(DRAWN * EACH)])
+    return _moments(picked.select("g", F.explode(named).alias("d")).select("g", "d.s", "d.x.*"), "g", "s")
 
 
 def _factor(params: DataFrame) -> DataFrame:
-    """Replaces covariance entries c by those of the Cholesky factor l of the covariance with its floors; its pivots are at least the floors."""
-    for i in range(len(FEATURES)):
+    """Replaces covariance entries c by those of the Cholesky factor l of the covariance with its floors, whose pivots are at least the
+    floors, and adds the log of its determinant."""
+    for i in P:
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return params.drop(*[f"c{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
+    log_det = 2.0 * sum((F.log(f"l{i}{i}") for i in P), F.lit(0.0))
+    return params.withColumn("log_det", log_det).drop(*[f"c{i}{j}" for i in P for j in range(i + 1)])
 
 
 def _distance2(one_sided: bool) -> Column:
@@ -162,37 +181,77 @@ def _cell(d2: Column) -> Column:
     return F.floor(F.log1p(d2) * DISTANCE_CELLS).cast("long")
 
 
+def levels(sizes: DataFrame, group: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(group, g) twice: the estimate g that judges each group, and the estimates that each group's documents go into.
+
+    A group is judged by the first of its levels (itself, without its last column, ..., the whole table) that has ``LEAST`` documents.
+    """
+    level = F.lit(len(group))
+    for k in reversed(range(len(group))):
+        of_level = F.sum("n").over(W.partitionBy(*group[: len(group) - k])) if k else F.col("n")
+        level = F.when(of_level >= LEAST, F.lit(k)).otherwise(level)
+    judged = cut(sizes.withColumn("level", level), "quality-levels")
+    fits = judged.select("level", *[F.when(F.col("level") < len(group) - i, F.col(c)).alias(f"_{c}") for i, c in enumerate(group)]).distinct()
+    fits = cut(fits.withColumn("g", F.monotonically_increasing_id()), "quality-groups")
+    judge = judged.join(fits.withColumnRenamed("level", "_level"), _same_level(group, F.col("level"))).select(*group, "g")
+    feeds = None
+    for k in range(len(group) + 1):
+        on = _same(group[: len(group) - k])
+        part = judged.drop("level").join(fits.where(F.col("level") == k), on).select(*group, "g")
+        feeds = part if feeds is None else feeds.unionByName(part)
+    return cut(judge, "quality-judges"), cut(feeds, "quality-feeds")
+
+
+def _same_level(group: tuple[str, ...], level: Column) -> Column:
+    out = level == F.col("_level")
+    for i, c in enumerate(group):
+        out = out & F.when(level < len(group) - i, F.col(c)).eqNullSafe(F.col(f"_{c}"))
+    return out
+
+
 def fit(stats: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
-    """The estimate of each group from rows with ``FEATURES`` and ``base_failed``: its mean m, Cholesky factor l, and scale."""
-    good = stats.where(~F.col("base_failed")).select(*group, *FEATURES)
-    params = cut(_factor(_start(good, group)), "quality-start")
-    for step in range(STEPS):
-        placed = _with(good, params, group).withColumn("cell", _cell(_distance2(False)))
-        cells = placed.groupBy(*group, "cell").agg(F.count("*").alias("n"))
-        edge = cut(_rank_cell(cells, [*group], CORE, "edge"), f"quality-edge{step}")
-        core = _with(placed, edge, group).where(F.col("cell") <= F.col("edge"))
-        params = cut(_factor(_estimate(core, group)), f"quality-step{step}")
-    cells = cut(_with(good, params, group).groupBy(*group, _cell(_distance2(False)).alias("cell")).agg(F.count("*").alias("n")), "quality-spread")
-    middle = _rank_cell(cells, [*group], 0.5, "middle").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("middle") / DISTANCE_CELLS) / MEDIAN))
-    size = cells.groupBy(*group).agg(F.sum("n").alias("group_size"))
-    return cut(_with(_with(params, middle.drop("middle"), group), size, group), "quality-fit")
+    """The estimate that judges each group, from rows with ``FEATURES``, ``_digest`` and ``base_failed``: its mean m, Cholesky factor l, and scale."""
+    good = stats.where(~F.col("base_failed")).select(*group, *FEATURES, "_digest")
+    judges, feeds = levels(good.groupBy(*group).agg(F.count("*").alias("n")), group)
+    rows = cut(_with(good, feeds, group, "inner").select("g", *FEATURES, "_digest"), "quality-rows")
+    starts = _medians(rows).withColumn("s", F.lit(0)).unionByName(_moments(rows, "g").withColumn("s", F.lit(1))).unionByName(_drawn(rows))
+    state = cut(_factor(starts).withColumn("log_det", F.lit(float("inf"))).withColumn("moves", F.lit(True)), "quality-start")
+    for _ in range(STEPS):
+        moving = state.where("moves").drop("moves")
+        if moving.isEmpty():
+            break
+        placed = rows.join(moving, "g").withColumn("cell", _cell(_distance2(False)))
+        edge = cut(_rank_cell(placed.groupBy("g", "s", "cell").agg(F.count("*").alias("n")), ["g", "s"], CORE, "edge"), "quality-edge")
+        core = placed.drop(*_MEANS, *_FACTORS).join(edge, ["g", "s"]).where(F.col("cell") <= F.col("edge"))
+        found = _factor(_moments(core, "g", "s"))
+        names = [*_MEANS, *_FACTORS, "log_det"]
+        found = found.select("g", "s", F.struct(*names).alias("new"))
+        falls = F.coalesce(F.col("new.log_det") < F.col("log_det") - FALL, F.lit(False))
+        old, state = state, state.join(found, ["g", "s"], "left")
+        state = cut(state.select("g", "s", *[F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in names], falls.alias("moves")), "quality-step")
+        free(old, edge)
+    best = state.groupBy("g").agg(F.min(F.struct("log_det", "s", *_MEANS, *_FACTORS)).alias("b")).select("g", *[f"b.{c}" for c in (*_MEANS, *_FACTORS)])
+    best = cut(best, "quality-best")
+    cells = rows.join(best, "g").groupBy("g", _cell(_distance2(False)).alias("cell")).agg(F.count("*").alias("n"))
+    middle = _rank_cell(cells, ["g"], 0.5, "middle").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("middle") / DISTANCE_CELLS) / MEDIAN))
+    out = cut(judges.join(best, "g").join(middle.drop("middle"), "g").drop("g"), "quality-fit")
+    free(rows, state, best)
+    return out
 
 
 def judge(docs: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
-    """The input with the columns of ``ADDED``. Statistics are taken twice: once, without texts, for the estimates, and once beside the texts."""
-    stats = features(statistics(docs.select(*group, "text"))).select(*group, *FEATURES, "base_failed")
-    params = fit(cut(stats, "quality-stats"), group)
+    """The input with the columns of ``ADDED``. Statistics are taken once, and written beside the rows."""
     row = F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row")
-    out = verdict(features(statistics(docs.select(row, *group, "text"))), params, group)
-    return out.select("row.*", *ADDED)
+    stats = cut(features(statistics(docs.select(row, *group, "text"))).drop("text"), "quality-documents")
+    return verdict(stats, fit(stats, group), group).select("row.*", *ADDED)
 
 
 def verdict(stats: DataFrame, params: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
     out = _with(stats, params, group).withColumn("distance2", _distance2(True) / F.col("scale"))
     # one sum, not a conjunction: parts of a conjunction would be pushed below the join and take the statistics once more
-    badness = F.coalesce(F.when(F.col("group_size") >= LEAST, F.col("distance2")), F.lit(0.0)) + F.when(F.col("base_failed"), F.lit(1e9)).otherwise(F.lit(0.0))
+    badness = F.coalesce(F.col("distance2"), F.lit(0.0)) + F.when(F.col("base_failed"), F.lit(1e9)).otherwise(F.lit(0.0))
     out = out.withColumn("kept", badness <= CUTOFF)
-    return out.drop(*[c for c in params.columns if c not in group], *FEATURES)
+    return out.drop(*[c for c in params.columns if c not in group], *FEATURES, "_digest")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -201,27 +260,30 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return verdict(stats, fit(stats)).select("doc_id", *BASE, "base_failed", "kept")
 
 
-
 def sql() -> str:
-    """The same rules in DuckDB's SQL: base statistics, medians, concentration steps and verdict."""
-    p = range(len(FEATURES))
-    same = " AND ".join(f"{{0}}.{g} IS NOT DISTINCT FROM {{1}}.{g}" for g in GROUP)
+    """The same rules in DuckDB's SQL: base statistics, levels, starts, concentration steps, the choice among them, and the verdict."""
+    same = "{0}.lang IS NOT DISTINCT FROM {1}.lang AND {0}.source IS NOT DISTINCT FROM {1}.source"
     factor = ", ".join(
         (f"sqrt(greatest({{rest}}, {FLOORS[i] ** 2!r}::DOUBLE))" if i == j else f"({{rest}}) / l{j}{j}").format(
             rest=f"c{i}{j}" + (f" + {FLOORS[i] ** 2!r}::DOUBLE" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-        ) + f" AS l{i}{j}" for i in p for j in range(i + 1)
+        ) + f" AS l{i}{j}" for i in P for j in range(i + 1)
     )
+    factor += f", 2.0::DOUBLE * ({' + '.join(f'ln(l{i}{i})' for i in P)}) AS log_det"
+    names = [*_MEANS, *_FACTORS, "log_det"]
 
     def distances(rows: str, params: str, one_sided: bool = False) -> str:
+        """Rows r and estimates q that belong together, with squared distances d2."""
         z = []
         for i, f in enumerate(FEATURES):
             d = f"({f} - m{i})"
             d = f"greatest({d}, 0)" if one_sided and i else d
             z.append(f"({d}{''.join(f' - l{i}{k} * z{k}' for k in range(i))}) / l{i}{i} AS z{i}")
-        return f"SELECT r.*, q.* EXCLUDE (lang, source), {', '.join(z)}, {' + '.join(f'z{i} * z{i}' for i in p)} AS d2 FROM {rows} r LEFT JOIN {params} q ON {same.format('r', 'q')}"
+        return f"SELECT r.*, q.* EXCLUDE (g), {', '.join(z)}, {' + '.join(f'z{i} * z{i}' for i in P)} AS d2 FROM {rows} r LEFT JOIN {params} q ON r.g = q.g"
 
-    first = ", ".join([f"max(m) FILTER (k = {i + 1}) / {CELLS}.0::DOUBLE AS m{i}" for i in p] + [f"power(1.4826::DOUBLE * max(s) FILTER (k = {i + 1}) / {CELLS}, 2) AS c{i}{i}" for i in p] + [f"0.0::DOUBLE AS c{i}{j}" for i in p for j in range(i)])
-    means = ", ".join([f"avg({FEATURES[i]}) AS m{i}" for i in p] + [f"avg({FEATURES[i]} * {FEATURES[j]}) - m{i} * m{j} AS c{i}{j}" for i in p for j in range(i + 1)])
+    first = ", ".join([f"max(m) FILTER (k = {i + 1}) / {CELLS}.0::DOUBLE AS m{i}" for i in P] + [f"power(1.4826::DOUBLE * max(s) FILTER (k = {i + 1}) / {CELLS}, 2) AS c{i}{i}" for i in P] + [f"0.0::DOUBLE AS c{i}{j}" for i in P for j in range(i)])
+    means = ", ".join([f"avg({FEATURES[i]}) AS m{i}" for i in P])
+    spreads = ", ".join([f"avg({FEATURES[i]} * {FEATURES[j]}) - avg({FEATURES[i]}) * avg({FEATURES[j]}) AS c{i}{j}" for i in P for j in range(i + 1)])
+    picks = ", ".join(f"arg_min({{{', '.join(f'{f!r}: {f}' for f in FEATURES)}}}, substr(digest || digest, {1 + 3 * k}, 32))" for k in range(DRAWN * EACH))
     out = rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 each AS (SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS x FROM w),
@@ -234,19 +296,30 @@ stats AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_
   FROM w LEFT JOIN repeated USING (doc_id)),
 f AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, ln(greatest(word_chars, 1) / greatest(n_words, 1)::DOUBLE) AS f1,
   ln(1.0::DOUBLE + 1000.0::DOUBLE * n_symbols / greatest(word_chars, 1)) AS f2, sqrt(n_dup_lines / greatest(n_lines, 1)::DOUBLE) AS f3, sqrt(n_repeat_words / greatest(n_words, 1)::DOUBLE) AS f4 FROM stats),
-good AS MATERIALIZED (SELECT lang, source, {', '.join(FEATURES)} FROM f WHERE NOT base_failed),
-cells AS (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, round(unnest([{', '.join(FEATURES)}]) * {CELLS})::BIGINT AS cell FROM good),
-middle AS (SELECT lang, source, k, quantile_disc(cell, 0.5) AS m FROM cells GROUP BY ALL),
-away AS (SELECT c.lang, c.source, c.k, any_value(m) AS m, quantile_disc(abs(cell - m), 0.5) AS s FROM cells c JOIN middle q ON c.k = q.k AND {same.format('c', 'q')} GROUP BY ALL),
-c0 AS (SELECT lang, source, {first} FROM away GROUP BY lang, source),
-p0 AS MATERIALIZED (SELECT *, {factor} FROM c0),
+good AS MATERIALIZED (SELECT lang, source, {', '.join(FEATURES)}, md5(concat_ws('/', {', '.join(BASE)}, n_lines)) AS digest FROM f WHERE NOT base_failed),
+sizes AS (SELECT lang, source, count(*) AS n FROM good GROUP BY ALL),
+levels AS (SELECT lang, source, CASE WHEN n >= {LEAST} THEN 0 WHEN sum(n) OVER (PARTITION BY lang) >= {LEAST} THEN 1 ELSE 2 END AS level FROM sizes),
+fits AS MATERIALIZED (SELECT *, row_number() OVER () AS g FROM (SELECT DISTINCT level, CASE WHEN level < 2 THEN lang END AS lang, CASE WHEN level < 1 THEN source END AS source FROM levels)),
+judges AS MATERIALIZED (SELECT v.lang, v.source, g FROM levels v JOIN fits q ON v.level = q.level AND (v.level > 1 OR v.lang IS NOT DISTINCT FROM q.lang) AND (v.level > 0 OR v.source IS NOT DISTINCT FROM q.source)),
+rows AS MATERIALIZED (SELECT g, r.* EXCLUDE (lang, source) FROM good r JOIN fits q ON (level > 1 OR r.lang IS NOT DISTINCT FROM q.lang) AND (level > 0 OR r.source IS NOT DISTINCT FROM q.source)),
+cells AS (SELECT g, unnest([1, 2, 3, 4]) AS k, round(unnest([{', '.join(FEATURES)}]) * {CELLS})::BIGINT AS cell FROM rows),
+middle AS (SELECT g, k, quantile_disc(cell, 0.5) AS m FROM cells GROUP BY ALL),
+away AS (SELECT c.g, c.k, any_value(m) AS m, quantile_disc(abs(cell - m), 0.5) AS s FROM cells c JOIN middle q ON c.k = q.k AND c.g = q.g GROUP BY ALL),
+picked AS (SELECT g, unnest(range({DRAWN * EACH})) // {EACH} + 2 AS s, unnest([{picks}]) AS x FROM rows GROUP BY g),
+starts AS (
+  SELECT g, 0 AS s, {first} FROM away GROUP BY g
+  UNION ALL BY NAME SELECT g, 1 AS s, {means}, {spreads} FROM rows GROUP BY g
+  UNION ALL BY NAME SELECT g, s, {means}, {spreads} FROM (SELECT g, s, unnest(x) FROM picked) GROUP BY g, s),
+p0 AS MATERIALIZED (SELECT * REPLACE ('inf'::DOUBLE AS log_det) FROM (SELECT *, {factor} FROM starts)),
 """
     for t in range(STEPS):
-        out += f"""t{t} AS MATERIALIZED (SELECT *, floor(ln(1 + d2) * {DISTANCE_CELLS})::BIGINT AS cell FROM ({distances('good', f'p{t}')})),
-e{t} AS (SELECT lang, source, quantile_disc(cell, {CORE}) AS edge FROM t{t} GROUP BY ALL),
-c{t + 1} AS (SELECT r.lang, r.source, {means.replace('AS m', 'AS n').replace(' - m', ' - n').replace(' * m', ' * n')} FROM t{t} r JOIN e{t} q ON {same.format('r', 'q')} WHERE cell <= edge GROUP BY ALL),
-p{t + 1} AS MATERIALIZED (SELECT *, {factor} FROM (SELECT * RENAME ({', '.join(f'n{i} AS m{i}' for i in p)}) FROM c{t + 1})),
+        out += f"""t{t} AS MATERIALIZED (SELECT g, s, {', '.join(FEATURES)}, floor(ln(1 + d2) * {DISTANCE_CELLS})::BIGINT AS cell FROM ({distances('rows', f'p{t}')})),
+e{t} AS (SELECT g, s, quantile_disc(cell, {CORE}) AS edge FROM t{t} GROUP BY ALL),
+n{t} AS MATERIALIZED (SELECT *, {factor} FROM (SELECT g, s, {means}, {spreads} FROM t{t} r JOIN e{t} q USING (g, s) WHERE cell <= edge GROUP BY g, s)),
+p{t + 1} AS MATERIALIZED (SELECT o.g, o.s, {', '.join(f'CASE WHEN n.log_det < o.log_det - {FALL!r}::DOUBLE THEN n.{c} ELSE o.{c} END AS {c}' for c in names)} FROM p{t} o JOIN n{t} n USING (g, s)),
 """
-    return out + f"""spread AS (SELECT lang, source, greatest(1.0::DOUBLE, (exp(quantile_disc(floor(ln(1 + d2) * {DISTANCE_CELLS})::BIGINT, 0.5) / {DISTANCE_CELLS}.0::DOUBLE) - 1) / {MEDIAN}::DOUBLE) AS scale, count(*) AS group_size FROM ({distances('good', f'p{STEPS}')}) GROUP BY ALL),
-judged AS (SELECT v.*, scale, group_size FROM ({distances('f', f'p{STEPS}', True)}) v LEFT JOIN spread s ON {same.format('v', 's')})
-SELECT doc_id, {', '.join(BASE)}, base_failed, NOT base_failed AND NOT coalesce(group_size >= {LEAST} AND d2 / scale > {CUTOFF}::DOUBLE, FALSE) AS kept FROM judged"""
+    return out + f"""best AS MATERIALIZED (SELECT g, {', '.join(f'arg_min({c}, [log_det, s]) AS {c}' for c in (*_MEANS, *_FACTORS))} FROM p{STEPS} GROUP BY g),
+spread AS (SELECT g, greatest(1.0::DOUBLE, (exp(quantile_disc(floor(ln(1 + d2) * {DISTANCE_CELLS})::BIGINT, 0.5) / {DISTANCE_CELLS}.0::DOUBLE) - 1) / {MEDIAN}::DOUBLE) AS scale FROM ({distances('rows', 'best')}) GROUP BY g),
+named AS (SELECT f.*, g FROM f LEFT JOIN judges j ON {same.format('f', 'j')}),
+judged AS (SELECT v.*, scale FROM ({distances('named', 'best', True)}) v LEFT JOIN spread s USING (g))
+SELECT doc_id, {', '.join(BASE)}, base_failed, NOT base_failed AND NOT coalesce(d2 / scale > {CUTOFF}::DOUBLE, FALSE) AS kept FROM judged"""

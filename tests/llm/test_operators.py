@@ -402,7 +402,7 @@ def test_quality_base(docs, rows, empty):
     assert quality.judge(empty).collect() == []
 
 
-def reference_fit(x):
+def reference_fit(x, digests):
     """The estimate of one group by the same rules, in numpy."""
     floors = np.diag(np.square(quality.FLOORS))
 
@@ -410,36 +410,64 @@ def reference_fit(x):
         cells = np.sort(cells)
         return cells[math.ceil(len(cells) * 0.5) - 1]
 
-    cells = np.floor(x * quality.CELLS + 0.5)
-    m = np.array([median(c) for c in cells.T])
-    s = np.array([median(abs(c - k)) for c, k in zip(cells.T, m, strict=True)]) * 1.4826 / quality.CELLS
-    m, cov = m / quality.CELLS, np.diag(s * s) + floors
-
     def d2(m, cov):
         return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
 
-    for _ in range(quality.STEPS):
-        cell = np.floor(np.log1p(d2(m, cov)) * quality.DISTANCE_CELLS)
-        core = x[cell <= np.sort(cell)[math.ceil(len(cell) * quality.CORE) - 1]]
-        m, cov = core.mean(0), np.cov(core.T, bias=True) + floors
-    return m, cov, d2(m, cov)
+    def moments(part):
+        return part.mean(0), np.cov(part.T, bias=True) + floors
+
+    cells = np.floor(x * quality.CELLS + 0.5)
+    m = np.array([median(c) for c in cells.T])
+    s = np.array([median(abs(c - k)) for c, k in zip(cells.T, m, strict=True)]) * 1.4826 / quality.CELLS
+    starts = [(m / quality.CELLS, np.diag(s * s) + floors), moments(x)]
+    for k in range(quality.DRAWN):
+        places = range(3 * k * quality.EACH, 3 * (k + 1) * quality.EACH, 3)
+        starts.append(moments(x[[min(range(len(x)), key=lambda i: (digests[i] * 2)[p : p + 32]) for p in places]]))
+    ends = []
+    for m, cov in starts:
+        det = math.inf
+        for _ in range(quality.STEPS):
+            cell = np.floor(np.log1p(d2(m, cov)) * quality.DISTANCE_CELLS)
+            new = moments(x[cell <= np.sort(cell)[math.ceil(len(cell) * quality.CORE) - 1]])
+            if not np.linalg.slogdet(new[1])[1] < det - quality.FALL:
+                break
+            (m, cov), det = new, np.linalg.slogdet(new[1])[1]
+        ends.append((det, m, cov))
+    det, m, cov = min(ends, key=lambda e: round(e[0], 9))
+    return m, cov, [e[0] for e in ends]
 
 
 def test_quality_estimates(spark):
     rng = random.Random(9)
     clean = [sentence(rng, rng.randint(60, 300)) for _ in range(150)]
     junk = ["### ".join(sentence(rng, 80).split()) for _ in range(20)] + [" ".join(x * 5 for x in sentence(rng, 90).split()) for _ in range(10)]
-    rows = [(i, t, None, "s") for i, t in enumerate(clean + junk)] + [(500 + i, t, "en", None) for i, t in enumerate(clean[:5])]
+    rows = [(i, t, None, "s") for i, t in enumerate(clean + junk)] + [(500 + i, t, "en", None) for i, t in enumerate(clean[:5] + junk[:1])]
+    rows += [(600 + i, t, None, "few") for i, t in enumerate(clean[5:8] + junk[3:5])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     stats = quality.features(quality.statistics(df))
-    fit = quality.fit(stats).where("source = 's'").first()
-    x = np.array([tuple(r[f] for f in quality.FEATURES) for r in stats.where("source = 's' AND NOT base_failed").orderBy("doc_id").collect()])
-    m, cov, d2 = reference_fit(x)
-    assert np.allclose([fit[f"m{i}"] for i in range(4)], m)
-    low = np.array([[fit[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
-    assert np.allclose(low @ low.T, cov)
+    fits = {(r["lang"], r["source"]): r for r in quality.fit(stats).collect()}
+    assert set(fits) == {(None, "s"), ("en", None), (None, "few")}
+    good = stats.where("NOT base_failed").orderBy("doc_id").collect()
+    # a group of its own, one judged by its language's estimate, and one by that of the whole table
+    for key, part in (((None, "s"), lambda r: r["source"] == "s"), ((None, "few"), lambda r: r["lang"] is None), (("en", None), lambda r: True)):
+        mine = [r for r in good if part(r)]
+        m, cov, ends = reference_fit(np.array([tuple(r[f] for f in quality.FEATURES) for r in mine]), [r["_digest"] for r in mine])
+        fit = fits[key]
+        assert np.allclose([fit[f"m{i}"] for i in range(4)], m)
+        low = np.array([[fit[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        assert np.allclose(low @ low.T, cov)
+        assert np.isclose(np.linalg.slogdet(low @ low.T)[1], min(ends))
     got = {r["doc_id"]: r for r in quality.judge(df).collect()}
     assert all(got[i]["kept"] for i in range(150)) and not any(got[i]["kept"] for i in range(150, 180)) and all(got[500 + i]["kept"] for i in range(5))
+    assert not got[505]["kept"] and [got[600 + i]["kept"] for i in range(5)] == [True] * 3 + [False] * 2
+
+
+def test_quality_of_one_document_and_of_a_long_one(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(1, sentence(rng, 500_000), "en", "a")], "doc_id long, text string, lang string, source string")
+    assert df.select(F.length("text")).first()[0] > 2_500_000
+    r = quality.judge(df).first()
+    assert r["kept"] and (r["n_words"], r["word_chars"]) == brute.quality(df.first()["text"])[:2]
 
 
 # 8
