@@ -4,20 +4,26 @@ Vectors are scaled to unit length and rotated to the principal axes of all of th
 the whole table), so that leading dimensions tell most. They are dealt to tiles by recursive halving along the
 axes, from cut points that are the same for every vector, until a tile has about ``TILE`` vectors.
 
-Two tiles are compared only if their boxes (ranges of the leading dimensions) are near enough: unit vectors of
-cosine t or more are at distance sqrt(2 - 2t) at most. Within a pair of tiles, products are accumulated over the
-leading dimensions first; the residual product is at most that of the suffix norms, so pairs whose bound is
-below the threshold stop there, block by block, and only the others get further dimensions. What remains is
-verified by cosines in double precision of the vectors as given.
-
-Equal vectors are one class, compared once. A pair of tiles yields, per vector, how many others it links with
+Unit vectors of cosine t or more are at distance sqrt(2 - 2t) at most. A vector is therefore sent to another tile only
+if it is that near to the tile's box (its ranges of the leading dimensions), and a vector of that tile meets it only
+if the same holds the other way. There are at most 2 ** ``MOST_LEVELS`` tiles, so their boxes fit any task; a tile of more than
+``TILE`` vectors, be it that the table is large or that very many vectors are alike, is dealt to parts by a hash, and parts meet
+instead of tiles: no group of the comparison has more than about two parts' vectors.
+
+Within a pair of parts, vectors are put in the order of further halvings, and blocks whose boxes are out of reach are skipped.
+Products are accumulated over the leading dimensions first (as many as hold ``SHARES`` of the energy); the residual
+product is at most that of the suffix norms, so pairs whose bound is below the threshold stop there, and only the others
+get further dimensions. What remains is verified by cosines in double precision of the vectors as given.
+
+Equal vectors are one class, compared once. A pair of parts yields, per vector, how many others it links with
 (weighted by the sizes of their classes), and only as many links as connect the same vectors: rows grow with
-vectors, never with pairs. A tile that box bounds can't separate from many others is compared with each of them;
-no tile, partner or link is capped.
+vectors, never with pairs. No tile, partner or link is capped.
+
+Vectors of each length are compared among themselves.
 
-Nulls and edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components link with nothing and are kept; a null id takes part, but is its component's id only if all are null;
-rows that repeat an id and vector count as vectors of their own; an empty table gives an empty result.
+Nulls and edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
+kept; a null id takes part, but is its component's id only if all are null; rows that repeat an id and vector count as
+vectors of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, free
 from tesserae.llm.components import components
 
-THRESHOLD, TILE, LEADING, BLOCK = 0.95, 4096, 8, 512
+THRESHOLD, TILE, BLOCK, MOST_LEVELS = 0.95, 8192, 256, 12
+#: Parts of the energy that successive leading dimensions hold, and dimensions of a tile's box.
+SHARES, LEADING = (0.2, 0.4, 0.7), 16
 #: Slack for rounding in bounds, never in the verified cosine.
 SLACK = 1e-6
 
@@ -60,23 +68,30 @@ def _moments(dim: int):
     return run
 
 
-def axes(classes: DataFrame, dim: int) -> np.ndarray:
-    """The principal axes, most telling first: dim x dim numbers, summed over all vectors."""
+def axes(classes: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The principal axes, most telling first, and the energy on each: dim x dim numbers, summed over all vectors."""
     sums = classes.select("v").mapInArrow(_moments(dim), "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
     m = np.zeros(dim * dim)
     for r in sums:
         m[r["k"]] = r["x"]
-    _, q = np.linalg.eigh(m.reshape(dim, dim))
-    return np.ascontiguousarray(q[:, ::-1])
+    energy, q = np.linalg.eigh(m.reshape(dim, dim))
+    return np.ascontiguousarray(q[:, ::-1]), np.maximum(energy[::-1], 0)
+
+
+def leading(energy: np.ndarray) -> list[int]:
+    """How many leading dimensions hold each of ``SHARES`` of the energy."""
+    held = np.cumsum(energy) / max(energy.sum(), 1e-300)
+    return sorted({s for s in (int(np.searchsorted(held, share)) + 1 for share in SHARES) if s < len(energy)})
 
 
 def halvings(classes: DataFrame, q: np.ndarray, n: int, tile: int, most: int = 20_000) -> list[np.ndarray]:
     """Cut points by level, from a bounded sample (it only balances tiles): level d halves along axis d."""
-    levels = max(0, int(np.ceil(np.log2(max(n / tile, 1)))))
+    levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(n / tile, 1))))))
     if not levels:
         return []
     part = classes.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < F.lit(int(min(1.0, most / n) * 1_000_000))).limit(2 * most)
-    u = _unit(np.array([r["v"] for r in part.select("v").toLocalIterator()])) @ q
+    found = [r["v"] for r in part.select("v").toLocalIterator()]
+    u = _unit(np.array(found)) @ q if found else np.zeros((0, len(q)))
     node, cuts = np.zeros(len(u), np.int64), []
     for d in range(levels):
         x = u[:, d % u.shape[1]]
@@ -107,33 +122,69 @@ def _placed(q: np.ndarray, cuts: list[np.ndarray]):
     return run
 
 
-def near_tiles(boxes: DataFrame, threshold: float) -> DataFrame:
-    """(tile, other, side): for pairs of tiles whose boxes are within reach, a row for each of their tiles. A row per pair is found by
-    testing blocks of boxes in tasks; boxes are a row per tile of ``TILE`` vectors."""
-    rows = boxes.orderBy("tile").collect()
-    tiles = np.array([r["tile"] for r in rows], np.int64)
-    low, high = np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
+def _met(boxes: list, threshold: float, tile: int):
+    """(a, b, side, c, n, v): each vector once for every pair of parts that it may have partners in. Part k of tile t is t << 24 | k."""
+    tiles = np.array([r["tile"] for r in boxes], np.int64)
+    low, high = (np.array([r[x] for r in boxes], np.float64).reshape(len(boxes), -1) for x in ("low", "high"))
+    parts = np.array([-(-r["vectors"] // tile) for r in boxes], np.int64)
     reach = 2 - 2 * threshold + SLACK
-    spark = boxes.sparkSession
+    # every part of every tile, tile by tile
+    owner = np.repeat(np.arange(len(tiles)), parts)
+    part = (tiles[owner] << 24) + np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    step = max(1, (1 << 20) // max(len(owner), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column("id").to_pylist():
-                gap = np.maximum(np.maximum(low[i:] - high[i], low[i] - high[i:]), 0)
-                near = i + np.flatnonzero((gap * gap).sum(1) <= reach)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), tiles[i])), pa.array(tiles[near])], names=["a", "b"])
+            r = np.array(batch.column("r").flatten()).reshape(batch.num_rows, -1)
+            at = np.searchsorted(tiles, batch.column("tile").to_numpy())
+            mine = (tiles[at] << 24) + batch.column("c").to_numpy().view(np.uint64) % parts[at].astype(np.uint64)
+            mine = mine.astype(np.int64)
+            for k in range(0, batch.num_rows, step):
+                gap2 = np.zeros((len(r[k : k + step]), len(tiles)))
+                for d in range(r.shape[1]):
+                    x = r[k : k + step, d, None]
+                    gap2 += np.square(np.maximum(np.maximum(low[None, :, d] - x, x - high[None, :, d]), 0))
+                row, to = np.nonzero((gap2 <= reach)[:, owner])
+                row, other = row + k, part[to]
+                a, b = np.minimum(mine[row], other), np.maximum(mine[row], other)
+                side = (mine[row] > other).astype(np.int8)
+                for e in range(0, len(row), 1 << 14):
+                    f = slice(e, e + (1 << 14))
+                    took = batch.select(["c", "n", "v"]).take(pa.array(row[f]))
+                    yield pa.RecordBatch.from_arrays([pa.array(a[f]), pa.array(b[f]), pa.array(side[f]), *took.columns], names=["a", "b", "side", "c", "n", "v"])
 
-    return spark.range(len(tiles)).mapInArrow(run, "a bigint, b bigint")
+    return run
 
 
-def compare(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def halved(r: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """An order of the rows in which blocks of ``block`` are near each other: halves along one axis after the other."""
+    order = np.arange(len(r))
+    span, d = len(r), 0
+    while span > block:
+        for k in range(0, len(r), span):
+            part = order[k : k + span]
+            order[k : k + span] = part[np.argsort(r[part, d % r.shape[1]], kind="stable")]
+        half = block  # the next span: the greatest block * 2 ** i below this one
+        while half * 2 < span:
+            half *= 2
+        span, d = half, d + 1
+    return order
+
+
+def compare(
+    x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, threshold: float, same: bool, steps: list[int] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of linked pairs (i, j) of unit vectors x and y, whose rotations are rx and ry; i < j if they are the same."""
     dim = x.shape[1]
-    steps = [s for s in (LEADING, 2 * LEADING, 4 * LEADING) if s < dim]
+    steps = [s for s in (8, 16, 32) if s < dim] if steps is None else steps
     tails = lambda r: [np.sqrt(np.maximum((r[:, s:] ** 2).sum(1), 0)) for s in steps]
+    boxes = lambda r: (np.array([f(r[k : k + BLOCK], 0) for k in range(0, len(r), BLOCK)]) for f in (np.min, np.max))
     tx, ty = tails(rx), tails(ry)
+    (low_x, high_x), (low_y, high_y) = boxes(rx), boxes(ry)
     for a in range(0, len(x), BLOCK):
-        for b in range(a if same else 0, len(y), BLOCK):
+        gap = np.maximum(np.maximum(low_y - high_x[a // BLOCK], low_x[a // BLOCK] - high_y), 0)
+        near = np.flatnonzero((gap * gap).sum(1) <= 2 - 2 * threshold + SLACK) * BLOCK
+        for b in near[near >= a].tolist() if same else near.tolist():
             p, q = rx[a : a + BLOCK], ry[b : b + BLOCK]
             i = j = None
             done = 0
@@ -154,11 +205,10 @@ def compare(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, thresh
             i, j = i + a, j + b
             if same:
                 i, j = i[i < j], j[i < j]
-            if len(i):
-                for at in range(0, len(i), 1 << 16):
-                    f, g = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                    true = np.einsum("ij,ij->i", x[f], y[g]) >= threshold
-                    yield f[true], g[true]
+            for at in range(0, len(i), 1 << 16):
+                f, g = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                true = np.einsum("ij,ij->i", x[f], y[g]) >= threshold
+                yield f[true], g[true]
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
@@ -194,20 +244,27 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], counts: np.n
     return kept
 
 
-def _links(q: np.ndarray, threshold: float):
-    """Per pair of tiles: how many links each class has, and, as rows of their own (is_link), links that connect what is linked."""
+_LINKS = "c bigint, links bigint, other bigint, is_link boolean"
+
+
+def _links(q: np.ndarray, threshold: float, steps: list[int]):
+    """Per pair of parts: how many links each class has, and, as rows of their own (is_link), links that connect what is linked."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("side", "ascending"), ("c", "ascending")]).combine_chunks()
-        v = _unit(_vectors(rows["v"].combine_chunks()))
+        whole = rows["a"][0] == rows["b"][0]
         side, ids, n = (rows[name].to_numpy() for name in ("side", "c", "n"))
+        if not whole and side.min() == side.max():  # no vector of the other part came
+            return pa.table({"c": ids[:0], "links": n[:0], "other": ids[:0], "is_link": np.zeros(0, bool)})
+        v = _unit(_vectors(rows["v"].combine_chunks()))
         r = v @ q
+        order = np.concatenate([(at := np.flatnonzero(side == k))[halved(r[at])] for k in (0, 1)])
+        v, r, ids, n = v[order], r[order], ids[order], n[order]
         counts = np.zeros(len(v), np.int64)
         m = int((side == 0).sum())
-        if m == len(v):
-            pairs = compare(v, v, r, r, threshold, True)
+        if whole:
+            pairs = compare(v, v, r, r, threshold, True, steps)
         else:
-            pairs = ((i, j + m) for i, j in compare(v[:m], v[m:], r[:m], r[m:], threshold, False))
+            pairs = ((i, j + m) for i, j in compare(v[:m], v[m:], r[:m], r[m:], threshold, False, steps))
         kept = _forest(len(v), pairs, counts, n)
         some = np.flatnonzero(counts)
         a = np.array([k[0] for k in kept], np.int64)
@@ -220,45 +277,42 @@ def _links(q: np.ndarray, threshold: float):
     return run
 
 
+def links(classes: DataFrame, dim: int, n: int, threshold: float, tile: int) -> DataFrame:
+    """The links among ``n`` classes (c, n, v) of vectors of one length, as ``_links`` gives them."""
+    q, energy = axes(classes, dim)
+    cuts = halvings(classes, q, n, tile)
+    kinds = dict(classes.dtypes)
+    placed = cut(classes.select("c", "n", "v").mapInArrow(_placed(q, cuts), f"c bigint, n bigint, v {kinds['v']}, tile bigint, r array<double>"), "vector-tiles")
+    lead = range(min(LEADING, dim))
+    boxes = placed.groupBy("tile").agg(
+        F.array(*[F.min(F.col("r")[k]) for k in lead]).alias("low"), F.array(*[F.max(F.col("r")[k]) for k in lead]).alias("high"), F.count("*").alias("vectors")
+    )
+    boxes = boxes.orderBy("tile").collect()  # at most 2 ** MOST_LEVELS rows
+    met = placed.mapInArrow(_met(boxes, threshold, tile), f"a bigint, b bigint, side tinyint, c bigint, n bigint, v {kinds['v']}")
+    found = cut(met.groupBy("a", "b").applyInArrow(_links(q, threshold, leading(energy)), _LINKS), "vector-links")
+    free(placed)
+    return found
+
+
 def near_dedup(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(key, n_links, component_id, kept), a row per input row."""
     rows = vectors.select(F.col(key).alias("id"), F.col(column).alias("v"))
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = rows.withColumn("ok", F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
-    common = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = common["d"] if common else 1
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim)).withColumn("c", F.when(F.col("ok"), F.xxhash64("v")))
-    rows = cut(rows, "vectors")
+    rows = cut(rows.withColumn("c", F.when(F.col("ok"), F.xxhash64("v"))), "vectors")
     classes = rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("c").alias("c"))
     classes = cut(classes, "vector-classes")
-    n = classes.count()
-    q = axes(classes, dim)
-    cuts = halvings(classes, q, n, tile)
-    placed = cut(classes.select("c", "n", "v").mapInArrow(_placed(q, cuts), f"c bigint, n bigint, v {dict(rows.dtypes)['v']}, tile bigint, r array<double>"), "vector-tiles")
-    lead = range(min(LEADING, dim))
-    boxes = placed.groupBy("tile").agg(
-        F.array(*[F.min(F.col("r")[k]) for k in lead]).alias("low"), F.array(*[F.max(F.col("r")[k]) for k in lead]).alias("high")
-    )
-    near = cut(near_tiles(boxes, threshold), "near-tiles") if n else None
-    if near is None:
-        linked = None
-    else:
-        sides = near.select("a", "b", F.col("a").alias("tile"), F.lit(0).alias("side")).unionByName(near.where("a <> b").select("a", "b", F.col("b").alias("tile"), F.lit(1).alias("side")))
-        met = placed.select("c", "n", "v", "tile").join(sides, "tile")
-        found = met.groupBy("a", "b").applyInArrow(_links(q, threshold), "c bigint, links bigint, other bigint, is_link boolean")
-        linked = cut(found, "vector-links")
-    out = rows
-    if linked is not None:
-        counts = linked.where("NOT is_link").groupBy("c").agg(F.sum("links").alias("links"))
-        edges = linked.where("is_link").select("c", "other")
-        named = components(edges).join(classes.select(F.col("c").alias("node"), "first"), "node")
-        least = named.groupBy("root").agg(F.min("first").alias("least"))
-        named = named.join(least, "root").select(F.col("node").alias("m"), "least")
-        known = classes.select("c", "n", "first").join(counts, "c", "left").join(named, F.col("c") == F.col("m"), "left")
-        known = cut(known.select(F.col("c").alias("k"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "vector-known")
-        out = rows.join(known, F.col("c") == F.col("k"), "left")
-    else:
-        out = rows.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("id"))
+    linked = classes.sparkSession.createDataFrame([], _LINKS)
+    for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():  # a row per length
+        linked = linked.unionByName(links(classes.where(F.size("v") == r["d"]), r["d"], r["n"], threshold, tile))
+    counts = linked.where("NOT is_link").groupBy("c").agg(F.sum("links").alias("links"))
+    edges = linked.where("is_link").select("c", "other")
+    named = components(edges).join(classes.select(F.col("c").alias("node"), "first"), "node")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    named = named.join(least, "root").select(F.col("node").alias("m"), "least")
+    known = classes.select("c", "n", "first").join(counts, "c", "left").join(named, F.col("c") == F.col("m"), "left")
+    known = cut(known.select(F.col("c").alias("k"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "vector-known")
+    out = rows.join(known, F.col("c") == F.col("k"), "left")
     component = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),

@@ -63,15 +63,31 @@ def test_embeddings(spark):
     rows += [(100 + i, (np.array(rows[i % 5][1]) * (i + 1) + rng.normal(size=24) * 0.05).tolist()) for i in range(30)]
     rows += [(200 + i, rows[7][1]) for i in range(20)]
     rows += [(300, None), (301, []), (302, [0.0] * 24), (303, [math.nan] * 24), (304, [1.0] * 23 + [math.inf]), (305, [None] + [1.0] * 23), (306, [1.0] * 3), (307, [1e300] * 24), (308, [1e-300] * 24)]
+    rows += [(400, [2.0, 0.0, 0.0]), (401, [1.0, 0.01, 0.0]), (402, [5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("c", F.lit(1)).withColumn("v", F.lit(2))
-    want = brute.embedding_groups([r for r in rows if r[0] != 306])
+    want = brute.embedding_groups(rows)
+    assert want[401][0] == 1
     for tile in (8, 4096):
         got = {r[0]: tuple(r)[1:] for r in embed_dedup.near_dedup(df, tile=tile).collect()}
-        assert len(got) == len(rows) and got.pop(306) == (0, 306, True)
-        assert got == want
+        assert len(got) == len(rows) and got == want
     assert embed_dedup.near_dedup(df.limit(0)).collect() == []
 
 
+def test_a_tile_of_very_many_like_vectors_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "MOST_LEVELS", 2)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=12)
+    rows = [(i, (base + rng.normal(size=12) * 0.12).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=12).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute.embedding_groups(rows)
+    assert {r[0]: tuple(r)[1:] for r in embed_dedup.near_dedup(df, tile=20).collect()} == want
+
+
+def test_halved_is_an_order():
+    r = np.random.default_rng(1).normal(size=(1001, 3))
+    assert sorted(embed_dedup.halved(r, 50)) == list(range(1001))
+
+
 def test_suffix_bound_loses_nothing():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 40)) * np.geomspace(1, 0.05, 40)
@@ -81,7 +97,11 @@ def test_suffix_bound_loses_nothing():
     for t in (0.5, 0.95):
         got = {(int(i), int(j)) for a, b in embed_dedup.compare(x, x, x @ q, x @ q, t, True) for i, j in zip(a, b, strict=True)}
         s = x @ x.T
-        assert got == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= t}
+        want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= t}
+        assert got == want
+        order = embed_dedup.halved(x @ q, 64)
+        got = {tuple(sorted((int(order[i]), int(order[j])))) for a, b in embed_dedup.compare(x[order], x[order], (x @ q)[order], (x @ q)[order], t, True, [3, 11]) for i, j in zip(a, b, strict=True)}
+        assert got == want
 
 
 def test_components(spark):
