@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -100,6 +100,14 @@ def modality_counts(rows: DataFrame, kind: str = "content_type") -> DataFrame:
     )
 
 
+def _place(edges: list, x: Column) -> Column:
+    """How many of the sorted edges are x or less, by halving."""
+    steps = [F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))]
+    sorted_edges = F.array(*[F.lit(e) for e in edges])
+    reached = lambda at, step: (at + step <= len(edges)) & (F.get(sorted_edges, at + step - 1) <= x)
+    return F.aggregate(F.array(*steps), F.lit(0), lambda at, step: at + F.when(F.coalesce(reached(at, step), F.lit(False)), step).otherwise(0))
+
+
 def running(rows: DataFrame, size: str, by: list[str], order: list[str], ranges: int = 1024) -> DataFrame:
     """The input with ``before``: the sum of ``size`` over rows earlier in ``order``, within ``by``.
 
@@ -111,10 +119,46 @@ def running(rows: DataFrame, size: str, by: list[str], order: list[str], ranges:
         return rows.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
     edges = rows.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 0.001)
     edges = sorted(set(edges))
-    cut = F.lit(0) if not edges else F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda e: e <= F.col(order[0])))
+    cut = F.lit(0) if not edges else _place(edges, F.col(order[0]))
     placed = rows.withColumn("_r", cut)
     sums = placed.groupBy("_r").agg(F.sum(size).alias("_n"))
     sums = sums.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     w = W.partitionBy("_r").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inside = placed.withColumn("_i", F.coalesce(F.sum(size).over(w), F.lit(0)))
     return inside.join(sums, "_r").withColumn("before", F.col("_b") + F.col("_i")).drop("_r", "_b", "_i")
+
+
+def settings(changes: DataFrame, order: str) -> DataFrame:
+    """A row with the last value of each column that isn't null, by ``order``: what partial updates leave behind. No row without changes."""
+    names = [c for c in changes.columns if c != order]
+    out = changes.agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in names], F.count("*").alias("_n"))
+    return out.where("_n > 0").drop("_n")
+
+
+def merge(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``rows`` with those values of ``changes`` (at most a row per key) that aren't null, and the keys that are new: a partial upsert."""
+    new = changes.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in rows.columns if c != key])
+    out = rows.join(new, F.col(key) == F.col("_k"), "full")
+    return out.select(*[F.coalesce("_k", key).alias(key) if c == key else F.coalesce(f"_{c}", c).alias(c) for c in rows.columns])
+
+
+def insert_new(existing: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``new`` whose key is unique and not there yet; and the others, which an insert refuses."""
+    counts = new.groupBy(key).agg(F.count("*").alias("_n"))
+    told = new.join(counts, key).join(existing.select(key).distinct().withColumn("_there", F.lit(True)), key, "left")
+    refused = F.col("_there").isNotNull() | (F.col("_n") > 1)
+    return told.where(~refused).select(*new.columns), told.where(refused).select(*new.columns)
+
+
+def contents(rows: DataFrame, ids: DataFrame | None = None, content_hash: str | None = None, storage: str | None = None) -> DataFrame:
+    """Content metadata by id, by digest or by where it is stored, the newest first."""
+    out = rows.join(ids.select("id").distinct(), "id", "left_semi") if ids is not None else rows
+    out = out.where(F.col("content_hash") == content_hash) if content_hash is not None else out
+    out = out.where(F.col("storage_type") == check(storage, STORAGE, "storage type")) if storage is not None else out
+    return out.orderBy(F.desc("created_at"), "id")
+
+
+def known(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The keys asked for, each once, and whether a row has it."""
+    there = rows.select(F.col(key).alias("_k")).distinct()
+    return asked.select(key).distinct().join(there, F.col(key) == F.col("_k"), "left").select(key, F.col("_k").isNotNull().alias("exists"))

@@ -37,15 +37,35 @@ def split_sentences(text: str) -> list[str]:
     return [s for x in re.split(r"(?<=[.!?])\s+", text) if (s := x.strip())]
 
 
-def _tail(parts: list[str], sizes: list[int], most: int, whole: Count | None = None) -> list[str]:
-    """The longest run of last parts within ``most`` tokens: by the sum of their sizes, or by counting them joined."""
-    n, total = len(parts), 0
-    while n:
-        total = whole(" ".join(parts[n - 1 :])) if whole else total + sizes[n - 1]
-        if total > most:
-            break
-        n -= 1
-    return parts[n:]
+class Joined:
+    """Parts joined by one string, and their tokens. Words add up, so they are summed; any other counter is asked about the whole."""
+
+    def __init__(self, glue: str, count: Count) -> None:
+        self.glue, self.count, self.parts, self.tokens = glue, count, [], 0
+
+    def with_(self, part: str, size: int) -> int:
+        """The tokens of all parts with one more, which has ``size`` itself."""
+        return self.tokens + size if self.count is count_words else self.count(self.glue.join([*self.parts, part]))
+
+    def add(self, part: str, tokens: int) -> None:
+        self.parts.append(part)
+        self.tokens = tokens
+
+    def text(self) -> str:
+        return self.glue.join(self.parts)
+
+    def tail(self, most: int, together: bool) -> Joined:
+        """The longest run of last parts within ``most`` tokens, counted together or each for itself."""
+        out, n, total = Joined(self.glue, self.count), len(self.parts), 0
+        while n:
+            part = self.parts[n - 1]
+            whole = together and self.count is not count_words
+            total = self.count(self.glue.join(self.parts[n - 1 :])) if whole else total + self.count(part)
+            if total > most:
+                break
+            n, out.tokens = n - 1, total
+        out.parts = self.parts[n:]
+        return out
 
 
 def split_words(text: str, size: int, overlap: int, count: Count = count_words) -> list[str]:
@@ -53,22 +73,23 @@ def split_words(text: str, size: int, overlap: int, count: Count = count_words)
 
     Where the overlap and the next word would not fit together, the overlap is dropped, so the split always moves on.
     """
-    words, out, now, carried = text.split(), [], [], 0
+    words, out, now, carried = text.split(), [], Joined(" ", count), 0
     i = 0
     while i < len(words):
-        if count(" ".join([*now, words[i]])) <= size:
-            now.append(words[i])
+        tokens = now.with_(words[i], 1 if count is count_words else 0)
+        if tokens <= size:
+            now.add(words[i], tokens)
             i += 1
-        elif len(now) > carried:
-            out.append(" ".join(now))
-            now = _tail(now, [], overlap, count) if overlap else []
-            carried = len(now)
-        elif now:
-            now, carried = [], 0
+        elif len(now.parts) > carried:
+            out.append(now.text())
+            now = now.tail(overlap, True) if overlap else Joined(" ", count)
+            carried = len(now.parts)
+        elif now.parts:
+            now, carried = Joined(" ", count), 0
         else:
             out.append(words[i])
             i += 1
-    return [*out, " ".join(now)] if now else out
+    return [*out, now.text()] if now.parts else out
 
 
 def segments(text: str, size: int, count: Count = count_words) -> list[str]:
@@ -78,37 +99,41 @@ def segments(text: str, size: int, count: Count = count_words) -> list[str]:
         if count(paragraph) <= size:
             out.append(paragraph)
             continue
-        group: list[str] = []
+        group = Joined(" ", count)
         for sentence in split_sentences(paragraph):
-            if count(sentence) > size:
-                out += [" ".join(group)] * bool(group) + [sentence]
-                group = []
-            elif group and count(" ".join([*group, sentence])) > size:
-                out.append(" ".join(group))
-                group = [sentence]
+            own = count(sentence)
+            if own > size or (group.parts and group.with_(sentence, own) > size):
+                out += [group.text()] * bool(group.parts)
+                group = Joined(" ", count)
+            if own > size:
+                out.append(sentence)
             else:
-                group.append(sentence)
-        out += [" ".join(group)] * bool(group)
+                group.add(sentence, group.with_(sentence, own))
+        out += [group.text()] * bool(group.parts)
     return out
 
 
 def pack(parts: list[str], config: ChunkConfig, count: Count = count_words) -> list[str]:
     """Segments joined by blank lines up to the size. The next chunk begins with the last sentences of the one before, which may push it over the size."""
     out: list[str] = []
-    now = ""
+    now = Joined("\n\n", count)
     for part in parts:
-        if count(part) > config.size:
-            out += [now] * bool(now)
+        own = count(part)
+        if own > config.size:
+            out += [now.text()] * bool(now.parts)
             out += split_words(part, config.size, config.overlap, count)
-            now = ""
-        elif not now or count(f"{now}\n\n{part}") <= config.size:
-            now = f"{now}\n\n{part}" if now else part
-        else:
-            out.append(now)
-            said = split_sentences(now)
-            kept = _tail(said, [count(s) for s in said], config.overlap) if config.overlap else []
-            now = "\n\n".join([" ".join(kept)] * bool(kept) + [part])
-    return out + [now] * bool(now)
+            now = Joined("\n\n", count)
+            continue
+        if now.parts and now.with_(part, own) > config.size:
+            out.append(now.text())
+            said = Joined(" ", count)
+            said.parts = split_sentences(now.text()) if config.overlap else []
+            kept = said.tail(config.overlap, False)
+            now = Joined("\n\n", count)
+            if kept.parts:
+                now.add(kept.text(), count(kept.text()))
+        now.add(part, now.with_(part, own))
+    return out + [now.text()] * bool(now.parts)
 
 
 def chunk_text(text: str | None, config: ChunkConfig, count: Count = count_words) -> list[str]:

@@ -23,10 +23,12 @@ def _place(word: str, dim: int) -> tuple[int, float]:
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """Signed counts of hashed words, divided by their length. A text without words is the zero vector."""
     out = np.zeros((len(texts), dim))
-    for row, text in zip(out, texts, strict=True):
-        for word in re.findall(r"[a-z0-9]+", (text or "").lower()):
-            at, sign = _place(word, dim)
-            row[at] += sign
+    said = [re.findall(r"[a-z0-9]+", (text or "").lower()) for text in texts]
+    known = {word: k for k, word in enumerate(dict.fromkeys(word for words in said for word in words))}
+    if known:
+        at, sign = (np.array(x) for x in zip(*(_place(word, dim) for word in known), strict=True))
+        word = np.fromiter((known[w] for words in said for w in words), np.int64)
+        np.add.at(out, (np.repeat(np.arange(len(texts)), [len(words) for words in said]), at[word]), sign[word])
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0)
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import functools
+import time
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import markup, text, vectors
-from tesserae.operators import catalog, chunking, embedding
+from tesserae.operators import catalog, chunking, embedding, prompt
+from tesserae.operators.registry import Category, EngineError
 from tesserae.sources import files
 
+Chunker = Callable[[DataFrame, "Config"], DataFrame]
+
 
 @dataclass(frozen=True)
 class Config:
@@ -27,114 +33,252 @@ class Config:
             raise ValueError("top_k must be positive")
 
 
-def tables(docs: DataFrame, config: Config, embed: embedding.Embed = embedding.hash_embed) -> dict[str, DataFrame]:
-    """The rows that (source, title, content, content_type) documents add to each table, and those left out, with reasons."""
+def standard_chunks(docs: DataFrame, config: Config) -> DataFrame:
+    """(document_id, chunk_index, content, token_count) by sentences and paragraphs; images are one chunk."""
+    return chunking.chunk(docs, "document_id", "content", config.chunks, "content_type")
+
+
+def prepared(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(source, title, content, content_type) documents that the mode takes, preprocessed, with their ids; and the others, with reasons."""
     fit, unfit = files.in_mode(docs, config.mode)
     ids = fit.withColumn("document_id", F.xxhash64("source"))
     kind = text.language(F.col("content"), F.col("source"))
-    clean = ids.withColumn("content", F.when(F.col("content_type") == "image", F.col("content")).otherwise(markup.preprocess(F.col("content"), kind, config.preprocessing)))
-    parts = chunking.chunk(clean, "document_id", "content", config.chunks, "content_type")
-    parts = parts.join(clean.select("document_id", "content_type"), "document_id")
-    parts = parts.withColumn("embedding_id", text.embedding_id(F.concat_ws("/", "document_id", "chunk_index", "content")))
-    made = embedding.embed(parts, "content", embed)
+    clean = F.when(F.col("content_type") == "image", F.col("content")).otherwise(markup.preprocess(F.col("content"), kind, config.preprocessing))
+    return ids.withColumn("content", clean), unfit.select("source", "reason")
+
+
+def chunked(clean: DataFrame, config: Config, chunker: Chunker = standard_chunks) -> DataFrame:
+    """(embedding_id, document_id, source, chunk_index, content, content_type, token_count). An id tells its content type where that isn't text."""
+    parts = chunker(clean, config).join(clean.select("document_id", "source", "content_type"), "document_id")
+    made = text.embedding_id(F.concat_ws("/", "document_id", "chunk_index", "content"))
+    named = F.when(F.col("content_type") == "image", F.concat(F.lit("image_"), made)).otherwise(made)
+    return parts.select(named.alias("embedding_id"), "document_id", "source", "chunk_index", "content", "content_type", "token_count")
+
+
+def embedded(parts: DataFrame, embed: embedding.Embed = embedding.hash_embed, images: embedding.Embed | None = None) -> DataFrame:
+    """(embedding_id, document_id, source, content_type, embedding, reason): a vector per chunk, or the reason why there is none.
+
+    ``images`` embeds image chunks, from their bytes' base64 in ``content`` or whatever the chunker left there; without it they are texts.
+    """
+    kept = parts.select("embedding_id", "document_id", "source", "content_type", "content")
+    made = embedding.embed(kept.where("content_type <> 'image'") if images else kept, "content", embed)
+    if images:
+        made = made.unionByName(embedding.embed(kept.where("content_type = 'image'"), "content", images))
     bad = F.coalesce("embedding_error", vectors.problem(F.col("embedding")))
-    failed = made.where(bad.isNotNull()).join(clean.select("document_id", "source"), "document_id").select("source", bad.alias("reason"))
-    return {
-        "documents": clean.select("document_id", "source", "title", "content_type"),
-        "chunks": parts.select("embedding_id", "document_id", "chunk_index", "content", "content_type", "token_count"),
-        "vectors": made.where(bad.isNull()).select("embedding_id", "embedding", "content_type"),
-        "skipped": unfit.select("source", "reason").unionByName(failed),
-    }
+    return made.select("embedding_id", "document_id", "source", "content_type", F.when(bad.isNull(), F.col("embedding")).alias("embedding"), bad.alias("reason"))
+
+
+def summary(documents: DataFrame, chunks: DataFrame, made: DataFrame, unfit: DataFrame) -> DataFrame:
+    """A row of what an ingest did: documents taken, documents left out, chunks, embeddings and chunks without one."""
+    names = ("documents", "skipped", "chunks", "embeddings", "errors")
+    count = lambda df, name, what=F.count("*"): df.agg(*[(what if n == name else F.lit(0)).cast("long").alias(n) for n in names])
+    parts = [count(documents, "documents"), count(unfit, "skipped"), count(chunks, "chunks")]
+    parts += [count(made, "embeddings", F.count("embedding")), count(made, "errors", F.count("*") - F.count("embedding"))]
+    return functools.reduce(DataFrame.unionByName, parts).agg(*[F.sum(n).alias(n) for n in names])
+
+
+SYSTEM = "mode string, model string, dim int, preprocessing string, chunk_size int, chunk_overlap int, top_k int, rerank string"
 
 
 class KnowledgeBase:
-    """Parquet tables documents, chunks and vectors under a path. Writing a source again replaces its rows.
+    """Parquet tables documents, chunks and vectors under a path. Taking a source in again replaces its rows.
 
-    Each write makes a new version folder and then names it in ``current``, so readers never see half of one.
+    A write adds a folder per table and then names its version in ``log``, so readers never see half of one, and what was written
+    stays as it is. A document's rows are those of its newest version; ``compact`` writes these alone and deletes the others.
+    Settings are stored too: a base that is opened without any has those it was last written with.
     """
 
     NAMES = ("documents", "chunks", "vectors")
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None) -> None:
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
+        self.spark, self.path = spark, path.rstrip("/")
+        self.config = config or self._stored() or Config()
 
-    def _version(self) -> int | None:
-        rows = self.spark.read.text(f"{self.path}/current").collect() if self._exists(f"{self.path}/current") else []
-        return max(int(r[0]) for r in rows) if rows else None
+    # versions
 
-    def _exists(self, path: str) -> bool:
+    def _hadoop(self, path: str) -> tuple[object, object]:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _exists(self, path: str) -> bool:
+        store, where = self._hadoop(path)
+        return store.exists(where)
+
+    def _log(self) -> list[tuple[int, bool]]:
+        """(version, whether it stands for all before it), in order. A row per write since the log was begun."""
+        rows = self.spark.read.text(f"{self.path}/log").collect() if self._exists(f"{self.path}/log") else []
+        return sorted((int(v), whole == "whole") for v, whole in (r[0].split() for r in rows))
+
+    def _live(self) -> list[int]:
+        log = self._log()
+        base = max((v for v, whole in log if whole), default=0)
+        return [v for v, _ in log if v >= base]
+
+    def _commit(self, version: int, whole: bool) -> None:
+        self.spark.createDataFrame([(f"{version} {'whole' if whole else 'more'}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/log")
+
+    def _put(self, version: int, name: str, rows: DataFrame) -> DataFrame:
+        writer = rows.write.mode("overwrite")
+        where = f"{self.path}/v{version}/{name}"
+        (writer.partitionBy("content_type") if name == "vectors" else writer).parquet(where)
+        return self.spark.read.schema(rows.schema).parquet(where)
+
+    def _rows(self, name: str, versions: list[int]) -> DataFrame:
+        out = None
+        for v in versions:
+            part = self.spark.read.parquet(f"{self.path}/v{v}/{name}").withColumn("version", F.lit(v))
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def table(self, name: str) -> DataFrame | None:
-        version = self._version()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/v{version}/{name}")
+        """The rows of documents' newest versions; null if nothing was written yet."""
+        live = self._live()
+        if not live:
+            return None
+        rows = self._rows(name, live)
+        if len(live) > 1:  # rows of older versions go; ids that came again are few or many, Spark sees from the aggregate
+            newest = self._rows("documents", live).groupBy("document_id").agg(F.max("version").alias("newest"), F.count("*").alias("n")).where("n > 1")
+            rows = rows.join(newest.select("document_id", "newest"), "document_id", "left").where("newest IS NULL OR version = newest").drop("newest")
+        rows = rows.where("embedding IS NOT NULL") if name == "vectors" else rows
+        return rows.drop("version")
+
+    def compact(self) -> None:
+        """One version of all that is current; the others are deleted."""
+        old = self._live()
+        if len(old) > 1:
+            self._whole({name: self.table(name) for name in self.NAMES})
+
+    def _whole(self, rows: dict[str, DataFrame]) -> None:
+        old = self._log()
+        version = max((v for v, _ in old), default=0) + 1
+        for name, df in rows.items():
+            self._put(version, name, df)
+        self._commit(version, True)
+        for v, _ in old:
+            store, where = self._hadoop(f"{self.path}/v{v}")
+            store.delete(where, True)
+
+    # settings
+
+    def system_info(self) -> DataFrame | None:
+        """The stored settings, a row: of each, the last that was set."""
+        if not self._exists(f"{self.path}/system"):
+            return None
+        return catalog.settings(self.spark.read.schema(f"seq long, {SYSTEM}").json(f"{self.path}/system"), "seq")
+
+    def set_system_info(self, **changes: object) -> None:
+        """Sets some of the settings and leaves the others as they are."""
+        catalog.check(changes.get("mode", "text"), catalog.MODES, "mode")
+        names = [part.split()[0] for part in SYSTEM.split(", ")]
+        if unknown := set(changes) - set(names):
+            raise EngineError(f"unknown settings {', '.join(sorted(unknown))}", Category.CONFIGURATION)
+        row = self.spark.createDataFrame([(time.time_ns(), *(changes.get(n) for n in names))], f"seq long, {SYSTEM}")
+        row.coalesce(1).write.mode("append").json(f"{self.path}/system")
+
+    def _stored(self) -> Config | None:
+        rows = self.system_info()
+        found = rows.first() if rows is not None else None
+        if found is None:
+            return None
+        given = {k: found[k] for k in ("mode", "preprocessing", "model", "top_k") if found[k] is not None}
+        size, overlap = found["chunk_size"], found["chunk_overlap"]
+        return replace(Config(**given), chunks=chunking.ChunkConfig(size, overlap) if size else chunking.ChunkConfig())
+
+    def _remember(self, dim: int | None) -> None:
+        c = asdict(self.config)
+        rows = self.system_info()
+        now = rows.first().asDict() if rows is not None else {}
+        new = {"mode": c["mode"], "model": c["model"], "dim": dim, "preprocessing": c["preprocessing"], "chunk_size": c["chunks"]["size"], "chunk_overlap": c["chunks"]["overlap"], "top_k": c["top_k"]}
+        if changed := {k: v for k, v in new.items() if v is not None and now.get(k) != v}:
+            self.set_system_info(**changed)
 
     def has_data(self) -> bool:
         rows = self.table("documents")
         return rows is not None and catalog.has_rows(rows)
 
-    def check_model(self) -> None:
+    def has_vectors(self) -> bool:
         rows = self.table("vectors")
-        found = rows.select("model").first() if rows is not None else None
-        if found and found["model"] != self.config.model:
+        return rows is not None and catalog.has_rows(rows)
+
+    def check_model(self, dim: int | None = None) -> None:
+        rows = self.system_info()
+        found = rows.first() if rows is not None else None
+        if found and found["model"] and found["model"] != self.config.model and self.has_vectors():
             raise ValueError(f"vectors are of model {found['model']}, not {self.config.model}: rebuild first")
+        if found and dim and found["dim"] and found["dim"] != dim:
+            raise ValueError(f"vectors have {found['dim']} dimensions, not {dim}")
+
+    # writing
 
-    def ingest(self, docs: DataFrame, embed: embedding.Embed = embedding.hash_embed) -> DataFrame:
-        """Adds documents; returns the skipped ones with reasons."""
+    def ingest(self, docs: DataFrame, embed: embedding.Embed = embedding.hash_embed, chunker: Chunker = standard_chunks, images: embedding.Embed | None = None) -> DataFrame:
+        """Adds documents; returns the skipped ones and the chunks without vectors, with reasons.
+
+        Documents are read and preprocessed once, chunked once and embedded once: each step reads what the one before wrote.
+        """
         self.check_model()
-        new = tables(docs, self.config, embed)
-        self._write({name: self._merged(name, new) for name in self.NAMES})
-        return new["skipped"]
-
-    def _merged(self, name: str, new: dict[str, DataFrame]) -> DataFrame:
-        rows = new[name].withColumn("model", F.lit(self.config.model)) if name == "vectors" else new[name]
-        old = self.table(name)
-        if old is None:
-            return rows
-        if name == "vectors":
-            gone = self.table("chunks").join(new["documents"].select("document_id"), "document_id", "left_semi")
-            return old.join(gone.select("embedding_id"), "embedding_id", "left_anti").unionByName(rows)
-        return old.join(new["documents"].select("document_id"), "document_id", "left_anti").unionByName(rows)
-
-    def _write(self, rows: dict[str, DataFrame]) -> None:
-        version = (self._version() or 0) + 1
-        for name, df in rows.items():
-            writer = df.write.mode("overwrite")
-            (writer.partitionBy("content_type") if name == "vectors" else writer).parquet(f"{self.path}/v{version}/{name}")
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
+        version = max((v for v, _ in self._log()), default=0) + 1
+        clean, unfit = prepared(docs, self.config)
+        unfit = self._put(version, "skipped", unfit)
+        clean = self._put(version, "contents", clean.dropDuplicates(["document_id"]))
+        self._put(version, "documents", clean.select("document_id", "source", "title", "content_type"))
+        parts = self._put(version, "chunks", chunked(clean, self.config, chunker))
+        made = self._put(version, "vectors", embedded(parts, embed, images))
+        self._commit(version, False)
+        first = made.where("embedding IS NOT NULL").select(F.size("embedding").alias("d")).first()
+        self._remember(first["d"] if first else None)
+        return unfit.unionByName(made.where("reason IS NOT NULL").select("source", "reason"))
 
-    def rebuild(self, embed: embedding.Embed = embedding.hash_embed) -> None:
+    def last_ingest(self) -> DataFrame:
+        """The summary row of the last write."""
+        v = self._live()[-1]
+        one = lambda name: self.spark.read.parquet(f"{self.path}/v{v}/{name}")
+        return summary(one("documents"), one("chunks"), one("vectors"), one("skipped"))
+
+    def rebuild(self, embed: embedding.Embed = embedding.hash_embed, images: embedding.Embed | None = None) -> None:
         """Vectors anew from the stored chunks, with the present model."""
         chunks = self.table("chunks")
-        made = embedding.embed(chunks.select("embedding_id", "content", "content_type"), "content", embed)
-        fine = made.where(vectors.problem(F.col("embedding")).isNull()).select("embedding_id", "embedding", "content_type", F.lit(self.config.model).alias("model"))
-        self._write({"documents": self.table("documents"), "chunks": chunks, "vectors": fine})
+        self._whole({"documents": self.table("documents"), "chunks": chunks, "vectors": embedded(chunks, embed, images)})
+        first = self.table("vectors").select(F.size("embedding").alias("d")).first()
+        self._remember(first["d"] if first else None)
 
     def reset(self) -> dict[str, int]:
         """Empties all tables; returns how many rows each had."""
-        if self._version() is None:
+        if not self._live():
             return dict.fromkeys(self.NAMES, 0)
         old = {name: self.table(name) for name in self.NAMES}
         counts = {name: df.count() for name, df in old.items()}
-        self._write({name: df.limit(0) for name, df in old.items()})
+        self._whole({name: df.limit(0) for name, df in old.items()})
         return counts
 
+    # reading
+
     def search(self, query: str, k: int | None = None, content_type: str | None = None, rerank: str = "disabled", embed: embedding.Embed = embedding.hash_embed) -> DataFrame:
-        """The nearest chunks and their documents. The type filter prunes partitions before the search; vectors are searched without texts."""
+        """The nearest chunks and their documents; none for a blank query."""
+        return self.search_vector(embed([query])[0].tolist() if query.strip() else None, query, k, content_type, rerank)
+
+    def search_vector(self, vector: list[float] | None, query: str = "", k: int | None = None, content_type: str | None = None, rerank: str = "disabled") -> DataFrame:
+        """The chunks nearest to a vector at hand, and their documents. The type filter prunes partitions before the search; vectors are searched without texts."""
         from tesserae.operators import knn, rerank as reranking
 
         rows = self.table("vectors")
-        if rows is None or not query.strip():
-            return self.spark.createDataFrame([], "query_id int, id string, score double, content string, title string, source string, content_type string, rank int, rounded_score double")
-        rows = rows.where(F.col("content_type") == content_type) if content_type in ("text", "image", "pdf", "docx") else rows
-        best = knn.top_k(rows, embed([query])[0].tolist(), k or self.config.top_k, "embedding_id").drop("rank", "distance")
+        if rows is None or vector is None:
+            return self.spark.createDataFrame([], "query_id int, query string, id string, score double, content string, title string, source string, content_type string, rank int, rounded_score double")
+        self.check_model(len(vector))
+        rows = rows.where(F.col("content_type") == content_type) if content_type in catalog.CONTENT_TYPES else rows
+        best = knn.top_k(rows, vector, k or self.config.top_k, "embedding_id").drop("rank", "distance")
         found = best.join(self.table("chunks").select("embedding_id", "document_id", "content"), "embedding_id").join(self.table("documents"), "document_id")
         found = found.select(
             F.lit(0).alias("query_id"), F.lit(query).alias("query"), F.col("embedding_id").alias("id"), F.greatest(F.lit(0.0), "score").alias("score"),
             "content", "title", "source", "content_type", F.lit(None).cast("string").alias("caption"),
         )
-        return reranking.rerank(found, rerank, "multimodal")
+        return reranking.rerank(found, rerank, self.config.mode if rerank != "text-derived" else "multimodal")
+
+    def answer(self, query: str, generator: prompt.Answer | None, k: int | None = None, content_type: str | None = None, rerank: str = "disabled", **options: object) -> tuple[DataFrame, DataFrame | None]:
+        """Search results, and the answer that a generator gives from the best of them; no answer without a generator or results."""
+        results = self.search(query, k, content_type, rerank)
+        if generator is None or results.isEmpty():
+            return results, None
+        return results, prompt.generate(results, generator, **options)
 
     def stats(self) -> DataFrame:
         return catalog.type_statistics(self.table("chunks")).withColumn("model", F.lit(self.config.model))

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tesserae.functions import vectors
 
-#: Queries that go to every task at once; more are searched in further blocks.
-QUERY_BLOCK = 4096
+#: Queries and rows that one task compares.
+QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 
 
 def top_k(rows: DataFrame, query: list[float], k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -51,36 +52,53 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int, tile: int = 2048):
     return run
 
 
+def _best(k: int):
+    """The k best rows of each query, of one block of queries and one of rows."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        asked = part.filter(pc.field("side") == 0).combine_chunks()
+        rows = part.filter(pc.field("side") == 1).combine_chunks()
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        unit = lambda t: _unit(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), t.num_rows)
+        score = np.round(unit(asked) @ unit(rows).T, 6)
+        ids = np.broadcast_to(rows["id"].to_numpy(), score.shape)
+        order = np.lexsort((ids, -score), axis=1)[:, :k]
+        n = order.shape[1]
+        found = [np.repeat(asked["id"].to_numpy(), n), np.take_along_axis(ids, order, 1).ravel(), np.take_along_axis(score, order, 1).ravel()]
+        return pa.table(dict(zip(("query_id", "id", "score"), found, strict=True)))
+
+    return run
+
+
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", query_key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): the k nearest of ``rows`` for each query, in blocks of queries against all rows.
+    """(query_id, id, score, rank): the k nearest of ``rows`` for each query, ids being longs.
 
-    Each task keeps k rows per query, so what is shuffled is tasks x queries x k rows, whatever the number of rows. Ids are longs.
+    Up to ``QUERY_BLOCK`` queries are sent to all tasks, and rows stay where they are: each task keeps k of them per query. More
+    queries, and the rows, are dealt to blocks by their ids, and each block of queries meets each block of rows in a task of its
+    own; none of that goes through the driver.
     """
-    asked = queries.select(F.col(query_key).alias("q"), F.col(column).alias("v")).where("v IS NOT NULL")
-    plain = rows.select(F.col(key).alias("id"), F.col(column).alias("v")).where("v IS NOT NULL")
-    found = None
-    for block in _blocks(asked):
-        ids = np.array([r["q"] for r in block], np.int64)
-        vs = _unit(np.array([r["v"] for r in block]).ravel(), len(block))
-        part = plain.mapInArrow(_search(ids, vs, k), "query_id bigint, id bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    side = lambda t, name, n: t.select(F.lit(n).alias("side"), F.col(name).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    few = side(queries, query_key, 0).limit(QUERY_BLOCK + 1).collect()
+    if not few:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    if len(few) <= QUERY_BLOCK:
+        vs = _unit(np.array([r["v"] for r in few]).ravel(), len(few))
+        found = side(rows, key, 1).select("id", "v").mapInArrow(_search(np.array([r["id"] for r in few], np.int64), vs, k), "query_id bigint, id bigint, score double")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    n_asked, n_rows = queries.count(), rows.count()
+    a, b = max(1, -(-n_asked // QUERY_BLOCK)), max(1, -(-n_rows // ROW_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = side(queries, query_key, 0).select("*", dealt(a).alias("a"), every(b).alias("b"))
+    right = side(rows, key, 1).select("*", every(a).alias("a"), dealt(b).alias("b"))
+    # as many partitions as pairs of blocks: adaptive execution would put these small groups into few tasks
+    met = left.unionByName(right).repartition(min(a * b, 100_000), "a", "b")
+    found = met.groupBy("a", "b").applyInArrow(_best(k), "query_id bigint, id bigint, score double")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(asked: DataFrame) -> Iterator[list]:
-    block: list = []
-    for r in asked.orderBy("q").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
 def _signatures(planes: np.ndarray):
     """(id, v, b): for each table the side of its planes that a vector is on, as a number, with the table's."""
     tables, bits, _ = planes.shape
@@ -96,8 +114,20 @@ def _signatures(planes: np.ndarray):
     return run
 
 
-def approximate_top_k(rows: DataFrame, queries: DataFrame, dim: int, k: int = 10, key: str = "vec_id", column: str = "embedding", tables: int = 24, bits: int = 4, seed: int = 5) -> DataFrame:
-    """As ``batch_top_k``, comparing only vectors that share one of ``tables`` signatures of ``bits`` random planes."""
+def signature_bits(n: int, least: int = 4, bucket: int = 64) -> int:
+    """Planes of a signature: enough that a bucket of ``n`` vectors that are alike in nothing has about ``bucket`` of them."""
+    return max(least, int(np.ceil(np.log2(max(n, 1) / bucket))))
+
+
+def approximate_top_k(
+    rows: DataFrame, queries: DataFrame, dim: int, k: int = 10, key: str = "vec_id", column: str = "embedding", tables: int = 24, bits: int | None = None, seed: int = 5
+) -> DataFrame:
+    """As ``batch_top_k``, comparing only vectors that share one of ``tables`` signatures of ``bits`` random planes.
+
+    Signatures get longer with the table (``signature_bits``), so a query meets a bounded number of unlike rows in each table, however many
+    there are. What is near is found with the probability that one of the signatures agrees; more tables find more.
+    """
+    bits = bits or signature_bits(rows.count())
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
     signed = lambda t: t.select(F.col(key).alias("id"), F.col(column).alias("v")).where("v IS NOT NULL").mapInArrow(_signatures(planes), "id bigint, v array<double>, b array<int>")
     left, right = signed(queries), signed(rows)

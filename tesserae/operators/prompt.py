@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,10 +13,25 @@ from pyspark.sql.window import Window as W
 CHARS_PER_TOKEN, SEPARATOR, CUT = 4, "\n---\n", "\n[Content truncated...]"
 OVERHEAD = {"instruct": 150, "causal-lm": 50}
 DEFAULT_SYSTEM = "You answer from the given context only. Say so if it does not hold the answer."
+#: The same for answers that name their documents.
+ATTRIBUTING_SYSTEM = f"{DEFAULT_SYSTEM} Name the documents that your answer rests on."
+#: Where an answer of each kind of model ends.
 STOPS = {
     "instruct": ["<|im_end|>", "<|endoftext|>", "<|im_start|>", "\n\nQuestion:", "\n\nContext:"],
-    "causal-lm": ["\n\nQuestion:", "\n\nDocuments:", "\n\n---"],
+    "causal-lm": ["\n\nQuestion:", "\n\nDocuments:", "\n\n---", "<|endoftext|>"],
+}
+#: What prompts say before, between and after system text, context and question.
+PROMPTS = {
+    "instruct": (
+        "<|im_start|>system\n", "<|im_end|>\n<|im_start|>user\nContext:\n", "\n\nQuestion: ",
+        "\n\nAnswer based only on the context above:<|im_end|>\n<|im_start|>assistant\n",
+    ),
+    "causal-lm": (
+        "The following documents contain information to answer the question.\n\nDocuments:\n", "\n\nBased on the documents above, answer this question: ",
+        "\n\nAnswer:",
+    ),
 }
+Answer = Callable[[list[str]], list[str]]
 
 
 def context_budget(longest: Column, reserved: Column, overhead: int = 100) -> Column:
@@ -46,16 +64,46 @@ def available(query: Column, kind: str, longest: int, reserved: int) -> Column:
     return F.lit(longest - reserved - OVERHEAD[kind]) - F.ceil(F.length(query) / CHARS_PER_TOKEN)
 
 
-def prompt(query: Column, context: Column, kind: str, system: str | None = None) -> Column:
-    if kind == "instruct":
-        return F.concat(
-            F.lit(f"<|im_start|>system\n{system or DEFAULT_SYSTEM}<|im_end|>\n<|im_start|>user\nContext:\n"), context, F.lit("\n\nQuestion: "), query,
-            F.lit("\n\nAnswer based only on the context above:<|im_end|>\n<|im_start|>assistant\n"),
-        )
-    return F.concat(
-        F.lit("The following documents contain information to answer the question.\n\nDocuments:\n"), context,
-        F.lit("\n\nBased on the documents above, answer this question: "), query, F.lit("\n\nAnswer:"),
-    )
+def prompt(query: Column, context: Column, kind: str, system: str | None = None, attribute: bool = False) -> Column:
+    parts = [F.lit(x) for x in PROMPTS[kind]]
+    if kind == "causal-lm":
+        return F.concat(parts[0], context, parts[1], query, parts[2])
+    default = ATTRIBUTING_SYSTEM if attribute else DEFAULT_SYSTEM
+    return F.concat(parts[0], F.lit(system or default), parts[1], context, parts[2], query, parts[3])
+
+
+def generate(
+    results: DataFrame, answer: Answer, kind: str = "instruct", longest: int = 2048, reserved: int = 512, chunks: int = 3, system: str | None = None,
+    attribute: bool = False, batch: int = 8,
+) -> DataFrame:
+    """(query_id, prompt, response, included, truncated, tokens_used, error): an answer per query, from its ``chunks`` best results.
+
+    ``answer`` gets lists of up to ``batch`` prompts, inside tasks. A batch that fails is tried prompt by prompt; a prompt that fails has a
+    null response and its error. Queries without results have no row.
+    """
+    best = results.where(F.col("rank") <= chunks)
+    asked = best.groupBy("query_id").agg(F.first("query").alias("query"))
+    rows = best.withColumn("_budget", available(F.col("query"), kind, longest, reserved))
+    told = contexts(rows, "_budget").join(asked, "query_id")
+    told = told.select("query_id", prompt(F.col("query"), F.col("context"), kind, system, attribute).alias("prompt"), "included", "truncated")
+
+    def tried(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            return [(x, None) for x in answer(prompts)]
+        except Exception as e:  # any model's error is the row's, not the job's
+            return [(None, f"{type(e).__name__}: {e}")] if len(prompts) == 1 else [tried([p])[0] for p in prompts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                made = tried(part.column("prompt").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([m[k] for m in made], pa.string()) for k in (0, 1))], names=[*part.schema.names, "raw", "error"])
+
+    made = told.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in told.dtypes) + ", raw string, error string")
+    out = made.withColumn("response", clean_answer(F.col("raw"), STOPS[kind]))
+    used = F.ceil(F.length("prompt") / CHARS_PER_TOKEN) + F.ceil(F.length("response") / CHARS_PER_TOKEN)
+    return out.select("query_id", "prompt", "response", "included", "truncated", used.alias("tokens_used"), "error")
 
 
 def clean_answer(answer: Column, stops: list[str]) -> Column:

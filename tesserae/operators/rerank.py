@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tesserae.functions import ranking
+from tesserae.functions import ranking, vectors
+from tesserae.operators import embedding
 
 STRATEGIES = ("lexical", "cross-encoder", "text-derived", "metadata", "disabled")
 #: Scores of a model that are closer together than this tell nothing: the lexical score is used instead.
@@ -50,11 +51,32 @@ def metadata(results: DataFrame) -> DataFrame:
 
 
 def cross_encoder(results: DataFrame, logits: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """By a model's logits (``logits`` adds a column logit). Queries whose scores spread too little are scored lexically."""
+    """By a model's logits (``logits`` adds a column logit). Queries whose scores spread too little are scored lexically; queries for which
+    the model failed (a null logit) keep the order they came in."""
     scored = logits(results).withColumn("_p", F.round(ranking.sigmoid(F.col("logit")), 6))
-    spread = F.max("_p").over(W.partitionBy("query_id")) - F.min("_p").over(W.partitionBy("query_id"))
+    each = W.partitionBy("query_id")
+    failed = F.max(F.col("logit").isNull()).over(each)
+    spread = F.max("_p").over(each) - F.min("_p").over(each)
     new = ranking.lexical_score(F.col("score"), F.col("query"), F.col("content"), F.col("title"), F.col("source"))
-    return ranked(scored.withColumn("score", F.when(spread < LEAST_SPREAD, F.round(new, 6)).otherwise(F.col("_p"))).drop("_p", "logit"))
+    score = F.when(failed, F.col("score")).when(spread < LEAST_SPREAD, F.round(new, 6)).otherwise(F.col("_p"))
+    return ranked(scored.withColumn("score", score).drop("_p", "logit"))
+
+
+#: What each cross-modal search takes in.
+PRESETS = {"images by text": ("image",), "texts by image": ("text",), "unified": ("text", "image")}
+
+
+def preset(results: DataFrame, name: str, threshold: float = 0.0) -> DataFrame:
+    """One of the usual cross-modal searches over results with a query_type and a similarity."""
+    return cross_modal(results, threshold=threshold, include=PRESETS[name])
+
+
+def semantic(results: DataFrame, embed, column: str = "content") -> DataFrame:
+    """Adds ``similarity``, the cosine of the query's and the content's vectors, both embedded here; null where one can't be."""
+    both = embedding.embed(embedding.embed(results, "query", embed, "_q"), column, embed, "_c")
+    fine = vectors.problem(F.col("_q")).isNull() & vectors.problem(F.col("_c")).isNull()
+    near = F.when(fine, F.round(vectors.cosine(F.col("_q"), F.col("_c")), 6))
+    return both.withColumn("similarity", near).drop("_q", "_c", "_q_error", "_c_error")
 
 
 def rerank(results: DataFrame, strategy: str, mode: str = "text", logits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -90,6 +90,18 @@ def verify(recorded: DataFrame, actual: DataFrame, tolerance: int = 1024) -> Dat
     return both.withColumn("is_valid", same)
 
 
+def repair(recorded: DataFrame, actual: DataFrame, tolerance: int = 1024) -> DataFrame:
+    """The counts to record: the recorded ones where ``verify`` finds them right, else the actual ones."""
+    told = verify(recorded, actual, tolerance)
+    right = lambda name: F.when(F.col("is_valid"), F.col(f"recorded_{name}")).otherwise(F.col(name)).alias(name)
+    return told.select(right("files"), right("bytes"), (~F.col("is_valid")).alias("repaired"))
+
+
+def missing_files(recorded: DataFrame, files: DataFrame, key: str = "content_id") -> DataFrame:
+    """Content that is recorded but whose file is gone."""
+    return recorded.join(files.select(key), key, "left_anti")
+
+
 def readable(size: Column) -> Column:
     """Bytes as '1.5 MB'."""
     out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))

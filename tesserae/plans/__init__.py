@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators import chunking, embedding, knn
-from tesserae.plans import catalog, texts, vectors
+from tesserae.plans import catalog, library, texts, vectors
 
-QUERIES = vectors.QUERIES | catalog.QUERIES | texts.QUERIES
-ORACLE_SQL = vectors.ORACLE_SQL | catalog.ORACLE_SQL | texts.ORACLE_SQL
+QUERIES = vectors.QUERIES | catalog.QUERIES | texts.QUERIES | library.QUERIES
+ORACLE_SQL = vectors.ORACLE_SQL | catalog.ORACLE_SQL | texts.ORACLE_SQL | library.ORACLE_SQL
 
 
 def flagship(spark, sf_dir: str, question: str = "what is the overview", k: int = 10) -> DataFrame:

@@ -41,12 +41,35 @@ def strip_mermaid(spark, sf_dir: str) -> DataFrame:
     return fenced(spark, sf_dir).select("doc_id", text.strip_diagrams(F.col("text")).alias("stripped"), text.strip_diagrams(F.col("text"), "placeholder").alias("noted"))
 
 
+#: Diagrams, and the relations that they draw.
+DRAWN = [
+    ("graph TD\nA --> B", "A leads to B"), ("graph TD\nA[Start] --> B{Choice}\nB -.-> C((End))", "Start leads to Choice\nChoice optionally leads to End"),
+    ("flowchart LR\n%% a note\nA -->|yes| B\nA --- C\nstyle A fill:#fff", "A leads to B (yes)\nA connects to C"),
+    ("graph TD\nsubgraph one\nA --> B | told |\nend", "A leads to B (told)"), ("sequenceDiagram\nAlice->>Bob: Hello Bob\nBob-->>Alice: Hi", "Alice sends to Bob: Hello Bob\nBob sends to Alice: Hi"),
+    ("classDiagram\nAnimal --|> Dog\nCar *-- Wheel", "Animal inherits from Dog\nCar composes Wheel"), ("stateDiagram\n[*] --> Idle\nIdle --> Busy", "Idle transitions to Busy"),
+    ("erDiagram\nCUSTOMER ||--o{ ORDER : places", "CUSTOMER has one-to-many relationship with ORDER"), ("graph LR\nclassDef x fill:#f9f", "[diagram content extracted]"),
+]
+#: MDX, what is left of it, and the same with notes.
+PAGES = [
+    ("import X from 'y';\n<Box a={1}><In>x</In></Box>\n", "</Box>\n", "[import removed]\n[component removed]</Box>\n"),
+    ("export const meta = { a: 1 };\n\n\n\nkept <Self b={2} /> too\n", "kept  too\n", "[export removed]\nkept [component removed] too\n"),
+    ("export default function Page() {\n  return 1\n}\n# T\n", "# T\n", "[export removed]\n# T\n"),
+    ("plain <b>html</b>\n", "plain <b>html</b>\n", "plain <b>html</b>\n"),
+]
+
+
+def _dealt(values: list[str]):
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+
+
 def mermaid_edges(spark, sf_dir: str) -> DataFrame:
-    return fenced(spark, sf_dir).select("doc_id", markup.diagrams_column(F.col("text")).alias("text"))
+    """Each document with one of several diagrams before it."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("```mermaid\n"), _dealt([d for d, _ in DRAWN]), F.lit("\n```\n"), F.col("text")).alias("text"))
+    return rows.select("doc_id", markup.diagrams_column(F.col("text")).alias("text"))
 
 
 def mdx_strip(spark, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("import X from 'y';\n<Box a={1}><In>x</In></Box>\n"), F.col("text")).alias("text"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(_dealt([m for m, _, _ in PAGES]), F.col("text")).alias("text"))
     return rows.select("doc_id", markup.mdx_column(F.col("text")).alias("stripped"), markup.mdx_column(F.col("text"), True).alias("noted"))
 
 
@@ -118,7 +141,7 @@ def results(spark, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("text").alias("content"), F.concat(F.lit("Guide "), "source").alias("title"), F.concat(F.lit("/intro_data/"), "source", F.lit("-chart.md")).alias("source"),
         F.when(F.col("lang") == "es", "image").otherwise("text").alias("content_type"),
     )
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search_pipeline(spark, sf_dir).drop("rank").join(docs, "id").join(asked, "query_id")
 
 
@@ -165,7 +188,7 @@ def cross_modal_stats(spark, sf_dir: str) -> DataFrame:
 
 
 def context_rows(spark, sf_dir: str) -> DataFrame:
-    return rerank.ranked(results(spark, sf_dir)).select("query_id", "query", "rank", "title", F.substring("content", 1, 700).alias("content"))
+    return rerank.ranked(results(spark, sf_dir)).select("query_id", "query", "rank", "title", "content")
 
 
 def context_window(spark, sf_dir: str) -> DataFrame:
@@ -174,14 +197,16 @@ def context_window(spark, sf_dir: str) -> DataFrame:
 
 def prompt_build(spark, sf_dir: str) -> DataFrame:
     rows = context_rows(spark, sf_dir).withColumn("budget", prompt.available(F.col("query"), "instruct", 1000, 300))
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     out = prompt.contexts(rows, "budget").join(asked, "query_id")
     return out.select("query_id", *[prompt.prompt(F.col("query"), F.col("context"), k).alias(k.replace("-", "_")) for k in ("instruct", "causal-lm")])
 
 
 def answer_cleanup(spark, sf_dir: str) -> DataFrame:
-    cut = F.concat(F.substring("text", 1, 300), F.lit("\n\nQuestion: more?"))
-    return read(spark, sf_dir, "documents").select("doc_id", prompt.clean_answer(cut, prompt.STOPS["causal-lm"]).alias("answer"))
+    """Whole documents as answers, with one of the stop sequences and more after them."""
+    stops = prompt.STOPS["causal-lm"]
+    said = F.concat(F.col("text"), _dealt(stops), F.lit("more? And more."))
+    return read(spark, sf_dir, "documents").select("doc_id", prompt.clean_answer(said, stops).alias("answer"))
 
 
 QUERIES = {
@@ -209,7 +234,7 @@ d AS MATERIALIZED {_UNIT.format('e')}, q AS MATERIALIZED {_UNIT.format('b')},
 hits AS (SELECT q.id AS query_id, d.id, round(sum(q.x * d.x), 6) AS score FROM q JOIN d ON q.i = d.i GROUP BY ALL),
 every AS (SELECT b.item_id AS query_id, documents.doc_id AS id, coalesce(h.score, 0.0) AS score FROM benchmark b CROSS JOIN documents LEFT JOIN hits h ON h.query_id = b.item_id AND h.id = documents.doc_id),
 s AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM every QUALIFY rank <= {K}),
-r AS (SELECT s.query_id, s.id, s.score, s.rank, d.text AS content, 'Guide ' || d.source AS title, '/intro_data/' || d.source || '-chart.md' AS source, CASE WHEN d.lang = 'es' THEN 'image' ELSE 'text' END AS content_type, substr(b.text, 1, 40) AS query
+r AS (SELECT s.query_id, s.id, s.score, s.rank, d.text AS content, 'Guide ' || d.source AS title, '/intro_data/' || d.source || '-chart.md' AS source, CASE WHEN d.lang = 'es' THEN 'image' ELSE 'text' END AS content_type, b.text AS query
   FROM s JOIN documents d ON d.doc_id = s.id JOIN benchmark b ON b.item_id = s.query_id)"""
 _WORDS = "list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2)"
 
@@ -232,10 +257,29 @@ def _lexical(is_text: str, content: str) -> str:
 
 
 _RANK = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM n"
-_CONTEXT = f"""{_SEARCH}, c AS (SELECT query_id, query, rank, '[Document ' || rank || ': ' || title || ']' || chr(10) || substr(content, 1, 700) AS t FROM r),
-m AS (SELECT *, greatest(0, {{}}) * 4 AS most, sum(length(t) + CASE WHEN rank > 1 THEN 5 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM c),
+
+
+def _string(value: str) -> str:
+    """A text as an SQL expression; line breaks are written as chr(10)."""
+    return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in value.split("\n"))
+
+
+def instruct(context: str, query: str, system: str = prompt.DEFAULT_SYSTEM) -> str:
+    a, b, c, d = map(_string, prompt.PROMPTS["instruct"])
+    return f"({a} || {_string(system)} || {b} || {context} || {c} || {query} || {d})"
+
+
+def _context(budget: str, rows: str = "r") -> str:
+    return f"""{_SEARCH}, c AS (SELECT query_id, query, rank, '[Document ' || rank || ': ' || title || ']' || chr(10) || content AS t FROM {rows}),
+m AS (SELECT *, greatest(0, {budget}) * 4 AS most, sum(length(t) + CASE WHEN rank > 1 THEN 5 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM c),
 x AS (SELECT query_id, query, rank, total <= most AS fits, CASE WHEN total <= most THEN t WHEN rank = 1 AND most > 100 THEN substr(t, 1, (most - 20)::BIGINT) || chr(10) || '[Content truncated...]' END AS t FROM m),
 g AS (SELECT query_id, any_value(query) AS query, coalesce(string_agg(t, chr(10) || '---' || chr(10) ORDER BY rank), '') AS context, count(t) AS included, count(*) AS total, bool_or(NOT fits) AS truncated FROM x GROUP BY query_id)"""
+
+
+def _choice(values: list[str]) -> str:
+    return f"[{', '.join(map(_string, values))}][doc_id % {len(values)} + 1]"
+
+
 _MODAL = f"{_SEARCH}, m AS (SELECT *, content_type <> 'text' AS is_cross_modal, greatest(0, round(score * 0.9::DOUBLE + 0.05::DOUBLE, 6)) AS similarity FROM r), n AS (SELECT query_id, id, content_type, is_cross_modal, similarity, CASE WHEN is_cross_modal THEN similarity ELSE score END AS score FROM m WHERE NOT is_cross_modal OR similarity >= 0.3)"
 _JSX = "(regexp_matches(html, '" + "|".join(f"(?:{p})" for p in text.JSX).replace("'", "''") + "'))"
 _DIA = "(regexp_matches(html, '(?i)" + "|".join(f"(?:{p})" for p in text.DIAGRAM) + "'))"
@@ -247,14 +291,16 @@ _BOOST = " * ".join(f"CASE WHEN contains({_NAME}, '{w}') THEN {b}::DOUBLE ELSE 1
 _FILE = f"least(2.0::DOUBLE, (CASE WHEN contains({_NAME}, {_Q}) THEN 1.0::DOUBLE ELSE 0 END + list_sum(list_transform({_QWORDS}, lambda w: len(list_filter({_PARTS}, lambda p: contains(p, w) OR contains(w, p))) * 0.3::DOUBLE))) * {_BOOST})"
 _ABOUT = " + ".join(f"CASE WHEN contains({v}, {_Q}) THEN 0.5::DOUBLE ELSE 0 END + len(list_filter({_QWORDS}, lambda w: contains({v}, w))) * 0.2::DOUBLE" for v in ("lower(title)", "'a chart of sources'", "'chart'"))
 _META = f"{_SEARCH}, n AS (SELECT query_id, id, round(0.4::DOUBLE * score + 0.6::DOUBLE * (0.4::DOUBLE * {_FILE} + 0.3::DOUBLE * CASE content_type WHEN 'image' THEN 1.6::DOUBLE ELSE 1.8::DOUBLE END + 0.3::DOUBLE * greatest(0, {_ABOUT} + 0.3::DOUBLE + 0.5::DOUBLE - CASE WHEN length(content) BETWEEN 1 AND 999 THEN 0.1::DOUBLE ELSE 0 END)), 6) AS score FROM r) {_RANK}"
-_ANSWER = "WITH a AS (SELECT doc_id, trim(substr(text, 1, 300)) AS a FROM documents), w AS (SELECT doc_id, a, regexp_extract(a, '(?s)^(.*[.!?])', 1) AS w FROM a) SELECT doc_id, CASE WHEN length(w) > length(a) / 2.0 THEN w ELSE a END AS answer FROM w"
+_ANSWER = "WITH a AS (SELECT doc_id, trim(text) AS a FROM documents), w AS (SELECT doc_id, a, regexp_extract(a, '(?s)^(.*[.!?])', 1) AS w FROM a) SELECT doc_id, CASE WHEN length(w) > length(a) / 2.0 THEN w ELSE a END AS answer FROM w"
+_NO_DIAGRAM, _NOTED_DIAGRAM = (_COLLAPSE.format(f"regexp_replace(text, {_DIAGRAM}, {x}, 'g')") for x in ("''", "'[diagram removed]'"))
 ORACLE_SQL = {
     "title_extract": "SELECT doc_id, CASE WHEN lang = 'es' AND trim(substr(text, 1, 20)) <> '' THEN regexp_replace(split_part(regexp_replace(substr(text, 1, 20), '^\\s+', ''), chr(10), 1), '\\s+$', '') ELSE source || '.v1' END AS title FROM documents",
     "lang_detect": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 3 THEN 'markdown' ELSE CASE WHEN {_JSX} THEN 'mdx' WHEN {_DIA} THEN 'mermaid' ELSE 'markdown' END END AS language FROM pages",
     "markup_flags": f"SELECT page_id, {_JSX} AS jsx, {_DIA} AS diagram, {_JSX} OR contains(html, '```') AS needed FROM pages",
     "strip_fences": f"{_FENCED} SELECT doc_id, regexp_replace(text, {_BLOCK}, '', 'g') AS stripped, {_LANG} || repeat(chr(10), 4) || '[mermaid code block removed]' || substr(text, length({_HEAD})) AS noted FROM f",
     "strip_mermaid": f"{_FENCED} SELECT doc_id, {_COLLAPSE.format(f'regexp_replace(text, {_DIAGRAM}, {chr(39) * 2}, {chr(39)}g{chr(39)})')} AS stripped, {_COLLAPSE.format(f'regexp_replace(text, {_DIAGRAM}, {chr(39)}[diagram removed]{chr(39)}, {chr(39)}g{chr(39)})')} AS noted FROM f",
-    "mermaid_edges": f"{_FENCED} SELECT doc_id, regexp_replace(text, {_DIAGRAM}, 'A leads to B', 'g') AS text FROM f",
+    "mermaid_edges": f"SELECT doc_id, {_choice([x for _, x in DRAWN])} || chr(10) || text AS text FROM documents",
+    "preprocess_modes": f"{_FENCED} SELECT doc_id, regexp_replace({_NO_DIAGRAM}, {_BLOCK}, '', 'g') AS strict, {_NOTED_DIAGRAM} AS balanced, regexp_replace(text, {_DIAGRAM}, 'A leads to B', 'g') AS rich FROM f",
     "preprocess_stats": f"{_FENCED}, g AS (SELECT doc_id, text AS a, regexp_replace(text, {_BLOCK}, '', 'g') AS b FROM f) SELECT doc_id, length(a)::INT AS original_length, length(b)::INT AS processed_length, round(length(b)::DOUBLE / length(a), 6) AS ratio, (length(a) - length(replace(a, chr(10), '')) - length(b) + length(replace(b, chr(10), '')))::INT AS lines_removed FROM g",
     "safe_lines": f"{_FENCED} SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length({_TRIM.format('x')}) > 0 AND NOT contains(x, '<') AND NOT contains(x, '```') AND NOT starts_with(x, 'import ') AND NOT starts_with(x, 'export ')), chr(10)) AS text FROM f",
     "para_split": f"SELECT doc_id, (i - 1)::INT AS i, p[i] AS paragraph FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS p FROM documents))",
@@ -273,11 +319,10 @@ SELECT doc_id, i::INT AS i, max(n)::INT AS n, max_by(words, k)::INT AS words FRO
     "rerank_text_derived": _lexical("TRUE", "CASE WHEN content_type = 'image' THEN 'Image file: ' || title ELSE content END"),
     "rerank_metadata": _META,
     "answer_cleanup": _ANSWER,
-    "mdx_strip": f"SELECT doc_id, {_TRIM.format("'</Box>' || chr(10) || text")} AS stripped, {_TRIM.format("'[import removed]' || chr(10) || '[component removed]</Box>' || chr(10) || text")} AS noted FROM documents",
+    "mdx_strip": f"SELECT doc_id, {_TRIM.format(_choice([x for _, x, _ in PAGES]) + ' || text')} AS stripped, {_TRIM.format(_choice([x for _, _, x in PAGES]) + ' || text')} AS noted FROM documents",
     "rerank_cross_encoder": f"{_SEARCH}, p AS (SELECT *, round(1 / (1 + exp(-(ln(length(content) + 1) - 7))), 6) AS p FROM r), n AS (SELECT query_id, id, CASE WHEN max(p) OVER (PARTITION BY query_id) - min(p) OVER (PARTITION BY query_id) < 0.1 THEN round(least(1.0::DOUBLE, score + {_bonus('content')}), 6) ELSE p END AS score FROM p) {_RANK}",
     "cross_modal_rank": f"{_MODAL} {_RANK}",
     "cross_modal_stats": f"{_MODAL} SELECT content_type, count(*) AS n, count(*) FILTER (is_cross_modal) AS n_cross_modal, round(avg(similarity) FILTER (is_cross_modal), 6) AS mean_similarity FROM n GROUP BY content_type",
-    "context_window": _CONTEXT.format(BUDGET) + " SELECT query_id, context, included, total, truncated, ceil(length(context) / 4.0)::BIGINT AS estimated_tokens FROM g",
-    "prompt_build": _CONTEXT.format("(1000 - 300 - 150 - ceil(length(query) / 4.0))") + f""" SELECT query_id, '<|im_start|>system' || chr(10) || '{prompt.DEFAULT_SYSTEM}<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Answer based only on the context above:<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS instruct,
- 'The following documents contain information to answer the question.' || chr(10) || chr(10) || 'Documents:' || chr(10) || context || chr(10) || chr(10) || 'Based on the documents above, answer this question: ' || query || chr(10) || chr(10) || 'Answer:' AS causal_lm FROM g""",
+    "context_window": _context(str(BUDGET)) + " SELECT query_id, context, included, total, truncated, ceil(length(context) / 4.0)::BIGINT AS estimated_tokens FROM g",
+    "prompt_build": _context("(1000 - 300 - 150 - ceil(length(query) / 4.0))") + f" SELECT query_id, {instruct('context', 'query')} AS instruct, {_string(prompt.PROMPTS['causal-lm'][0])} || context || {_string(prompt.PROMPTS['causal-lm'][1])} || query || {_string(prompt.PROMPTS['causal-lm'][2])} AS causal_lm FROM g",
 }

@@ -27,17 +27,21 @@ def discover(spark: SparkSession, path: str, recursive: bool = True, mode: str =
     """(path, ext, length, modificationTime, content, reason): all files; reason says why one is skipped, null if it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     files = files.withColumn("ext", rules.extension(F.col("path")))
+    return files.select("path", "ext", "length", "modificationTime", "content", skip_reason(mode).alias("reason"))
+
+
+def skip_reason(mode: str = "text") -> Column:
+    """Why a file (columns ext, length, content) isn't read; null if it is."""
     image = F.col("ext").isin(*IMAGES)
     signed = F.lit(False)
     for ext, first in SIGNATURES.items():
         signed = signed | ((F.col("ext") == ext) & F.hex(F.substring("content", 1, 12)).rlike(first))
-    reason = (
+    return (
         F.when(~F.col("ext").isin(*TEXTS, *IMAGES), "unsupported extension")
         .when(image & F.lit(mode == "text"), "images need multimodal mode")
         .when(F.col("length") > F.when(image, MOST_IMAGE).otherwise(MOST_TEXT), "file too large")
         .when(image & (F.col("length") == 0), "empty file").when(image & ~signed, "not the image that its extension says")
     )
-    return files.select("path", "ext", "length", "modificationTime", "content", reason.alias("reason"))
 
 
 def _udf(function: Callable[[bytes], object], kind: str) -> Callable[[Column], Column]:

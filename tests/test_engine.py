@@ -25,7 +25,7 @@ def test_vectors(spark):
         spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<double>, b array<double>").select(vectors.dot(a, b)).collect()
 
 
-def test_knn(spark):
+def test_knn(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(500, 16))
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
@@ -37,6 +37,13 @@ def test_knn(spark):
     for r in knn.batch_top_k(rows, rows.where("vec_id % 100 = 0"), 7).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == want
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(knn, "ROW_BLOCK", 90)
+    blocks: dict = {}
+    for r in knn.batch_top_k(rows, rows.where("vec_id % 100 = 0"), 7).orderBy("rank").collect():
+        blocks.setdefault(r["query_id"], []).append(r["id"])
+    assert blocks == want and knn.batch_top_k(rows, rows.limit(0), 7).collect() == []
+    assert knn.signature_bits(500) == 4 and knn.signature_bits(1 << 30) == 24
     near = knn.approximate_top_k(rows, rows.where("vec_id % 100 = 0"), 16, 7).collect()
     assert np.mean([r["id"] in want[r["query_id"]] for r in near]) >= 0.9 and len(near) == 35
     assert len(knn.top_k(rows.limit(3), v[0].tolist(), 10).collect()) == 3
@@ -182,6 +189,28 @@ def test_files_ingest_search_and_stream(spark, tmp_path):
     again = spark.createDataFrame([(hit["source"], "New", "entirely new words", "text")], "source string, title string, content string, content_type string")
     base.ingest(again)
     assert base.table("documents").count() == 4 and base.search("spark joins", 1, "text").first()["score"] < hit["score"]
+    assert tuple(base.last_ingest().first()) == (1, 0, 1, 1, 0)
+    info = base.system_info().first()
+    assert (info["mode"], info["dim"], info["model"], info["chunk_size"]) == ("multimodal", 64, "word-hash-64", 250)
+    base.set_system_info(rerank="lexical")
+    reopened = ingest.KnowledgeBase(spark, f"file://{tmp_path}/kb")
+    assert reopened.config == base.config and reopened.system_info().first()["rerank"] == "lexical" and reopened.system_info().first()["dim"] == 64
+    near = base.search_vector(embedding.hash_embed(["bread and butter"])[0].tolist(), k=1).first()
+    assert near["title"] == "b" and near["rank"] == 1
+    with pytest.raises(ValueError, match="dimensions"):
+        base.search_vector([1.0, 2.0])
+    said, answer = base.answer("bread butter", lambda prompts: [f"So it is. {len(prompts)}<|im_end|>x" for _ in prompts], k=2, chunks=1)
+    got = answer.first()
+    assert said.count() == 2 and got["response"] == "So it is." and got["included"] == 1 and "bread and butter" in got["prompt"] and got["error"] is None
+    assert base.answer("bread", None)[1] is None
+
+    def broken(prompts):
+        raise RuntimeError("no model")
+
+    assert base.answer("bread", broken, k=2)[1].first()["error"] == "RuntimeError: no model"
+    before = sorted(map(str, base.table("chunks").collect()))
+    base.compact()
+    assert sorted(map(str, base.table("chunks").collect())) == before and base._live() == [3] and not (tmp_path / "kb" / "v1").exists()
     base.rebuild()
     assert base.table("vectors").count() == base.table("chunks").count()
     with pytest.raises(ValueError, match="rebuild"):
@@ -206,6 +235,16 @@ def test_embedding_errors_stay_with_their_rows(spark):
     assert got[0]["embedding"] and got[1]["embedding"] is None and "no" in got[1]["embedding_error"] and got[2]["embedding"] == [0.0] * 64
 
 
+def test_partial_updates_and_refused_inserts(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id int, p string, q string")
+    changes = spark.createDataFrame([(2, None, "y"), (3, "c", None)], "id int, p string, q string")
+    assert sorted(map(str, (tuple(r) for r in catalog.merge(rows, changes, "id").collect()))) == sorted(map(str, [(1, "a", None), (2, "b", "y"), (3, "c", None)]))
+    taken, refused = catalog.insert_new(rows, spark.createDataFrame([(2, "x", "x"), (4, "x", "x"), (5, "x", "x"), (5, "y", "y")], "id int, p string, q string"), "id")
+    assert [r["id"] for r in taken.collect()] == [4] and sorted(r["id"] for r in refused.collect()) == [2, 5, 5]
+    log = spark.createDataFrame([(1, "text", None), (2, None, 3), (3, "multimodal", None)], "seq int, mode string, top_k int")
+    assert tuple(catalog.settings(log, "seq").first()) == ("multimodal", 3) and catalog.settings(log.limit(0), "seq").collect() == []
+
+
 def test_registry(spark):
     from tesserae.operators import registry as r
 
