@@ -8,9 +8,9 @@ has a smaller determinant, and of all starts' ends the one with the smallest det
 that are farther from it than ``CUTOFF`` in squared Mahalanobis distance, on the bad side, are rejected.
 
 Starts are the medians and median absolute deviations, the mean and covariance of all, and two of five documents each that
-are drawn by a digest of their statistics. All starts of all groups take a step in the same two aggregations: a histogram
-of distances, counted before it is shuffled, finds the nearest part, and sums over it give means and covariances. No group
-is ever gathered, sorted or sampled. Estimates that a step didn't improve rest; steps end when all do (``STEPS`` at most).
+are drawn by a digest of their statistics. All starts of all groups take a step in the same aggregation: sums by cell of a
+histogram of distances, made before they are shuffled, give the nearest part's mean and covariance. No group is ever
+gathered, sorted or sampled. Estimates that a step didn't improve rest; steps end when all do (``STEPS`` at most).
 
 * Only what exceeds the group's mean in symbols, duplicate lines or repetition counts against a document; a
   word length may be off in either direction.
@@ -141,6 +141,24 @@ def _moments(rows: DataFrame, *by: str) -> DataFrame:
     return sums.withColumns(cov).drop(*[f"e{i}{j}" for i in P for j in range(i + 1)])
 
 
+def _core_moments(placed: DataFrame) -> DataFrame:
+    """Mean and covariance, by g and s, of the ``CORE`` of documents that are nearest to the estimate beside them.
+
+    One aggregation: sums by cell of a histogram of distances, of which the cells up to the core's edge are added up.
+    """
+    x = [F.col(f) for f in FEATURES]
+    pairs = [(i, j) for i in P for j in range(i + 1)]
+    cells = placed.withColumn("cell", _cell(_distance2(False))).groupBy("g", "s", "cell").agg(
+        F.count("*").alias("n"), *[F.sum(x[i]).alias(f"m{i}") for i in P], *[F.sum(x[i] * x[j]).alias(f"e{i}{j}") for i, j in pairs]
+    )
+    every = W.partitionBy("g", "s")
+    before = F.coalesce(F.sum("n").over(every.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = cells.withColumn("_before", before).withColumn("_all", F.sum("n").over(every)).where(F.col("_before") < F.col("_all") * CORE)
+    sums = inside.groupBy("g", "s").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in (*_MEANS, *[f"e{i}{j}" for i, j in pairs])])
+    means = sums.withColumns({c: F.col(c) / F.col("n") for c in _MEANS})
+    return means.withColumns({f"c{i}{j}": F.col(f"e{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in pairs}).drop("n", *[f"e{i}{j}" for i, j in pairs])
+
+
 def _drawn(rows: DataFrame) -> DataFrame:
     """Mean and covariance of the documents whose digests are least when read from one of several places, by g and start (from 2)."""
     turned = lambda k: F.substring(F.concat("_digest", "_digest"), 1 + 3 * k, 32)
@@ -216,23 +234,21 @@ def fit(stats: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
     rows = cut(_with(good, feeds, group, "inner").select("g", *FEATURES, "_digest"), "quality-rows")
     starts = _medians(rows).withColumn("s", F.lit(0)).unionByName(_moments(rows, "g").withColumn("s", F.lit(1))).unionByName(_drawn(rows))
     state = cut(_factor(starts).withColumn("log_det", F.lit(float("inf"))).withColumn("moves", F.lit(True)), "quality-start")
+    few = max(1, state.count() // 50_000)  # files of the state, a row per estimate and start
+    names = [*_MEANS, *_FACTORS, "log_det"]
     for _ in range(STEPS):
-        moving = state.where("moves").drop("moves")
+        moving = state.where("moves").select("g", "s", *_MEANS, *_FACTORS)
         if moving.isEmpty():
             break
-        placed = rows.join(moving, "g").withColumn("cell", _cell(_distance2(False)))
-        edge = cut(_rank_cell(placed.groupBy("g", "s", "cell").agg(F.count("*").alias("n")), ["g", "s"], CORE, "edge"), "quality-edge")
-        core = placed.drop(*_MEANS, *_FACTORS).join(edge, ["g", "s"]).where(F.col("cell") <= F.col("edge"))
-        found = _factor(_moments(core, "g", "s"))
-        names = [*_MEANS, *_FACTORS, "log_det"]
-        found = found.select("g", "s", F.struct(*names).alias("new"))
+        found = _factor(_core_moments(rows.join(moving, "g"))).select(F.col("g").alias("_g"), F.col("s").alias("_s"), F.struct(*names).alias("new"))
         falls = F.coalesce(F.col("new.log_det") < F.col("log_det") - FALL, F.lit(False))
-        old, state = state, state.join(found, ["g", "s"], "left")
-        state = cut(state.select("g", "s", *[F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in names], falls.alias("moves")), "quality-step")
-        free(old, edge)
+        old, after = state, state.join(found, (F.col("g") == F.col("_g")) & (F.col("s") == F.col("_s")), "left")
+        after = after.select("g", "s", *[F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in names], falls.alias("moves"))
+        state = cut(after.coalesce(few), "quality-step")
+        free(old)
     best = state.groupBy("g").agg(F.min(F.struct("log_det", "s", *_MEANS, *_FACTORS)).alias("b")).select("g", *[f"b.{c}" for c in (*_MEANS, *_FACTORS)])
     best = cut(best, "quality-best")
-    cells = rows.join(best, "g").groupBy("g", _cell(_distance2(False)).alias("cell")).agg(F.count("*").alias("n"))
+    cells = cut(rows.join(best, "g").groupBy("g", _cell(_distance2(False)).alias("cell")).agg(F.count("*").alias("n")), "quality-spread")
     middle = _rank_cell(cells, ["g"], 0.5, "middle").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("middle") / DISTANCE_CELLS) / MEDIAN))
     out = cut(judges.join(best, "g").join(middle.drop("middle"), "g").drop("g"), "quality-fit")
     free(rows, state, best)
