@@ -16,7 +16,8 @@ from pyspark.sql.window import Window as W
 #: A word is a maximal run of characters outside this class.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go as soon as a job is done, and the driver keeps no long descriptions of the plans of many small jobs.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "20000"}
 _made: dict[str, SparkSession] = {}
 
 
@@ -53,16 +54,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     The shuffle files of the job are deleted as soon as it is done, instead of when the driver collects its garbage.
     """
-    spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN, None)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
     try:
-        spark.conf.set(_CLEAN, "true")
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

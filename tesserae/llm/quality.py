@@ -148,7 +148,7 @@ def _core_moments(placed: DataFrame) -> DataFrame:
     """
     x = [F.col(f) for f in FEATURES]
     pairs = [(i, j) for i in P for j in range(i + 1)]
-    cells = placed.withColumn("cell", _cell(_distance2(False))).groupBy("g", "s", "cell").agg(
+    cells = _measured(placed).withColumn("cell", _cell(F.col("d2"))).groupBy("g", "s", "cell").agg(
         F.count("*").alias("n"), *[F.sum(x[i]).alias(f"m{i}") for i in P], *[F.sum(x[i] * x[j]).alias(f"e{i}{j}") for i, j in pairs]
     )
     every = W.partitionBy("g", "s")
@@ -180,19 +180,19 @@ def _factor(params: DataFrame) -> DataFrame:
     return params.withColumn("log_det", log_det).drop(*[f"c{i}{j}" for i in P for j in range(i + 1)])
 
 
-def _distance2(one_sided: bool) -> Column:
-    """Squared Mahalanobis distance to the estimate in columns m and l. One-sided: features 2 to 4 below the mean count as the mean."""
-    z: list[Column] = []
+def _measured(rows: DataFrame, one_sided: bool = False) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance to the estimate in columns m and l. One-sided: features 2 to 4 below the mean count as the mean.
+
+    Each coordinate is a column of its own, so that the plan stays small.
+    """
     for i, f in enumerate(FEATURES):
         d = F.col(f) - F.col(f"m{i}")
         d = F.greatest(d, F.lit(0.0)) if one_sided and i else d
         for k in range(i):
-            d = d - F.col(f"l{i}{k}") * z[k]
-        z.append(d / F.col(f"l{i}{i}"))
-    out = F.lit(0.0)
-    for x in z:
-        out = out + x * x
-    return out
+            d = d - F.col(f"l{i}{k}") * F.col(f"_z{k}")
+        rows = rows.withColumn(f"_z{i}", d / F.col(f"l{i}{i}"))
+    d2 = sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in P), F.lit(0.0))
+    return rows.withColumn("d2", d2).drop(*[f"_z{i}" for i in P])
 
 
 def _cell(d2: Column) -> Column:
@@ -248,7 +248,7 @@ def fit(stats: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
         free(old)
     best = state.groupBy("g").agg(F.min(F.struct("log_det", "s", *_MEANS, *_FACTORS)).alias("b")).select("g", *[f"b.{c}" for c in (*_MEANS, *_FACTORS)])
     best = cut(best, "quality-best")
-    cells = cut(rows.join(best, "g").groupBy("g", _cell(_distance2(False)).alias("cell")).agg(F.count("*").alias("n")), "quality-spread")
+    cells = cut(_measured(rows.join(best, "g")).groupBy("g", _cell(F.col("d2")).alias("cell")).agg(F.count("*").alias("n")), "quality-spread")
     middle = _rank_cell(cells, ["g"], 0.5, "middle").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("middle") / DISTANCE_CELLS) / MEDIAN))
     out = cut(judges.join(best, "g").join(middle.drop("middle"), "g").drop("g"), "quality-fit")
     free(rows, state, best)
@@ -263,11 +263,11 @@ def judge(docs: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
 
 
 def verdict(stats: DataFrame, params: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
-    out = _with(stats, params, group).withColumn("distance2", _distance2(True) / F.col("scale"))
+    out = _measured(_with(stats, params, group), one_sided=True).withColumn("distance2", F.col("d2") / F.col("scale"))
     # one sum, not a conjunction: parts of a conjunction would be pushed below the join and take the statistics once more
     badness = F.coalesce(F.col("distance2"), F.lit(0.0)) + F.when(F.col("base_failed"), F.lit(1e9)).otherwise(F.lit(0.0))
     out = out.withColumn("kept", badness <= CUTOFF)
-    return out.drop(*[c for c in params.columns if c not in group], *FEATURES, "_digest")
+    return out.drop(*[c for c in params.columns if c not in group], *FEATURES, "_digest", "d2")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
