@@ -5,6 +5,7 @@ import math
 import corpus_pipeline
 from tesserae.llm.common import cut
 from tests.llm import brute
+from tests.llm.test_operators import awkward
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +46,17 @@ def test_stages(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_awkward_rows(spark):
+    rows = [(r[0], r[1], r[2], r[3], None if r[1] is None else len(r[1])) for r in awkward()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {(r[0], r[1]) for r in rows}
+    names = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), SF).collect() == []
+        docs = cut(stage(spark, docs, SF), f"awkward{k}")
+        assert k == 4 or docs.columns == names
+        if k < 2:
+            assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= texts
+    assert docs.count() > 0
