@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Null, empty and very short texts fail the quality rules, so later stages meet none in ``run``; given them, near-dedup links them
+with each other, substring dedup keeps them, mixing leaves them out, and their encoding is empty. Long texts are worked on
+whole. Null languages and sources are groups of their own; rows without doc_id, or of one doc_id with other texts, are documents of
+their own; rows that repeat both are one document to near-dedup. An empty table gives an empty result.
 """
 
 from __future__ import annotations

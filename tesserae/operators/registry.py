@@ -15,6 +15,8 @@ from tesserae.operators.rerank import STRATEGIES
 
 
 class Category(enum.Enum):
+    """The categories of errors, by the names they are shown with."""
+
     CONFIGURATION = "Configuration"
     DATABASE = "Database"
     MODEL = "Model"
