@@ -9,8 +9,8 @@ that are farther from it than ``CUTOFF`` in squared Mahalanobis distance, on the
 
 Starts are the medians and median absolute deviations, the mean and covariance of all, and two of five documents each that
 are drawn by a digest of their statistics. All starts of all groups take a step in the same aggregation: sums by cell of a
-histogram of distances, made before they are shuffled, give the nearest part's mean and covariance. No group is ever
-gathered, sorted or sampled. Estimates that a step didn't improve rest; steps end when all do (``STEPS`` at most).
+histogram of distances, made before they are shuffled, give the nearest part's mean and covariance. Rows meet their estimates
+where they are (more than ``MOST_SENT`` estimates: in one of ``SALTS`` parts of their group), so no group is ever gathered, sorted or sampled. Estimates that a step didn't improve rest; steps end when all do (``STEPS`` at most).
 
 * Only what exceeds the group's mean in symbols, duplicate lines or repetition counts against a document; a
   word length may be off in either direction.
@@ -45,6 +45,8 @@ FEATURES = ("f1", "f2", "f3", "f4")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*BASE, "base_failed", "distance2", "kept")
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Estimates that are sent to every task at most (some 200 bytes each), and the parts that a group's rows are dealt to where there are more.
+MOST_SENT, SALTS = 50_000, 64
 #: Histogram cells per unit of a feature, and of log(1 + squared distance).
 CELLS, DISTANCE_CELLS = 256, 64
 
@@ -105,6 +107,13 @@ def _with(rows: DataFrame, params: DataFrame, group: tuple[str, ...], how: str =
     return rows.join(params, _same(group), how).drop(*[f"_{g}" for g in group])
 
 
+def _beside(rows: DataFrame, params: DataFrame, sent: bool) -> DataFrame:
+    """Rows with each estimate of their g. Never dealt by g alone: one group may hold most of the rows."""
+    if sent:
+        return rows.join(F.broadcast(params), "g")
+    return rows.join(params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "_salt"])
+
+
 def _rank_cell(cells: DataFrame, by: list[str], part: float, name: str) -> DataFrame:
     """The first cell of each histogram (columns ``by``, cell, n) below or in which ``part`` of its rows are."""
     up_to = W.partitionBy(*by).orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
@@ -231,24 +240,26 @@ def fit(stats: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
     """The estimate that judges each group, from rows with ``FEATURES``, ``_digest`` and ``base_failed``: its mean m, Cholesky factor l, and scale."""
     good = stats.where(~F.col("base_failed")).select(*group, *FEATURES, "_digest")
     judges, feeds = levels(good.groupBy(*group).agg(F.count("*").alias("n")), group)
-    rows = cut(_with(good, feeds, group, "inner").select("g", *FEATURES, "_digest"), "quality-rows")
+    most = feeds.count() * (2 + DRAWN)  # estimates and starts at most: each estimate is fed by a group or more
+    few, sent = max(1, most // 50_000), most <= MOST_SENT  # files of the state, a row per estimate and start
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt")
+    rows = cut(_with(good, feeds, group, "inner").select("g", *FEATURES, "_digest", salt), "quality-rows")
     starts = _medians(rows).withColumn("s", F.lit(0)).unionByName(_moments(rows, "g").withColumn("s", F.lit(1))).unionByName(_drawn(rows))
-    state = cut(_factor(starts).withColumn("log_det", F.lit(float("inf"))).withColumn("moves", F.lit(True)), "quality-start")
-    few = max(1, state.count() // 50_000)  # files of the state, a row per estimate and start
+    state = cut(_factor(starts).withColumn("log_det", F.lit(float("inf"))).withColumn("moves", F.lit(True)).repartition(few), "quality-start")
     names = [*_MEANS, *_FACTORS, "log_det"]
     for _ in range(STEPS):
         moving = state.where("moves").select("g", "s", *_MEANS, *_FACTORS)
         if moving.isEmpty():
             break
-        found = _factor(_core_moments(rows.join(moving, "g"))).select(F.col("g").alias("_g"), F.col("s").alias("_s"), F.struct(*names).alias("new"))
+        found = _factor(_core_moments(_beside(rows, moving, sent))).select(F.col("g").alias("_g"), F.col("s").alias("_s"), F.struct(*names).alias("new"))
         falls = F.coalesce(F.col("new.log_det") < F.col("log_det") - FALL, F.lit(False))
         old, after = state, state.join(found, (F.col("g") == F.col("_g")) & (F.col("s") == F.col("_s")), "left")
         after = after.select("g", "s", *[F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in names], falls.alias("moves"))
         state = cut(after.coalesce(few), "quality-step")
         free(old)
     best = state.groupBy("g").agg(F.min(F.struct("log_det", "s", *_MEANS, *_FACTORS)).alias("b")).select("g", *[f"b.{c}" for c in (*_MEANS, *_FACTORS)])
-    best = cut(best, "quality-best")
-    cells = cut(_measured(rows.join(best, "g")).groupBy("g", _cell(F.col("d2")).alias("cell")).agg(F.count("*").alias("n")), "quality-spread")
+    best = cut(best.repartition(few), "quality-best")
+    cells = cut(_measured(_beside(rows, best, sent)).groupBy("g", _cell(F.col("d2")).alias("cell")).agg(F.count("*").alias("n")), "quality-spread")
     middle = _rank_cell(cells, ["g"], 0.5, "middle").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("middle") / DISTANCE_CELLS) / MEDIAN))
     out = cut(judges.join(best, "g").join(middle.drop("middle"), "g").drop("g"), "quality-fit")
     free(rows, state, best)

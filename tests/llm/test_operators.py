@@ -482,6 +482,17 @@ def test_quality_estimates(spark):
     assert not got[505]["kept"] and [got[600 + i]["kept"] for i in range(5)] == [True] * 3 + [False] * 2
 
 
+def test_quality_estimates_too_many_to_send(spark, docs, monkeypatch):
+    stats = common.cut(quality.features(quality.statistics(docs)), "quality-test")
+    sent = {(r["lang"], r["source"]): r for r in quality.fit(stats).collect()}
+    monkeypatch.setattr(quality, "MOST_SENT", -1)
+    dealt = {(r["lang"], r["source"]): r for r in quality.fit(stats).collect()}
+    assert sent.keys() == dealt.keys() and sent
+    for k, r in sent.items():
+        names = [c for c in r.asDict() if c not in quality.GROUP]
+        assert np.allclose([r[c] for c in names], [dealt[k][c] for c in names], rtol=1e-9, atol=1e-12)
+
+
 def test_quality_of_one_document_and_of_a_long_one(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(1, sentence(rng, 500_000), "en", "a")], "doc_id long, text string, lang string, source string")
