@@ -138,6 +138,11 @@ def groups(fps: DataFrame, key: str = "doc_id") -> DataFrame:
     return fps.join(leasts(fps, F.col(key)), F.col("fp") == F.col("c")).select(key, "fp", F.col("least").alias("component_id"))
 
 
+def _name(key: Column, digest: Column) -> Column:
+    """A document's key and digest as one text that is never null, so that grouping and joining by it share a shuffle."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")), F.lit("/"), digest)
+
+
 def near_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The input with one document of each group, that of the smallest key (null only if all are null). Rows that repeat this key and text stay once.
 
@@ -147,9 +152,10 @@ def near_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     told = docs.select(F.col(key).alias("k"), digest.alias("d"), "text")
     fps = cut(fingerprints(told, "k", beside=("d",)), "simhash-fingerprints")
     first = leasts(fps, F.struct(F.col("k").isNull().alias("none"), "k", "d")).select("least.k", "least.d").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), digest.alias("digest"))
-    rows = rows.join(first, F.col("id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left_semi")
-    return rows.dropDuplicates(["id", "digest"]).select("row.*")
+    first = first.select(_name(F.col("k"), F.col("d")).alias("first"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _name(F.col(key), digest).alias("name"))
+    # repeated rows meet once, before the shuffle and after; the join has the same key, so texts are dealt out only once
+    return rows.dropDuplicates(["name"]).join(first, F.col("name") == F.col("first"), "left_semi").select("row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
