@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, embed_dedup, langid, mixing, quality, sharding, simhash, substring, token_count, warc
+from tesserae.llm import bpe, codes, curves, embed_dedup, fim, langid, mixing, quality, sharding, simhash, substring, token_count, warc
 
 QUERIES = {
     "op1_embedding_near_dedup": embed_dedup.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8,
     "op9_hash_tree_sharding": sharding.op9,
     "op10_token_counts": token_count.op10,
+    "op11_curve_neighbours": curves.op11,
+    "op12_vector_codes": codes.op12,
+    "op13_fill_in_middle": fim.op13,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op7_quality_outliers": quality.sql(),
     "op8_source_mixing": mixing.OP8_SQL,
     "op9_hash_tree_sharding": sharding.OP9_SQL,
+    "op12_vector_codes": codes.sql(),
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
