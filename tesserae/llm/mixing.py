@@ -10,9 +10,13 @@ a doubling: a weight only shifts it, so whatever the weights are, a range holds
 Sources are numbered over ranges of their order, and targets are found by sums over all sources, round by round: sources
 too may be many.
 
+A document draws by its id and its text's digest, which also settle the order of equal keys: the mix is the same whatever the order in
+which rows are read.
+
 Nulls and edge cases: a null text has size 0 and takes 0 words; a null source is a source of its own, last in
-order; documents without words have keys like others and never change a sum; repeated rows have equal keys and
-are interchangeable; an empty table gives an empty result. Other columns of the input pass through ``mix``
+order; documents without words have keys like others and never change a sum; rows without id, or of one id with other texts,
+draw keys of their own; rows that repeat id and text have equal keys and are interchangeable: how many of them are taken is settled, not
+which; an empty table gives an empty result. Other columns of the input pass through ``mix``
 unchanged; the names of ``ADDED`` are replaced where they clash in ``decide``.
 """
 
@@ -64,8 +68,9 @@ def decide(docs: DataFrame, key: str = "doc_id", seed: str = "mix-1", beside: tu
 
     Columns ``beside`` of the input are carried along.
     """
-    draw = -F.log(unit_draw(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))) / quality_weight(F.col("text"))
-    sized = cut(docs.select(key, "source", word_count(F.col("text")).alias("size"), draw.alias("draw"), *beside), "mix-sizes")
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+    draw = -F.log(unit_draw(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), digest)) / quality_weight(F.col("text"))
+    sized = cut(docs.select(key, "source", word_count(F.col("text")).alias("size"), draw.alias("draw"), digest.alias("_digest"), *beside), "mix-sizes")
     sized = sized.withColumn("range", F.floor(F.log2("draw") * RANGES).cast("int"))
 
     # tables by source are written, so their size decides whether joins send them to every task
@@ -85,7 +90,7 @@ def decide(docs: DataFrame, key: str = "doc_id", seed: str = "mix-1", beside: tu
     placed = sized.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     at_edge = F.coalesce(F.col("range") == F.col("edge"), F.lit(False))
     whole = placed.where(~at_edge).withColumn("extra", F.when(F.col("range") < F.col("edge"), 1).otherwise(0))
-    in_order = W.partitionBy("source").orderBy("draw", F.col(key).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    in_order = W.partitionBy("source").orderBy("draw", F.col(key).asc_nulls_first(), "_digest").rowsBetween(W.unboundedPreceding, -1)
     ahead_of_it = F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)) + F.col("size") / 2
     edge = placed.where(at_edge).withColumn("extra", F.when(ahead_of_it <= F.col("rest"), 1).otherwise(0))
     copies = (F.col("epochs") + F.col("extra")).cast("long")
@@ -124,7 +129,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = rf"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
-    -ln({UNIT_DRAW_SQL.format("'mix-1/' || coalesce(doc_id::VARCHAR, 'null')")})
+    coalesce(md5(text), 'null') AS digest, -ln({UNIT_DRAW_SQL.format("'mix-1/' || coalesce(doc_id::VARCHAR, 'null') || '/' || coalesce(md5(text), 'null')")})
       / (CASE WHEN length(coalesce(text, '')) > 0 THEN 0.1::DOUBLE + 0.9::DOUBLE * length(translate(text, '#*$%&|<>', '')) / length(text) ELSE 0.1::DOUBLE END) AS draw
   FROM documents),
 sources AS (
@@ -139,7 +144,7 @@ rounds AS (
 goal AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM rounds WHERE round = 24),
 ordered AS (
   SELECT s.*, g.source_size, g.target, g.epochs,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2 AS mid
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY draw, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2 AS mid
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, ((epochs + CASE WHEN mid <= target - epochs * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM ordered
 """
