@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, free
+from tesserae.llm.common import cut, free, mix64
 from tesserae.llm.components import components
 
 THRESHOLD, TILE, BLOCK, MOST_LEVELS = 0.95, 8192, 256, 12
@@ -137,7 +137,7 @@ def _met(boxes: list, threshold: float, tile: int):
         for batch in batches:
             r = np.array(batch.column("r").flatten()).reshape(batch.num_rows, -1)
             at = np.searchsorted(tiles, batch.column("tile").to_numpy())
-            mine = (tiles[at] << 24) + batch.column("c").to_numpy().view(np.uint64) % parts[at].astype(np.uint64)
+            mine = (tiles[at] << 24) + mix64(batch.column("c").to_numpy().view(np.uint64)) % parts[at].astype(np.uint64)
             mine = mine.astype(np.int64)
             for k in range(0, batch.num_rows, step):
                 gap2 = np.zeros((len(r[k : k + step]), len(tiles)))
@@ -299,20 +299,21 @@ def near_dedup(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     rows = vectors.select(F.col(key).alias("id"), F.col(column).alias("v"))
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = rows.withColumn("ok", F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
-    rows = cut(rows.withColumn("c", F.when(F.col("ok"), F.xxhash64("v"))), "vectors")
-    classes = rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("c").alias("c"))
-    classes = cut(classes, "vector-classes")
+    # rows find their classes by two hashes; classes are numbered, so that no two can be taken for one
+    rows = cut(rows.withColumns({f"h{k}": F.when(F.col("ok"), F.xxhash64(F.lit(k), "v")) for k in (1, 2)}), "vectors")
+    classes = rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()), "vector-classes")
     linked = classes.sparkSession.createDataFrame([], _LINKS)
     for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():  # a row per length
         linked = linked.unionByName(links(classes.where(F.size("v") == r["d"]), r["d"], r["n"], threshold, tile))
     counts = linked.where("NOT is_link").groupBy("c").agg(F.sum("links").alias("links"))
     edges = linked.where("is_link").select("c", "other")
     named = components(edges).join(classes.select(F.col("c").alias("node"), "first"), "node")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    least = cut(named.groupBy("root").agg(F.min("first").alias("least")), "vector-least")
     named = named.join(least, "root").select(F.col("node").alias("m"), "least")
-    known = classes.select("c", "n", "first").join(counts, "c", "left").join(named, F.col("c") == F.col("m"), "left")
-    known = cut(known.select(F.col("c").alias("k"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "vector-known")
-    out = rows.join(known, F.col("c") == F.col("k"), "left")
+    known = classes.select("c", "h1", "h2", "n", "first").join(counts, "c", "left").join(named, F.col("c") == F.col("m"), "left")
+    known = cut(known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "vector-known")
+    out = rows.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     component = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),

@@ -128,7 +128,7 @@ def leasts(fps: DataFrame, first: Column) -> DataFrame:
     classes = cut(fps.groupBy("fp").agg(F.min(first).alias("first")), "simhash-classes")
     linked = components(cut(near_pairs(classes.select("fp")), "simhash-pairs"))
     named = linked.join(classes.withColumnRenamed("fp", "node"), "node")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    least = cut(named.groupBy("root").agg(F.min("first").alias("least")), "simhash-least")
     linked = cut(linked.join(least, "root").select(F.col("node").alias("fp"), "least"), "simhash-linked")
     return classes.join(linked, "fp", "left").select(F.col("fp").alias("c"), F.coalesce("least", "first").alias("least"))
 

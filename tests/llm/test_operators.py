@@ -113,6 +113,14 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_a_hub_is_one_component_and_rounds_leave_one_table(spark):
+    before = set(common._made)
+    star = spark.range(1, 30_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = components.components(star.unionByName(spark.createDataFrame([(40_000, 40_001)], "a long, b long")))
+    assert {r["root"]: r["n"] for r in got.groupBy("root").agg(F.count("*").alias("n")).collect()} == {0: 30_001, 40_000: 2}
+    assert len(set(common._made) - before) == 1
+
+
 # 2
 
 
@@ -554,6 +562,17 @@ def test_mix_gives_what_was_decided_of_repeated_rows(spark):
     assert got == {k: n for k, n in want.items() if n}
 
 
+def test_reruns_agree_on_rows_without_id_and_shared_ids(spark):
+    rng = random.Random(11)
+    rows = [(None, sentence(rng, rng.randint(1, 40)), "a") for _ in range(500)] + [(7, sentence(rng, rng.randint(1, 40)), "b") for _ in range(500)]
+    rows += [(1000 + i, sentence(rng, rng.randint(1, 9)), "c") for i in range(20)]
+    one = mixing.decide(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), beside=("text",)).collect()
+    rng.shuffle(rows)
+    two = mixing.decide(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), beside=("text",)).collect()
+    taken = lambda of: sorted((str(r["doc_id"]), r["text"], r["taken"]) for r in of)
+    assert taken(one) == taken(two) and len({r["draw"] for r in one}) == len(rows)
+
+
 def test_key_ranges_stay_small_whatever_the_weights(spark):
     ids = spark.range(200_000)
     texts = ids.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, "##### x").when(F.col("id") % 8 > 0, "").otherwise("plain words").alias("text"))
