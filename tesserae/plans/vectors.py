@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as fn
-from tesserae.operators import knn
+from tesserae.operators import ann, knn
 
 V = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 0)"
 
@@ -61,6 +61,21 @@ def knn_lsh(spark, sf_dir: str) -> DataFrame:
     return knn.approximate_top_k(rows, rows.where("vec_id % 100 = 0"), len(first(rows)), 10)
 
 
+def ann_search(spark, sf_dir: str) -> DataFrame:
+    """The exact join through the index: each query goes to its own cell and then to those that its bound leaves."""
+    rows = table(spark, sf_dir)
+    return ann.join(rows, rows.where("vec_id % 100 = 0"), ann.Quantiser.fit(rows))[0]
+
+
+def ann_recall(spark, sf_dir: str) -> DataFrame:
+    """Whether probing as many cells as the index was measured to need finds nine tenths of the true neighbours."""
+    rows = table(spark, sf_dir)
+    asked, quantiser = rows.where("vec_id % 100 = 0"), ann.Quantiser.fit(rows)
+    found = ann.batch(rows, asked, quantiser).select("query_id", "id", F.lit(1).alias("hit"))
+    true = ann.join(rows, asked, quantiser)[0].join(found, ["query_id", "id"], "left")
+    return true.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 def groups(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least_dim"), F.max(F.size("embedding")).alias("most_dim"))
 
@@ -74,7 +89,7 @@ def compatible(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     "vec_cosine": _against_first(fn.cosine), "vec_euclidean": _against_first(fn.euclidean), "vec_dot": _against_first(fn.dot), "vec_magnitude": magnitudes,
     "vec_normalize": normalized, "vec_validate": validated, "knn_single": knn_single, "knn_filtered": knn_filtered, "knn_batch": knn_batch,
-    "knn_lsh": knn_lsh, "vec_group_partition": groups, "vec_dimension_check": compatible,
+    "knn_lsh": knn_lsh, "ann_search": ann_search, "ann_recall": ann_recall, "vec_group_partition": groups, "vec_dimension_check": compatible,
 }
 _TOP = "SELECT vec_id, score, round(1 - score, 6) AS distance, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10"
 ORACLE_SQL = {
@@ -87,6 +102,8 @@ ORACLE_SQL = {
     "knn_single": f"{V}, s AS (SELECT vec_id, round(list_cosine_similarity(e, q), 6) AS score FROM v, q) {_TOP}",
     "knn_filtered": f"{V}, s AS (SELECT vec_id, round(list_cosine_similarity(e, q), 6) AS score FROM v, q WHERE label = 3) {_TOP}",
     "knn_batch": f"{V}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10",
+    "ann_recall": "SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 100 = 0",
     "vec_group_partition": "SELECT label, count(*) AS n, min(len(embedding))::INT AS least_dim, max(len(embedding))::INT AS most_dim FROM embeddings GROUP BY label",
     "vec_dimension_check": "SELECT vec_id, (len(embedding) - vec_id % 3)::INT AS dim FROM embeddings WHERE len(embedding) - vec_id % 3 <> 64",
 }
+ORACLE_SQL["ann_search"] = ORACLE_SQL["knn_batch"]
