@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import markup, text, vectors
-from tesserae.operators import catalog, chunking, embedding, prompt
+from tesserae.operators import ann, catalog, chunking, embedding, prompt
 from tesserae.operators.registry import Category, EngineError
+from tesserae.operators.tables import KEPT, Commit, LogTables
 from tesserae.sources import files
 
 Chunker = Callable[[DataFrame, "Config"], DataFrame]
@@ -41,12 +43,28 @@ def standard_chunks(docs: DataFrame, config: Config) -> DataFrame:
 def prepared(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(source, title, content, content_type) documents that the mode takes, preprocessed, with their ids; and the others, with reasons."""
     fit, unfit = files.in_mode(docs, config.mode)
-    ids = fit.withColumn("document_id", F.xxhash64("source"))
+    ids = fit.withColumn("document_id", F.substring(F.sha2(F.col("source").cast("binary"), 256), 1, 32))
     kind = text.language(F.col("content"), F.col("source"))
     clean = F.when(F.col("content_type") == "image", F.col("content")).otherwise(markup.preprocess(F.col("content"), kind, config.preprocessing))
     return ids.withColumn("content", clean), unfit.select("source", "reason")
 
 
+def last_of_each(ready: DataFrame, order: str | None = None) -> DataFrame:
+    """(document_id, d, n): of documents of one id the last, by ``order`` if there is one, then by title and content; and how many there are.
+
+    The document is carried through the aggregation, which is begun before the shuffle: an id with very many documents is no load.
+    """
+    kept = [c for c in ready.columns if c != order]
+    last = F.max_by(F.struct(*kept), F.struct(*([order] if order else []), "title", "content"))
+    return ready.groupBy("document_id").agg(last.alias("d"), F.count("*").alias("n"))
+
+
+def superseded(lasts: DataFrame) -> DataFrame:
+    """(source, reason): a row for each document that isn't its source's last."""
+    more = lasts.where("n > 1").select("d.source", F.lit("a later document of this source is taken").alias("reason"), F.explode(F.expr("sequence(2, n)")).alias("k"))
+    return more.drop("k")
+
+
 def chunked(clean: DataFrame, config: Config, chunker: Chunker = standard_chunks) -> DataFrame:
     """(embedding_id, document_id, source, chunk_index, content, content_type, token_count). An id tells its content type where that isn't text."""
     parts = chunker(clean, config).join(clean.select("document_id", "source", "content_type"), "document_id")
@@ -81,82 +99,100 @@ SYSTEM = "mode string, model string, dim int, preprocessing string, chunk_size i
 
 
 class KnowledgeBase:
-    """Parquet tables documents, chunks and vectors under a path. Taking a source in again replaces its rows.
+    """Tables documents, chunks and vectors under a path. Taking a source in again replaces its rows.
 
-    A write adds a folder per table and then names its version in ``log``, so readers never see half of one, and what was written
-    stays as it is. A document's rows are those of its newest version; ``compact`` writes these alone and deletes the others.
+    The tables are those of ``tables``: writers commit without overwriting each other, readers see whole commits, small commits
+    are merged, and a table is one scan. A document's rows are those of its newest commit. ``build_index`` deals vectors to
+    cells, and later commits follow it; a search then reads the cells that it probes.
     Settings are stored too: a base that is opened without any has those it was last written with.
     """
 
     NAMES = ("documents", "chunks", "vectors")
+    PARTITIONS = {"vectors": ["content_type", "cell"]}
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self.tables = LogTables(spark, path, self.PARTITIONS)
         self.config = config or self._stored() or Config()
 
     # versions
 
-    def _hadoop(self, path: str) -> tuple[object, object]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
     def _exists(self, path: str) -> bool:
-        store, where = self._hadoop(path)
+        store, where = self.tables._at(path)
         return store.exists(where)
 
-    def _log(self) -> list[tuple[int, bool]]:
-        """(version, whether it stands for all before it), in order. A row per write since the log was begun."""
-        rows = self.spark.read.text(f"{self.path}/log").collect() if self._exists(f"{self.path}/log") else []
-        return sorted((int(v), whole == "whole") for v, whole in (r[0].split() for r in rows))
-
     def _live(self) -> list[int]:
-        log = self._log()
-        base = max((v for v, whole in log if whole), default=0)
-        return [v for v, _ in log if v >= base]
-
-    def _commit(self, version: int, whole: bool) -> None:
-        self.spark.createDataFrame([(f"{version} {'whole' if whole else 'more'}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/log")
-
-    def _put(self, version: int, name: str, rows: DataFrame) -> DataFrame:
-        writer = rows.write.mode("overwrite")
-        where = f"{self.path}/v{version}/{name}"
-        (writer.partitionBy("content_type") if name == "vectors" else writer).parquet(where)
-        return self.spark.read.schema(rows.schema).parquet(where)
-
-    def _rows(self, name: str, versions: list[int]) -> DataFrame:
-        out = None
-        for v in versions:
-            part = self.spark.read.parquet(f"{self.path}/v{v}/{name}").withColumn("version", F.lit(v))
-            out = part if out is None else out.unionByName(part)
-        return out
+        return [c.version for c in self.tables.live()]
+
+    def _current(self, name: str, commits: list[Commit]) -> DataFrame:
+        """The rows that some commits leave, those of documents that came again in a newer one left out."""
+        return self._newest(self.tables.scan(name, commits), commits)
+
+    def _newest(self, rows: DataFrame, commits: list[Commit]) -> DataFrame:
+        if len(commits) > 1:  # ids that came again are few or many, Spark sees from the aggregate
+            newest = self.tables.scan("documents", commits).groupBy("document_id").agg(F.max("at").alias("newest"), F.count("*").alias("n")).where("n > 1")
+            rows = rows.join(newest.select("document_id", "newest"), "document_id", "left").where("newest IS NULL OR at = newest").drop("newest")
+        return rows.drop("at", "commit")
 
     def table(self, name: str) -> DataFrame | None:
         """The rows of documents' newest versions; null if nothing was written yet."""
-        live = self._live()
+        live = self.tables.live()
         if not live:
             return None
-        rows = self._rows(name, live)
-        if len(live) > 1:  # rows of older versions go; ids that came again are few or many, Spark sees from the aggregate
-            newest = self._rows("documents", live).groupBy("document_id").agg(F.max("version").alias("newest"), F.count("*").alias("n")).where("n > 1")
-            rows = rows.join(newest.select("document_id", "newest"), "document_id", "left").where("newest IS NULL OR version = newest").drop("newest")
-        rows = rows.where("embedding IS NOT NULL") if name == "vectors" else rows
-        return rows.drop("version")
+        rows = self._current(name, live)
+        return rows.where("embedding IS NOT NULL").drop("cell") if name == "vectors" else rows
 
     def compact(self) -> None:
         """One version of all that is current; the others are deleted."""
-        old = self._live()
-        if len(old) > 1:
-            self._whole({name: self.table(name) for name in self.NAMES})
-
-    def _whole(self, rows: dict[str, DataFrame]) -> None:
-        old = self._log()
-        version = max((v for v, _ in old), default=0) + 1
-        for name, df in rows.items():
-            self._put(version, name, df)
-        self._commit(version, True)
-        for v, _ in old:
-            store, where = self._hadoop(f"{self.path}/v{v}")
-            store.delete(where, True)
+        live = self.tables.live()
+        if len(live) > 1:
+            index = {c.index for c in live}
+            self._whole({name: self._current(name, live) for name in self.NAMES}, index.pop() if len(index) == 1 else None, live)
+
+    def vacuum(self, seconds: float = KEPT) -> int:
+        return self.tables.vacuum(seconds)
+
+    def _whole(self, rows: dict[str, DataFrame], index: str | None = None, live: list[Commit] | None = None) -> None:
+        live = self.tables.live() if live is None else live
+        if "cell" not in rows["vectors"].columns:
+            rows = rows | {"vectors": rows["vectors"].withColumn("cell", F.lit(None).cast("int"))}
+        self.tables.replace(live, rows.get, "whole", max((c.level for c in live), default=0) + 1, index, list(rows))
+        self.tables.vacuum(0)
+
+    # the index
+
+    def build_index(self, cells: int | None = None) -> ann.Quantiser:
+        """Fits cells to the vectors and deals them out; vectors that are taken in later go to these cells too, until the index is built again."""
+        live = self.tables.live()
+        vectors_ = self._current("vectors", live).drop("cell") if live else None
+        if vectors_ is None or not catalog.has_rows(vectors_.where("embedding IS NOT NULL")):
+            raise EngineError("no vectors to build an index of", Category.INDEX)
+        quantiser = ann.Quantiser.fit(vectors_, cells=cells)
+        name = f"q{uuid.uuid4().hex}"
+        self.tables._create(f"{self.path}/index/{name}.json", quantiser.dumps())
+        rows = {n: self._current(n, live) for n in ("documents", "chunks")} | {"vectors": ann.with_cells(vectors_, quantiser)}
+        self._whole(rows, name, live)
+        return quantiser
+
+    def index(self, commits: list[Commit] | None = None) -> tuple[str, ann.Quantiser] | None:
+        """The newest index of the live commits, by name."""
+        names = [c.index for c in (self.tables.live() if commits is None else commits) if c.index]
+        if not names:
+            return None
+        return names[-1], ann.Quantiser.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/index/{names[-1]}.json").collect()))
+
+    def probed(self, vector: list[float], content_type: str | None = None, recall: float = 0.95) -> DataFrame:
+        """The vectors that an approximate search for one reads: the probed cells, and all of commits that know other cells or none."""
+        live = self.tables.live()
+        found = self.index(live)
+        if found is None:
+            raise EngineError("there is no index: build_index first", Category.INDEX)
+        name, quantiser = found
+        celled = [c.folder for c in live if c.index == name]
+        cells = quantiser.cells_of(vector, quantiser.probes(recall))
+        rows = self.tables.scan("vectors", live).where(F.col("cell").isNull() | F.col("cell").isin(cells) | ~F.col("commit").isin(celled)).where("embedding IS NOT NULL")
+        rows = rows.where(F.col("content_type") == content_type) if content_type in catalog.CONTENT_TYPES else rows
+        return self._newest(rows, live).drop("cell")
 
     # settings
 
@@ -210,28 +246,46 @@ class KnowledgeBase:
 
     # writing
 
-    def ingest(self, docs: DataFrame, embed: embedding.Embed = embedding.hash_embed, chunker: Chunker = standard_chunks, images: embedding.Embed | None = None) -> DataFrame:
+    def ingest(
+        self, docs: DataFrame, embed: embedding.Embed = embedding.hash_embed, chunker: Chunker = standard_chunks, images: embedding.Embed | None = None,
+        order: str | None = None, batch: tuple[str, int] | None = None,
+    ) -> DataFrame:
         """Adds documents; returns the skipped ones and the chunks without vectors, with reasons.
 
-        Documents are read and preprocessed once, chunked once and embedded once: each step reads what the one before wrote.
+        Documents are read and preprocessed once, chunked once and embedded once: each step reads what the one before wrote. Of documents
+        of one source the last is taken, by column ``order`` if there is one, then by title and content; the others are skipped.
+        ``batch``: a stream and the number of its batch; one that was taken in before is left alone.
         """
         self.check_model()
-        version = max((v for v, _ in self._log()), default=0) + 1
-        clean, unfit = prepared(docs, self.config)
-        unfit = self._put(version, "skipped", unfit)
-        clean = self._put(version, "contents", clean.dropDuplicates(["document_id"]))
-        self._put(version, "documents", clean.select("document_id", "source", "title", "content_type"))
-        parts = self._put(version, "chunks", chunked(clean, self.config, chunker))
-        made = self._put(version, "vectors", embedded(parts, embed, images))
-        self._commit(version, False)
+        none = self.spark.createDataFrame([], "source string, reason string")
+        if self.tables.done(batch):
+            return none
+        found, folder = self.index(), self.tables.folder()
+        ready, unfit = prepared(docs, self.config)
+        ready = self.tables.put(folder, "sources", last_of_each(ready, order))
+        unfit = self.tables.put(folder, "skipped", unfit.unionByName(superseded(ready)))
+        clean = ready.select("d.*")
+        put = {"skipped": unfit, "documents": self.tables.put(folder, "documents", clean.select("document_id", "source", "title", "content_type"))}
+        put["chunks"] = parts = self.tables.put(folder, "chunks", chunked(clean, self.config, chunker))
+        made = embedded(parts, embed, images)
+        made = ann.with_cells(made, found[1]) if found else made.withColumn("cell", F.lit(None).cast("int"))
+        put["vectors"] = made = self.tables.put(folder, "vectors", made)
+        entry = self.tables.commit(folder, {name: df.schema for name, df in put.items()}, batch=batch, index=found[0] if found else None)
+        self.tables.drop(folder, {"sources": None})
+        if entry is None:
+            return none
         first = made.where("embedding IS NOT NULL").select(F.size("embedding").alias("d")).first()
         self._remember(first["d"] if first else None)
+        if self.tables.merge(self._current, self.NAMES):
+            self.tables.vacuum()
         return unfit.unionByName(made.where("reason IS NOT NULL").select("source", "reason"))
 
     def last_ingest(self) -> DataFrame:
-        """The summary row of the last write."""
-        v = self._live()[-1]
-        one = lambda name: self.spark.read.parquet(f"{self.path}/v{v}/{name}")
+        """The summary row of the last ingest; its rows must be there still."""
+        added = [c for c in self.tables.log() if c.kind == "add"]
+        if not added:
+            raise EngineError("nothing was taken in, or what was has been compacted", Category.DATABASE)
+        one = lambda name: self.tables.scan(name, added[-1:])
         return summary(one("documents"), one("chunks"), one("vectors"), one("skipped"))
 
     def rebuild(self, embed: embedding.Embed = embedding.hash_embed, images: embedding.Embed | None = None) -> None:
@@ -252,12 +306,19 @@ class KnowledgeBase:
 
     # reading
 
-    def search(self, query: str, k: int | None = None, content_type: str | None = None, rerank: str = "disabled", embed: embedding.Embed = embedding.hash_embed) -> DataFrame:
+    def search(
+        self, query: str, k: int | None = None, content_type: str | None = None, rerank: str = "disabled", embed: embedding.Embed = embedding.hash_embed, approximate: bool = False
+    ) -> DataFrame:
         """The nearest chunks and their documents; none for a blank query."""
-        return self.search_vector(embed([query])[0].tolist() if query.strip() else None, query, k, content_type, rerank)
+        return self.search_vector(embed([query])[0].tolist() if query.strip() else None, query, k, content_type, rerank, approximate)
 
-    def search_vector(self, vector: list[float] | None, query: str = "", k: int | None = None, content_type: str | None = None, rerank: str = "disabled") -> DataFrame:
-        """The chunks nearest to a vector at hand, and their documents. The type filter prunes partitions before the search; vectors are searched without texts."""
+    def search_vector(
+        self, vector: list[float] | None, query: str = "", k: int | None = None, content_type: str | None = None, rerank: str = "disabled", approximate: bool = False, recall: float = 0.95
+    ) -> DataFrame:
+        """The chunks nearest to a vector at hand, and their documents. The type filter prunes partitions before the search; vectors are searched without texts.
+
+        ``approximate`` reads only the index's cells that hold ``recall`` of neighbours, as measured on a sample when it was built.
+        """
         from tesserae.operators import knn, rerank as reranking
 
         rows = self.table("vectors")
@@ -265,6 +326,7 @@ class KnowledgeBase:
             return self.spark.createDataFrame([], "query_id int, query string, id string, score double, content string, title string, source string, content_type string, rank int, rounded_score double")
         self.check_model(len(vector))
         rows = rows.where(F.col("content_type") == content_type) if content_type in catalog.CONTENT_TYPES else rows
+        rows = self.probed(vector, content_type, recall) if approximate else rows
         best = knn.top_k(rows, vector, k or self.config.top_k, "embedding_id").drop("rank", "distance")
         found = best.join(self.table("chunks").select("embedding_id", "document_id", "content"), "embedding_id").join(self.table("documents"), "document_id")
         found = found.select(

@@ -161,6 +161,15 @@ def ingest_summary(spark, sf_dir: str) -> DataFrame:
     return ingest.summary(clean, parts, ingest.embedded(parts), unfit)
 
 
+def ingest_duplicates(spark, sf_dir: str) -> DataFrame:
+    """``documents`` by their source, as if each were a version of one file: the last of each is taken, the others are reported."""
+    docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"), F.lit("text").alias("content_type"), F.col("doc_id").alias("seq"))
+    ready, _ = ingest.prepared(docs, ingest.Config(preprocessing="balanced"))
+    lasts = ingest.last_of_each(ready, "seq")
+    gone = ingest.superseded(lasts).groupBy("source").agg(F.count("*").alias("superseded"))
+    return lasts.select("d.source", F.col("d.title").cast("long").alias("doc_id")).join(gone, "source", "left").select("source", "doc_id", F.coalesce("superseded", F.lit(0).cast("long")).alias("superseded"))
+
+
 def ingest_chunks(spark, sf_dir: str) -> DataFrame:
     config = ingest.Config(mode="multimodal", preprocessing="rich")
     parts = ingest.chunked(ingest.prepared(_library(spark, sf_dir), config)[0], config, _by_lines)
@@ -241,7 +250,7 @@ QUERIES = {
     for f in (
         system_info_upsert, catalog_merge, content_by_hash, content_by_storage, content_by_id, content_insert, content_refused, known_ids, store_repair,
         missing_files, size_readable, operation_metrics, storage_paths, discover_reasons, image_documents, text_documents, mode_filter, embedding_kinds,
-        fence_aliases, ingest_summary, ingest_chunks, embed_failures, word_chunks, paragraph_chunks, search_with_vector, rerank_fallback,
+        fence_aliases, ingest_summary, ingest_duplicates, ingest_chunks, embed_failures, word_chunks, paragraph_chunks, search_with_vector, rerank_fallback,
         cross_modal_presets, cross_modal_semantic, answer_generate, prompt_attributed,
     )
 }
@@ -283,6 +292,7 @@ ORACLE_SQL = {
     "embedding_kinds": "SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 3) THEN 'image' ELSE 'text' END AS kind FROM documents",
     "fence_aliases": f"SELECT doc_id, {_pick('doc_id', [text.FENCE_ALIASES.get(x, x.strip()) for x in _NAMES])} AS name FROM documents",
     "ingest_summary": f"{_LIB}, c AS (SELECT unnest(l) AS x FROM l WHERE lang <> 'es') SELECT (SELECT count(*) FROM l WHERE lang <> 'es') AS documents, (SELECT count(*) FROM l WHERE lang = 'es') AS skipped, count(*) AS chunks, count(*) - count(*) FILTER (e) AS embeddings, count(*) FILTER (e) AS errors FROM (SELECT ({{}}) AS e FROM c)",
+    "ingest_duplicates": "SELECT source, max(doc_id) AS doc_id, count(*) - 1 AS superseded FROM documents GROUP BY source",
     "ingest_chunks": f"{_LIB}, c AS (SELECT doc_id, lang, l, unnest(range(1, len(l) + 1)) AS i FROM l) SELECT 'd/' || doc_id || '.txt' AS source, (i - 1)::INT AS chunk_index, l[i] AS content, CASE WHEN lang = 'es' THEN 'image' ELSE 'text' END AS content_type, lang = 'es' AS of_image, len(list_filter(regexp_split_to_array(l[i], '\\s+'), lambda w: w <> ''))::INT AS token_count FROM c",
     "embed_failures": "SELECT doc_id, length(text) > 2000 AS failed, CASE WHEN length(text) > 2000 THEN 'ValueError: too long' END AS error FROM documents",
     "word_chunks": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[.!?\s]+'), lambda x: x <> '') AS w FROM documents),

@@ -16,12 +16,12 @@ def new_files(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFram
 
 
 def ingest_stream(base: KnowledgeBase, path: str, checkpoint: str, per_batch: int = 1000) -> StreamingQuery:
-    """Takes in what is new under ``path`` and ends when all of it is done. A batch that is repeated after a failure replaces its own rows."""
+    """Takes in what is new under ``path`` and ends when all of it is done. A batch that comes again after its commit is not written twice."""
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         rows = files.from_memory(batch.select(F.col("path").alias("display_name"), "content"))
         docs = files.documents(rows.where(F.col("ext").isin(*files.TEXTS)))
-        base.ingest(docs.where("error IS NULL").drop("error"))
+        base.ingest(docs.where("error IS NULL").drop("error"), batch=(checkpoint, number))
 
     stream = new_files(base.spark, path, per_batch)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
