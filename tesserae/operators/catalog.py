@@ -100,32 +100,43 @@ def modality_counts(rows: DataFrame, kind: str = "content_type") -> DataFrame:
     )
 
 
-def _place(edges: list, x: Column) -> Column:
-    """How many of the sorted edges are x or less, by halving."""
-    steps = [F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))]
-    sorted_edges = F.array(*[F.lit(e) for e in edges])
-    reached = lambda at, step: (at + step <= len(edges)) & (F.get(sorted_edges, at + step - 1) <= x)
+def _place(edges: Column, n: int, x: Column) -> Column:
+    """How many of the n sorted edges are x or less, by halving."""
+    steps = [F.lit(1 << k) for k in reversed(range(n.bit_length()))]
+    sorted_edges = edges
+    reached = lambda at, step: (at + step <= n) & (F.get(sorted_edges, at + step - 1) <= x)
     return F.aggregate(F.array(*steps), F.lit(0), lambda at, step: at + F.when(F.coalesce(reached(at, step), F.lit(False)), step).otherwise(0))
 
 
 def running(rows: DataFrame, size: str, by: list[str], order: list[str], ranges: int = 1024) -> DataFrame:
     """The input with ``before``: the sum of ``size`` over rows earlier in ``order``, within ``by``.
 
-    Without a group all rows would be summed in one task; they are cut into ranges of the first order column, the ranges are summed,
-    and rows are only ordered within theirs.
+    Rows that are equal in ``order`` come in the order of a hash of all their columns, so the result doesn't depend on how they are read.
+
+    One task per group (or one for all) would have to order a large one. Instead rows are cut into ranges of the full order, group and hash
+    included, by edges from a bounded sample; ranges are summed, and rows are only ordered within theirs, however many share a value.
     """
-    if by:
-        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return rows.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    edges = rows.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 0.001)
-    edges = sorted(set(edges))
-    cut = F.lit(0) if not edges else _place(edges, F.col(order[0]))
-    placed = rows.withColumn("_r", cut)
-    sums = placed.groupBy("_r").agg(F.sum(size).alias("_n"))
-    sums = sums.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    w = W.partitionBy("_r").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    whole = F.xxhash64(*[F.to_json(c) if t.startswith("map") else F.col(c) for c, t in rows.dtypes])
+    full = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate([*by, *order])], whole.alias("tie"))
+    keyed = rows.withColumn("_o", full)
+    n = rows.count()
+    wanted = 32 * ranges
+    some = keyed.where(F.pmod(F.xxhash64("_o"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, wanted / max(n, 1))))).limit(2 * wanted).select("_o")
+    each = F.greatest(F.lit(1), F.floor(F.size("s") / ranges)).cast("int")
+    edges = some.agg(F.array_sort(F.collect_list("_o")).alias("s"))  # at most 2 * wanted short rows
+    edges = edges.select(F.filter("s", lambda _, i: (i > 0) & (i % each == 0)).alias("_edges"))
+    # one row, whose edges go to every task; at most about 2 * ranges of them
+    placed = keyed.join(F.broadcast(edges)).withColumn("_r", _place(F.col("_edges"), 2 * ranges, F.col("_o"))).drop("_edges")
+    group = F.struct(*[F.col(c).alias(f"g{k}") for k, c in enumerate(by)], F.lit(0).alias("all"))
+    placed = placed.withColumn("_g", group)
+    # a range may have rows of several groups: their sums are kept apart
+    sums = placed.groupBy("_g", "_r").agg(F.sum(size).alias("_n")).select(F.col("_g").alias("_h"), F.col("_r").alias("_s"), "_n")
+    ahead = W.partitionBy("_h").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    w = W.partitionBy("_r", "_g").orderBy("_o").rowsBetween(W.unboundedPreceding, -1)
     inside = placed.withColumn("_i", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    return inside.join(sums, "_r").withColumn("before", F.col("_b") + F.col("_i")).drop("_r", "_b", "_i")
+    out = inside.join(sums, (F.col("_r") == F.col("_s")) & F.col("_g").eqNullSafe(F.col("_h")))
+    return out.withColumn("before", F.col("_b") + F.col("_i")).select(*rows.columns, "before")
 
 
 def settings(changes: DataFrame, order: str) -> DataFrame:
@@ -143,11 +154,17 @@ def merge(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def insert_new(existing: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``new`` whose key is unique and not there yet; and the others, which an insert refuses."""
-    counts = new.groupBy(key).agg(F.count("*").alias("_n"))
-    told = new.join(counts, key).join(existing.select(key).distinct().withColumn("_there", F.lit(True)), key, "left")
-    refused = F.col("_there").isNotNull() | (F.col("_n") > 1)
-    return told.where(~refused).select(*new.columns), told.where(refused).select(*new.columns)
+    """The rows of ``new`` whose key is unique and not there yet; and the others, which an insert refuses. Rows without key are in neither.
+
+    A key's only row is carried along with its count, so nothing is joined back to find it. The refused are those whose keys were not
+    taken; that join has the key's hash beside it, so that both sides are dealt out anew and adaptive execution can split a key with very many rows.
+    """
+    alone = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*new.columns)).alias("_row")).where("_n = 1").select("_row.*")
+    taken = alone.join(existing.select(key), key, "left_anti").select(*new.columns)
+    keys = taken.select(F.col(key).alias("_k"), F.xxhash64(key).alias("_h"))
+    told = new.where(F.col(key).isNotNull()).withColumn("_g", F.xxhash64(key))
+    refused = told.join(keys, (F.col("_g") == F.col("_h")) & (F.col(key) == F.col("_k")), "left_anti").select(*new.columns)
+    return taken, refused
 
 
 def contents(rows: DataFrame, ids: DataFrame | None = None, content_hash: str | None = None, storage: str | None = None) -> DataFrame:

@@ -16,10 +16,16 @@ def content_id(content: Column) -> Column:
 
 
 def identify(rows: DataFrame, content: str, key: str) -> DataFrame:
-    """(key, content_id, size, was_deduped): the first row of each content by key is stored, the others find it there."""
+    """(key, content_id, size, was_deduped): the first row of each content by key is stored, the others find it there.
+
+    Rows look for themselves among the first ones, by key: a content that very many rows have is a load on no task, since only
+    its least key is ever brought together, and that is aggregated before the shuffle.
+    """
     each = rows.select(key, content_id(F.col(content)).alias("content_id"), F.octet_length(F.col(content)).cast("long").alias("size"))
-    first = each.groupBy("content_id").agg(F.min(key).alias("_first"))
-    return each.join(first, "content_id").select(key, "content_id", "size", (F.col(key) != F.col("_first")).alias("was_deduped"))
+    first = each.groupBy("content_id").agg(F.min(key).alias("_first")).select(F.col("content_id").alias("_content"), "_first")
+    # null keys are never the least: they are told apart from others only if a content has no other
+    same = F.col(key).eqNullSafe(F.col("_first")) & (F.col("content_id") == F.col("_content"))
+    return each.join(first, same, "left").select(key, "content_id", "size", F.col("_content").isNull().alias("was_deduped"))
 
 
 def new_content(incoming: DataFrame, stored: DataFrame) -> DataFrame:

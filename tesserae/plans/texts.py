@@ -13,7 +13,7 @@ DIM, K, BUDGET = 64, 5, 600
 
 
 def title_extract(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("text", F.when(F.col("lang") == "es", F.concat(F.lit("intro\n  #  "), F.substring("text", 1, 20))).otherwise(F.col("text")))
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.when(F.col("lang") == "es", F.concat(F.lit("intro\n  #  "), "text")).otherwise(F.col("text")))
     return docs.select("doc_id", text.title(F.col("text"), F.concat(F.lit("/in/a.b/"), "source", F.lit(".v1.md"))).alias("title"))
 
 
@@ -294,7 +294,7 @@ _META = f"{_SEARCH}, n AS (SELECT query_id, id, round(0.4::DOUBLE * score + 0.6:
 _ANSWER = "WITH a AS (SELECT doc_id, trim(text) AS a FROM documents), w AS (SELECT doc_id, a, regexp_extract(a, '(?s)^(.*[.!?])', 1) AS w FROM a) SELECT doc_id, CASE WHEN length(w) > length(a) / 2.0 THEN w ELSE a END AS answer FROM w"
 _NO_DIAGRAM, _NOTED_DIAGRAM = (_COLLAPSE.format(f"regexp_replace(text, {_DIAGRAM}, {x}, 'g')") for x in ("''", "'[diagram removed]'"))
 ORACLE_SQL = {
-    "title_extract": "SELECT doc_id, CASE WHEN lang = 'es' AND trim(substr(text, 1, 20)) <> '' THEN regexp_replace(split_part(regexp_replace(substr(text, 1, 20), '^\\s+', ''), chr(10), 1), '\\s+$', '') ELSE source || '.v1' END AS title FROM documents",
+    "title_extract": "SELECT doc_id, CASE WHEN lang = 'es' AND regexp_matches(text, '\\S') THEN regexp_replace(split_part(regexp_replace(text, '^\\s+', ''), chr(10), 1), '\\s+$', '') ELSE source || '.v1' END AS title FROM documents",
     "lang_detect": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 3 THEN 'markdown' ELSE CASE WHEN {_JSX} THEN 'mdx' WHEN {_DIA} THEN 'mermaid' ELSE 'markdown' END END AS language FROM pages",
     "markup_flags": f"SELECT page_id, {_JSX} AS jsx, {_DIA} AS diagram, {_JSX} OR contains(html, '```') AS needed FROM pages",
     "strip_fences": f"{_FENCED} SELECT doc_id, regexp_replace(text, {_BLOCK}, '', 'g') AS stripped, {_LANG} || repeat(chr(10), 4) || '[mermaid code block removed]' || substr(text, length({_HEAD})) AS noted FROM f",

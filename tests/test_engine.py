@@ -6,6 +6,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import mime, ranking, vectors
@@ -117,6 +118,42 @@ def test_running_without_a_group_needs_no_single_task(spark):
         total += r["n"]
 
 
+def test_running_splits_rows_of_one_value(spark):
+    df = spark.range(20_000).select("id", F.lit(7).alias("ts"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"), (F.col("id") % 13).alias("n"))
+    for by in ([], ["g"]):
+        got = catalog.running(df, "n", by, ["ts"], 64)
+        tie = F.xxhash64("id", "ts", "g", "n")
+        want = df.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("ts", tie).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        assert got.count() == 20_000 and got.exceptAll(want).count() == 0
+        assert max(r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 12_000
+    assert catalog.running(df.limit(0), "n", [], ["ts"]).collect() == [] and [r["before"] for r in catalog.running(df.limit(1), "n", ["g"], ["ts"]).collect()] == [0]
+
+
+def largest_task(df, tmp_path):
+    """The largest share of the rows that one output task has."""
+    df.write.parquet(f"file://{tmp_path}/out")
+    counts = [r[1] for r in df.sparkSession.read.parquet(f"file://{tmp_path}/out").groupBy("_metadata.file_path").count().collect()]
+    return max(counts) / sum(counts), len(counts)
+
+
+def test_a_content_of_half_the_rows_is_split(spark, tmp_path):
+    options = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in options}
+    rows = spark.range(120_000).select("id", F.when(F.col("id") % 2 == 0, "same").otherwise(F.concat(F.lit("c"), "id")).alias("content"))
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        share, n = largest_task(store.identify(rows, "content", "id"), tmp_path / "a")
+        assert share < 2.5 / n + 0.05
+        taken, refused = catalog.insert_new(spark.createDataFrame([("c1",)], "content string"), rows, "content")
+        share, n = largest_task(refused, tmp_path / "b")
+        assert share < 0.4 and n > 2  # half of the rows have one key
+        assert taken.count() == 59_999 and spark.read.parquet(f"file://{tmp_path}/b/out").count() == 60_001
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_store(spark):
     df = spark.createDataFrame([(2, b"x"), (1, b"x"), (3, b"y")], "k int, c binary")
     got = store.identify(df, "c", "k").orderBy("k").collect()
