@@ -13,8 +13,8 @@ from pyspark.sql.window import Window as W
 
 from tesserae.functions import vectors
 
-#: Queries and rows that one task compares.
-QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: Queries and rows that one task compares; queries that the reach of an approximate search is measured on.
+QUERY_BLOCK, ROW_BLOCK, ASKED = 1024, 8192, 64
 
 
 def top_k(rows: DataFrame, query: list[float], k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -100,16 +100,54 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "ve
 
 
 def _signatures(planes: np.ndarray):
-    """(id, v, b): for each table the side of its planes that a vector is on, as a number, with the table's."""
+    """(id, v, cell): each vector once for each table, with the number of the table and of the side of its planes that the vector is on."""
     tables, bits, _ = planes.shape
-    weights, tags = 1 << np.arange(bits), np.arange(tables) << bits
+    weights, tags = 1 << np.arange(bits, dtype=np.int64), np.arange(tables, dtype=np.int64) << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.num_rows)
-            sides = np.einsum("nd,tbd->ntb", v, planes) >= 0
-            codes = sides @ weights + tags
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v.tolist(), pa.list_(pa.float64())), pa.array(codes.tolist(), pa.list_(pa.int32()))], names=["id", "v", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.num_rows)
+                codes = (np.einsum("nd,tbd->ntb", v, planes) >= 0) @ weights + tags
+                row = np.repeat(np.arange(batch.num_rows), tables)
+                took = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(codes.ravel())], names=["id", "v", "cell"])
+
+    return run
+
+
+def flips(cost: np.ndarray, most: float) -> list[int]:
+    """All sets of bits whose costs sum to ``most`` or less, as numbers; the empty one first."""
+    order = np.argsort(cost, kind="stable").tolist()
+    out, ends = [(0, 0.0, 0)], 0
+    while ends < len(out):  # a set is extended by dearer bits only, so each comes once
+        mask, spent, begin = out[ends]
+        ends += 1
+        for j in range(begin, len(order)):
+            if spent + cost[order[j]] > most:
+                break
+            out.append((mask | 1 << order[j], spent + cost[order[j]], j + 1))
+    return [x[0] for x in out]
+
+
+def _probes(planes: np.ndarray, most: float):
+    """(id, v, cell): each query once for each bucket that it probes, those across planes that it is near to."""
+    tables, bits, _ = planes.shape
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(whole.num_rows):
+                batch = whole.slice(at, 1)
+                v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False), 1)
+                margin = np.einsum("nd,tbd->ntb", v, planes)[0]
+                codes = (margin >= 0) @ weights
+                cells = np.array([(t << bits) | (int(codes[t]) ^ f) for t in range(tables) for f in flips(margin[t] ** 2, most)], np.int64)
+                for k in range(0, len(cells), 4096):
+                    part = cells[k : k + 4096]
+                    took = batch.take(pa.array(np.zeros(len(part), np.int64)))
+                    yield pa.RecordBatch.from_arrays([*took.columns, pa.array(part)], names=["id", "v", "cell"])
 
     return run
 
@@ -119,20 +157,46 @@ def signature_bits(n: int, least: int = 4, bucket: int = 64) -> int:
     return max(least, int(np.ceil(np.log2(max(n, 1) / bucket))))
 
 
+def _reach(rows: DataFrame, queries: DataFrame, planes: np.ndarray, k: int, recall: float) -> float:
+    """The least cost of crossed planes within which ``recall`` of true neighbours is met in some table, measured on at most ``ASKED`` queries."""
+    some = queries.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(ASKED).collect()
+    if not some:
+        return 0.0
+    asked = _unit(np.array([r["v"] for r in some]).ravel(), len(some))
+    found = rows.mapInArrow(_search(np.arange(len(some)), asked, k + 1), "query_id bigint, id bigint, score double")
+    found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k + 1)
+    near = found.join(rows, "id").select("query_id", "id", "v").collect()  # ASKED * (k + 1) rows
+    near = [r for r in near if r["id"] != some[r["query_id"]]["id"]]  # a query that is a row itself finds itself at no cost
+    if not near:
+        return 0.0
+    of, v = np.array([r["query_id"] for r in near]), _unit(np.array([r["v"] for r in near]).ravel(), len(near))
+    mine, its = np.einsum("nd,tbd->ntb", asked, planes)[of], np.einsum("nd,tbd->ntb", v, planes)
+    cost = np.where((mine >= 0) != (its >= 0), mine**2, 0.0).sum(2).min(1)
+    return float(np.quantile(cost, recall, method="higher")) * (1 + 1e-9)
+
+
 def approximate_top_k(
-    rows: DataFrame, queries: DataFrame, dim: int, k: int = 10, key: str = "vec_id", column: str = "embedding", tables: int = 24, bits: int | None = None, seed: int = 5
+    rows: DataFrame, queries: DataFrame, dim: int, k: int = 10, key: str = "vec_id", column: str = "embedding", tables: int = 8, bits: int | None = None, seed: int = 5, recall: float = 0.95
 ) -> DataFrame:
-    """As ``batch_top_k``, comparing only vectors that share one of ``tables`` signatures of ``bits`` random planes.
+    """As ``batch_top_k``, comparing only vectors that meet in a bucket of one of ``tables`` tables of ``bits`` random planes.
 
-    Signatures get longer with the table (``signature_bits``), so a query meets a bounded number of unlike rows in each table, however many
-    there are. What is near is found with the probability that one of the signatures agrees; more tables find more.
+    Signatures get longer with the table (``signature_bits``). A row is in one bucket of each table; a query probes its own and those across the planes
+    that it is nearest to: all whose crossed planes cost no more (in squares of its distances to them) than what holds ``recall`` of the
+    true neighbours of a bounded number of queries, which are looked up in one pass. So recall stays, whatever the table's size; what
+    changes is how many buckets it takes. Buckets of more than ``ROW_BLOCK`` rows are dealt to parts.
     """
     bits = bits or signature_bits(rows.count())
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-    signed = lambda t: t.select(F.col(key).alias("id"), F.col(column).alias("v")).where("v IS NOT NULL").mapInArrow(_signatures(planes), "id bigint, v array<double>, b array<int>")
-    left, right = signed(queries), signed(rows)
-    pairs = left.select(F.col("id").alias("query_id"), F.explode("b").alias("b")).join(right.select("id", F.explode("b").alias("b")), "b")
-    both = pairs.select("query_id", "id").distinct().join(right.select("id", "v"), "id").join(left.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    scored = both.select("query_id", "id", F.round(vectors.dot(F.col("q"), F.col("v")), 6).alias("score"))
+    side = lambda t: t.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.size("v") == dim)
+    every, of = side(rows), side(queries)
+    most = _reach(every, of, planes, k, recall)
+    signed = every.mapInArrow(_signatures(planes), "id bigint, v array<double>, cell bigint")
+    probes = of.mapInArrow(_probes(planes, most), "id bigint, v array<double>, cell bigint")
+    hot = signed.groupBy("cell").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    left = probes.join(hot, "cell", "left").select(F.lit(0).alias("side"), "id", "v", "cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = signed.join(hot, "cell", "left").select(F.lit(1).alias("side"), "id", "v", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    found = left.unionByName(right).groupBy("cell", "part").applyInArrow(_best(k), "query_id bigint, id bigint, score double")
+    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

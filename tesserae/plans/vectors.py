@@ -71,8 +71,16 @@ def ann_recall(spark, sf_dir: str) -> DataFrame:
     """Whether probing as many cells as the index was measured to need finds nine tenths of the true neighbours."""
     rows = table(spark, sf_dir)
     asked, quantiser = rows.where("vec_id % 100 = 0"), ann.Quantiser.fit(rows)
-    found = ann.batch(rows, asked, quantiser).select("query_id", "id", F.lit(1).alias("hit"))
-    true = ann.join(rows, asked, quantiser)[0].join(found, ["query_id", "id"], "left")
+    return _reached(ann.batch(rows, asked, quantiser), ann.join(rows, asked, quantiser)[0])
+
+
+def knn_lsh_recall(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir)
+    return _reached(knn_lsh(spark, sf_dir), knn.batch_top_k(rows, rows.where("vec_id % 100 = 0"), 10))
+
+
+def _reached(found: DataFrame, true: DataFrame) -> DataFrame:
+    true = true.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return true.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
 
 
@@ -89,7 +97,8 @@ def compatible(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     "vec_cosine": _against_first(fn.cosine), "vec_euclidean": _against_first(fn.euclidean), "vec_dot": _against_first(fn.dot), "vec_magnitude": magnitudes,
     "vec_normalize": normalized, "vec_validate": validated, "knn_single": knn_single, "knn_filtered": knn_filtered, "knn_batch": knn_batch,
-    "knn_lsh": knn_lsh, "ann_search": ann_search, "ann_recall": ann_recall, "vec_group_partition": groups, "vec_dimension_check": compatible,
+    "knn_lsh": knn_lsh, "ann_search": ann_search, "ann_recall": ann_recall, "knn_lsh_recall": knn_lsh_recall,
+    "vec_group_partition": groups, "vec_dimension_check": compatible,
 }
 _TOP = "SELECT vec_id, score, round(1 - score, 6) AS distance, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10"
 ORACLE_SQL = {
@@ -106,4 +115,4 @@ ORACLE_SQL = {
     "vec_group_partition": "SELECT label, count(*) AS n, min(len(embedding))::INT AS least_dim, max(len(embedding))::INT AS most_dim FROM embeddings GROUP BY label",
     "vec_dimension_check": "SELECT vec_id, (len(embedding) - vec_id % 3)::INT AS dim FROM embeddings WHERE len(embedding) - vec_id % 3 <> 64",
 }
-ORACLE_SQL["ann_search"] = ORACLE_SQL["knn_batch"]
+ORACLE_SQL |= {"ann_search": ORACLE_SQL["knn_batch"], "knn_lsh_recall": ORACLE_SQL["ann_recall"]}

@@ -48,6 +48,25 @@ def test_join_is_exact_and_sends_queries_to_few_cells(spark, monkeypatch):
     assert ann.join(rows.limit(0), asked, quantiser)[0].collect() == []
 
 
+def test_flips_are_all_sets_within_a_cost():
+    cost = np.array([0.5, 0.1, 0.3, 0.9])
+    got = knn.flips(cost, 0.85)
+    want = [m for m in range(16) if sum(cost[j] for j in range(4) if m >> j & 1) <= 0.85]
+    assert got[0] == 0 and sorted(got) == want and len(set(got)) == len(got)
+
+
+@pytest.mark.parametrize(("n", "spread"), [(500, 3.0), (4_000, 1.5), (60_000, 0.4)])
+def test_signatures_keep_their_recall_at_any_size(spark, n, spread):
+    rows, v = clustered(spark, n, middles=50, spread=spread)
+    asked = rows.where(F.col("vec_id") % (n // 25) == 3)
+    got: dict = {}
+    for r in knn.approximate_top_k(rows, asked, 16).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {i: set(np.lexsort((np.arange(n), -np.round(u @ u[i], 6)))[:10].tolist()) for i in got}
+    assert len(got) == 25 and sum(len(got[i] & want[i]) for i in got) >= 0.9 * 250
+
+
 def words(spark, n, tag):
     rows = [(f"{tag}/{i}.md", f"T{i}", f"{tag} text number{i} group{i % 7} " * 3, "text") for i in range(n)]
     return spark.createDataFrame(rows, "source string, title string, content string, content_type string")
