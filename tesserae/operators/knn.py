@@ -152,6 +152,29 @@ def _probes(planes: np.ndarray, most: float):
     return run
 
 
+def _in_buckets(k: int):
+    """Of a run of buckets: the k best rows of each query among the buckets that it probes."""
+
+    def run(part: pa.Table) -> pa.Table:
+        cell, side, ids = (part[name].to_numpy() for name in ("cell", "side", "id"))
+        unit = _unit(part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), part.num_rows)
+        order = np.lexsort((side, cell))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            asked, rows = at[side[at] == 0], at[side[at] == 1]
+            if len(asked) and len(rows):
+                score = np.round(unit[asked] @ unit[rows].T, 6)
+                best = np.lexsort((np.broadcast_to(ids[rows], score.shape), -score), axis=1)[:, :k]
+                found.append((np.repeat(ids[asked], best.shape[1]), ids[rows][best].ravel(), np.take_along_axis(score, best, 1).ravel()))
+        query, name, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((name, -score, query))  # a row is in one bucket of a table, so none comes twice
+        first = np.searchsorted(query[order], query[order])
+        kept = order[np.arange(len(order)) - first < k]
+        return pa.table({"query_id": query[kept], "id": name[kept], "score": score[kept]})
+
+    return run
+
+
 def signature_bits(n: int, least: int = 4, bucket: int = 64) -> int:
     """Planes of a signature: enough that a bucket of ``n`` vectors that are alike in nothing has about ``bucket`` of them."""
     return max(least, int(np.ceil(np.log2(max(n, 1) / bucket))))
@@ -183,7 +206,8 @@ def approximate_top_k(
     Signatures get longer with the table (``signature_bits``). A row is in one bucket of each table; a query probes its own and those across the planes
     that it is nearest to: all whose crossed planes cost no more (in squares of its distances to them) than what holds ``recall`` of the
     true neighbours of a bounded number of queries, which are looked up in one pass. So recall stays, whatever the table's size; what
-    changes is how many buckets it takes. Buckets of more than ``ROW_BLOCK`` rows are dealt to parts.
+    changes is how many buckets it takes. Neighbouring buckets of a table, about ``ROW_BLOCK`` rows of them, are met in one task, which keeps k rows
+    a query; where there are more rows, they are dealt to parts.
     """
     bits = bits or signature_bits(rows.count())
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
@@ -192,11 +216,13 @@ def approximate_top_k(
     most = _reach(every, of, planes, k, recall)
     signed = every.mapInArrow(_signatures(planes), "id bigint, v array<double>, cell bigint")
     probes = of.mapInArrow(_probes(planes, most), "id bigint, v array<double>, cell bigint")
-    hot = signed.groupBy("cell").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("parts")).where("parts > 1")
+    run = F.shiftright("cell", min(bits, 7)).alias("run")  # 128 buckets of 64 rows
+    signed, probes = signed.select("*", run), probes.select("*", run)
+    hot = signed.groupBy("run").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
-    left = probes.join(hot, "cell", "left").select(F.lit(0).alias("side"), "id", "v", "cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = signed.join(hot, "cell", "left").select(F.lit(1).alias("side"), "id", "v", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    found = left.unionByName(right).groupBy("cell", "part").applyInArrow(_best(k), "query_id bigint, id bigint, score double")
+    left = probes.join(hot, "run", "left").select(F.lit(0).alias("side"), "id", "v", "cell", "run", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = signed.join(hot, "run", "left").select(F.lit(1).alias("side"), "id", "v", "cell", "run", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    found = left.unionByName(right).groupBy("run", "part").applyInArrow(_in_buckets(k), "query_id bigint, id bigint, score double")
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
