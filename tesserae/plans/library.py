@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import mime, text
-from tesserae.operators import catalog, chunking, embedding, ingest, knn, prompt, registry, rerank, store
+from tesserae.operators import catalog, chunking, contents, embedding, ingest, knn, prompt, registry, rerank, scratch, store
 from tesserae.plans import texts
 from tesserae.plans.catalog import files, read
 from tesserae.sources import files as sources
@@ -63,6 +63,15 @@ def content_refused(spark, sf_dir: str) -> DataFrame:
     return _inserted(spark, sf_dir)[1]
 
 
+def content_directory(spark, sf_dir: str) -> DataFrame:
+    """Pages written to a content directory and read back; one page in four arrives a second time, under another name."""
+    page = files(spark, sf_dir).select(F.col("page_id").alias("key"), F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("name"), "content")
+    again = page.where("key % 4 = 0").select(F.when(F.col("key") % 8 == 0, -F.col("key") - 1).otherwise(F.col("key") + 1).alias("key"), F.lit("again.HTM").alias("name"), "content")
+    folder = scratch.folder(spark, "contents")
+    contents.write(page.unionByName(again), folder)
+    return store.intact(contents.stored(spark, folder, content=True), "content", "content_id").select("content_id", "file", "size", "is_valid")
+
+
 def known_ids(spark, sf_dir: str) -> DataFrame:
     asked = read(spark, sf_dir, "documents").select((F.col("doc_id") * 3).alias("doc_id"))
     return catalog.known(asked, read(spark, sf_dir, "documents"), "doc_id")
@@ -248,7 +257,7 @@ def prompt_attributed(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        system_info_upsert, catalog_merge, content_by_hash, content_by_storage, content_by_id, content_insert, content_refused, known_ids, store_repair,
+        system_info_upsert, catalog_merge, content_by_hash, content_by_storage, content_by_id, content_insert, content_refused, content_directory, known_ids, store_repair,
         missing_files, size_readable, operation_metrics, storage_paths, discover_reasons, image_documents, text_documents, mode_filter, embedding_kinds,
         fence_aliases, ingest_summary, ingest_duplicates, ingest_chunks, embed_failures, word_chunks, paragraph_chunks, search_with_vector, rerank_fallback,
         cross_modal_presets, cross_modal_semantic, answer_generate, prompt_attributed,
@@ -279,6 +288,7 @@ ORACLE_SQL = {
     "content_by_id": f"{_C} SELECT id, storage_type FROM c WHERE created_at IN (SELECT doc_id FROM labels)",
     "content_insert": f"{_NEW} NOT refused",
     "content_refused": f"{_NEW} refused",
+    "content_directory": "SELECT content_id, content_id || CASE WHEN min(key) < 0 THEN '.htm' ELSE '.html' END AS file, min(size) AS size, TRUE AS is_valid FROM (SELECT sha256(html) AS content_id, octet_length(encode(html))::BIGINT AS size, CASE WHEN page_id % 8 = 0 THEN -page_id - 1 ELSE page_id END AS key FROM pages WHERE html IS NOT NULL) GROUP BY content_id",
     "known_ids": "SELECT DISTINCT doc_id * 3 AS doc_id, doc_id * 3 IN (SELECT doc_id FROM documents) AS exists FROM documents",
     "store_repair": f"{_BYTES} SELECT n AS files, b + 500 AS bytes, FALSE AS repaired FROM f UNION ALL SELECT n, b, TRUE FROM f",
     "missing_files": "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es')",
