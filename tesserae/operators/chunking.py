@@ -19,6 +19,10 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+#: A counter with this attribute adds up: joined parts have the sum of their tokens, less this many for each part but the first.
+count_words.overhead = 0
+
+
 @dataclass(frozen=True)
 class ChunkConfig:
     size: int = 250
@@ -38,14 +42,17 @@ def split_sentences(text: str) -> list[str]:
 
 
 class Joined:
-    """Parts joined by one string, and their tokens. Words add up, so they are summed; any other counter is asked about the whole."""
+    """Parts joined by one string, and their tokens. A counter that adds up (``overhead``) is asked about each part, any other about the whole."""
 
     def __init__(self, glue: str, count: Count) -> None:
         self.glue, self.count, self.parts, self.tokens = glue, count, [], 0
+        self.overhead: int | None = getattr(count, "overhead", None)
 
     def with_(self, part: str, size: int) -> int:
         """The tokens of all parts with one more, which has ``size`` itself."""
-        return self.tokens + size if self.count is count_words else self.count(self.glue.join([*self.parts, part]))
+        if self.overhead is None:
+            return self.count(self.glue.join([*self.parts, part]))
+        return self.tokens + size - self.overhead if self.parts else size
 
     def add(self, part: str, tokens: int) -> None:
         self.parts.append(part)
@@ -59,8 +66,10 @@ class Joined:
         out, n, total = Joined(self.glue, self.count), len(self.parts), 0
         while n:
             part = self.parts[n - 1]
-            whole = together and self.count is not count_words
-            total = self.count(self.glue.join(self.parts[n - 1 :])) if whole else total + self.count(part)
+            if together and self.overhead is None:
+                total = self.count(self.glue.join(self.parts[n - 1 :]))
+            else:
+                total += self.count(part) - (self.overhead if together and n < len(self.parts) else 0)
             if total > most:
                 break
             n, out.tokens = n - 1, total
@@ -76,7 +85,7 @@ def split_words(text: str, size: int, overlap: int, count: Count = count_words)
     words, out, now, carried = text.split(), [], Joined(" ", count), 0
     i = 0
     while i < len(words):
-        tokens = now.with_(words[i], 1 if count is count_words else 0)
+        tokens = now.with_(words[i], 0 if now.overhead is None else count(words[i]))
         if tokens <= size:
             now.add(words[i], tokens)
             i += 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions import markup, ranking, text
+from tesserae.functions import markup, ranking, text, wordpiece
 from tesserae.operators import chunking, embedding, knn, prompt, rerank
 from tesserae.plans.catalog import read
 
@@ -110,6 +110,18 @@ def chunk_documents(spark, sf_dir: str) -> DataFrame:
     return chunking.chunk(read(spark, sf_dir, "documents"), "doc_id")
 
 
+def wordpiece_counts(spark, sf_dir: str) -> DataFrame:
+    """Tokens of whole texts as a sentence encoder counts them, and their chunks of up to 256 such tokens (more only by an overlap)."""
+    import public_tokenizers
+
+    counter = wordpiece.from_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = chunking.chunk(docs, "doc_id", config=chunking.ChunkConfig(256, 50), count=counter)
+    each = parts.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("token_count").alias("most"))
+    whole = docs.select("doc_id", wordpiece.count(F.col("text"), counter).alias("n_tokens"))
+    return whole.join(each, "doc_id", "left").fillna(0, ["n_chunks", "most"])
+
+
 def token_estimate(spark, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("estimate"), text.word_tokens(F.col("text")).alias("words"))
 
@@ -213,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         title_extract, lang_detect, markup_flags, strip_fences, strip_mermaid, mermaid_edges, mdx_strip, preprocess_modes, preprocess_stats, safe_lines, para_split,
-        sent_split, sentence_groups, chunk_documents, token_estimate, snippet, embedding_id, hash_embed, search_pipeline, search_ranked, rerank_lexical,
+        sent_split, sentence_groups, chunk_documents, wordpiece_counts, token_estimate, snippet, embedding_id, hash_embed, search_pipeline, search_ranked, rerank_lexical,
         rerank_text_derived, rerank_metadata, rerank_cross_encoder, cross_modal_rank, cross_modal_stats, context_window, prompt_build, answer_cleanup,
     )
 }
