@@ -13,7 +13,11 @@ response (WARC-Refers-To, with the response's URI and date) without meeting it.
 
 A task writes each file under a name of its own and names it in the index only when it is complete; the index is
 committed by Spark. A file of a failed or repeated attempt is in no index and so is never read. Files go to a folder
-that executors share (``spark.checkpoint.dir``) through Arrow's file systems.
+that executors share (``spark.checkpoint.dir``) through Arrow's file systems, by the URIs that Spark users write; a store that Arrow
+doesn't have is opened by a function that the caller gives (``open_with``).
+
+Memory: a reading task holds one coalesced read (8 MB, or one longer record) and up to ``UNPACKED`` bytes of payloads that were unpacked from
+it, beside the record at hand, however well they compress.
 
 Nulls and edge cases: a null payload is written as empty; a URL that is null, or holds characters that a header can't, is
 written percent-encoded (null as ``urn:x-none``) and kept as it is in a field ``X-Target``, from which it is read back; a
@@ -32,14 +36,14 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, free, pieces, scratch_path
+from tesserae.sources.locations import Opener, open_at
 
 LEAST = 100
-FILE_BYTES, GAP, MOST_READ = 64 << 20, 64 << 10, 8 << 20
+FILE_BYTES, GAP, MOST_READ, UNPACKED = 64 << 20, 64 << 10, 8 << 20, 8 << 20
 #: Archive bytes that a reading task is given, and the number of tasks beyond which they get more each.
 TASK_BYTES, MOST_TASKS = 4 << 20, 4096
 WHEN, NO_URL = "2024-01-01T00:00:00Z", "urn:x-none"
@@ -133,11 +137,11 @@ def parse(record: bytes) -> dict:
     }
 
 
-def write(decided: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write(decided: DataFrame, folder: str, file_bytes: int = FILE_BYTES, open_with: Opener = open_at) -> DataFrame:
     """Writes a record per row of ``decide`` to files in ``folder``, and returns the index (written beside them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = open_with(folder)
         store.create_dir(top, recursive=True)
         out, name, at, rows = None, "", 0, []
 
@@ -186,11 +190,24 @@ def ranges(spans: Iterable[tuple[int, int]], gap: int = GAP, most: int = MOST_RE
         yield begin, end - begin, inside
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
+def unpacked(data: bytes, begin: int, spans: Iterable[tuple[int, int]], most: int = UNPACKED) -> Iterator[pa.RecordBatch]:
+    """The records at (offset, length) spans of what was read from ``begin``, in batches that end once they hold ``most`` bytes of payloads."""
+    rows, held = [], 0
+    for offset, length in spans:
+        rows.append(parse(gzip.decompress(data[offset - begin : offset - begin + length])))
+        held += len(rows[-1]["html"] or b"")
+        if held >= most:
+            yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+
+
+def read(index: DataFrame, folder: str, open_with: Opener = open_at) -> DataFrame:
     """The records of the index rows given, each as a row. Sorted by file and offset within tasks, so that reads run forward."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = open_with(folder)
         opened, name = None, None
         for batch in batches:
             files, offsets, lengths = (batch.column(i).to_pylist() for i in range(3))
@@ -205,9 +222,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     name = files[at]
                     opened = store.open_input_file(f"{top}/{name}")
                 for begin, size, inside in ranges(zip(offsets[at:to], lengths[at:to], strict=True)):
-                    data = opened.read_at(size, begin)
-                    rows = [parse(gzip.decompress(data[o - begin : o - begin + n])) for o, n in inside]
-                    yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+                    yield from unpacked(opened.read_at(size, begin), begin, inside)
                 at = to
         if opened is not None:
             opened.close()
