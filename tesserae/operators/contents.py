@@ -24,6 +24,9 @@ from tesserae.functions import text
 from tesserae.operators.scratch import settled
 from tesserae.sources.locations import Opener, open_at
 
+#: What a content's file is called, and the bytes of contents after which a batch that is read ends.
+NAMED, BATCH_BYTES = re.compile(r"[0-9a-f]{64}(\.[^/]*)?"), 16 << 20
+
 
 def _size(store: fs.FileSystem, path: str) -> int | None:
     """The size of a file; null if there is none."""
@@ -124,12 +127,46 @@ def _delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """(content_id, file, size) of the files in ``folder``, and what they hold if asked for (else no file is opened)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    file = F.element_at(F.split("path", "/"), -1)
-    out = files.select(file.substr(1, 64).alias("content_id"), file.alias("file"), F.col("length").alias("size"), *(["content"] if content else []))
-    return out.where(F.col("content_id").rlike("^[0-9a-f]{64}$"))
+def stored(spark: SparkSession, folder: str, fan: int = 2, open_with: Opener = open_at) -> DataFrame:
+    """(content_id, file, size) of the files in ``folder``. Tasks list its folders, so the driver never holds the list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = open_with(folder)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                inside = store.get_file_info(fs.FileSelector(f"{top}/{part:0{fan}x}", allow_not_found=True))
+                found = [(f.base_name, f.size) for f in inside if f.type == fs.FileType.File and NAMED.fullmatch(f.base_name)]
+                names = [n for n, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array([n[:64] for n in names], pa.string()), pa.array(names, pa.string()), pa.array([s for _, s in found], pa.int64())], names=["content_id", "file", "size"])
+
+    return spark.range(16**fan).mapInArrow(run, "content_id string, file string, size bigint")
+
+
+def read(files: DataFrame, folder: str, fan: int = 2, open_with: Opener = open_at) -> DataFrame:
+    """``files`` (as ``write`` and ``stored`` give them) with ``content``, null where the file is gone. Batches end by bytes, so a task holds
+    ``BATCH_BYTES`` and one content more at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = open_with(folder)
+        for batch in batches:
+            begin, held, got = 0, 0, []
+            for at, name in enumerate(batch.column(1).to_pylist()):
+                got.append(_content(store, f"{top}/{name[:fan]}/{name}"))
+                held += len(got[-1] or b"")
+                if held >= BATCH_BYTES or at == batch.num_rows - 1:
+                    part = batch.slice(begin, at + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=["content_id", "file", "size", "content"])
+                    begin, held, got = at + 1, 0, []
+
+    return files.select("content_id", "file", "size").mapInArrow(run, "content_id string, file string, size bigint, content binary")
+
+
+def _content(store: fs.FileSystem, path: str) -> bytes | None:
+    try:
+        with store.open_input_file(path) as file:
+            return file.read()
+    except FileNotFoundError:
+        return None
 
 
 def remove(files: DataFrame, folder: str, fan: int = 2, open_with: Opener = open_at) -> DataFrame:
@@ -139,7 +176,7 @@ def remove(files: DataFrame, folder: str, fan: int = 2, open_with: Opener = open
         store, top = open_with(folder)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            gone = [bool(re.fullmatch(r"[0-9a-f]{64}[^/]*", x or "")) and _drop(store, f"{top}/{x[:fan]}/{x}") for x in names]
+            gone = [bool(NAMED.fullmatch(x or "")) and _drop(store, f"{top}/{x[:fan]}/{x}") for x in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.bool_())], names=["file", "removed"])
 
     return settled(files.select("file").mapInArrow(run, "file string, removed boolean"))

@@ -69,7 +69,7 @@ def content_directory(spark, sf_dir: str) -> DataFrame:
     again = page.where("key % 4 = 0").select(F.when(F.col("key") % 8 == 0, -F.col("key") - 1).otherwise(F.col("key") + 1).alias("key"), F.lit("again.HTM").alias("name"), "content")
     folder = scratch.folder(spark, "contents")
     contents.write(page.unionByName(again), folder)
-    return store.intact(contents.stored(spark, folder, content=True), "content", "content_id").select("content_id", "file", "size", "is_valid")
+    return store.intact(contents.read(contents.stored(spark, folder), folder), "content", "content_id").select("content_id", "file", "size", "is_valid")
 
 
 def known_ids(spark, sf_dir: str) -> DataFrame:

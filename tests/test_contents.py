@@ -56,7 +56,7 @@ def test_replays_and_later_writes(spark, tmp_path):
     broken = tmp_path / "store" / a.first().file[:2] / a.first().file
     broken.write_bytes(b"1")
     contents.write(first, folder)
-    assert store.intact(contents.stored(spark, folder, content=True), "content", "content_id").where("NOT is_valid").count() == 0
+    assert store.intact(contents.read(contents.stored(spark, folder), folder), "content", "content_id").where("NOT is_valid").count() == 0
     assert store.missing_files(a, contents.stored(spark, folder)).count() == 0
     assert not [x for x in os.listdir(tmp_path / "store") if x.startswith("_")]
 
@@ -112,3 +112,13 @@ def test_locations(tmp_path, monkeypatch):
 
     monkeypatch.setattr(locations, "fs", Asked)
     assert open_at("s3a://bucket/a/") == "s3://bucket/a" and open_at("hdfs://name:8020/a") == "hdfs://name:8020/a"
+
+
+def test_contents_are_read_by_name(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    made = contents.write(rows(spark, [(k, "f.md", str(k).encode() * 1000, 1) for k in range(9)] + [(9, "e", b"", 1)]), folder)
+    gone = spark.createDataFrame([("0" * 64, "0" * 64 + ".md", 5)], made.schema)
+    got = {r.content_id: r.content for r in contents.read(made.unionByName(gone), folder).collect()}
+    assert got.pop("0" * 64) is None and {sha(bytes(c)) for c in got.values()} == set(got) and len(got) == 10
+    assert contents.read(made.where("false"), folder).count() == 0 == contents.stored(spark, f"{folder}-none").count()
+    assert sorted(contents.stored(spark, folder).collect()) == sorted(made.collect())
