@@ -33,9 +33,17 @@ def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-def embed(rows: DataFrame, text: str, function: Embed = hash_embed, column: str = "embedding", batch: int = 256) -> DataFrame:
-    """The input with a vector per row; ``function`` gets lists of up to ``batch`` texts. A batch that fails is tried text by text;
-    a text that fails has a null vector and the error's text in ``embedding_error``."""
+#: How many texts and how many images a function gets at a time.
+BATCHES = {"text": 256, "image": 4}
+
+
+def embed(rows: DataFrame, text: str, function: Embed = hash_embed, column: str = "embedding", batch: int = BATCHES["text"], keep: bool = True) -> DataFrame:
+    """The input with a vector per row; ``function`` gets lists of up to ``batch`` texts, or bytes if the column holds these. A batch that fails is
+    tried text by text; a text that fails has a null vector and the error's text in ``embedding_error``. ``keep``: whether the text's column stays."""
+
+    kinds = dict(rows.dtypes)
+    nothing = b"" if kinds[text] == "binary" else ""
+    stay = [n for n in rows.columns if keep or n != text]
 
     def one(text: str) -> tuple[np.ndarray | None, str | None]:
         try:
@@ -47,13 +55,13 @@ def embed(rows: DataFrame, text: str, function: Embed = hash_embed, column: str
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
-                texts = [t or "" for t in part.column(text).to_pylist()]
+                texts = [t or nothing for t in part.column(text).to_pylist()]
                 try:
                     made = [(v, None) for v in function(texts)]
                 except Exception:
                     made = [one(t) for t in texts]
                 vectors = pa.array([None if v is None else np.asarray(v, np.float64).tolist() for v, _ in made], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, vectors, pa.array([e for _, e in made], pa.string())], names=[*part.schema.names, column, f"{column}_error"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, stay), vectors, pa.array([e for _, e in made], pa.string())], names=[*stay, column, f"{column}_error"])
 
-    schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + f", `{column}` array<double>, `{column}_error` string"
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in stay) + f", `{column}` array<double>, `{column}_error` string"
     return rows.mapInArrow(run, schema)

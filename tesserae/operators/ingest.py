@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import markup, text, vectors
@@ -40,10 +40,15 @@ def standard_chunks(docs: DataFrame, config: Config) -> DataFrame:
     return chunking.chunk(docs, "document_id", "content", config.chunks, "content_type")
 
 
+def document_id(source: Column) -> Column:
+    """128 bits of the source's digest, in hex."""
+    return F.substring(F.sha2(source.cast("binary"), 256), 1, 32)
+
+
 def prepared(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(source, title, content, content_type) documents that the mode takes, preprocessed, with their ids; and the others, with reasons."""
     fit, unfit = files.in_mode(docs, config.mode)
-    ids = fit.withColumn("document_id", F.substring(F.sha2(F.col("source").cast("binary"), 256), 1, 32))
+    ids = fit.withColumn("document_id", document_id(F.col("source")))
     kind = text.language(F.col("content"), F.col("source"))
     clean = F.when(F.col("content_type") == "image", F.col("content")).otherwise(markup.preprocess(F.col("content"), kind, config.preprocessing))
     return ids.withColumn("content", clean), unfit.select("source", "reason")
@@ -73,15 +78,20 @@ def chunked(clean: DataFrame, config: Config, chunker: Chunker = standard_chunks
     return parts.select(named.alias("embedding_id"), "document_id", "source", "chunk_index", "content", "content_type", "token_count")
 
 
-def embedded(parts: DataFrame, embed: embedding.Embed = embedding.hash_embed, images: embedding.Embed | None = None) -> DataFrame:
+def embedded(parts: DataFrame, embed: embedding.Embed = embedding.hash_embed, images: embedding.Embed | None = None, data: DataFrame | None = None) -> DataFrame:
     """(embedding_id, document_id, source, content_type, embedding, reason): a vector per chunk, or the reason why there is none.
 
-    ``images`` embeds image chunks, from their bytes' base64 in ``content`` or whatever the chunker left there; without it they are texts.
+    ``images`` embeds image chunks: from the bytes of their documents in ``data``, rows of (document_id, data), or where that isn't given from what
+    the chunker left in ``content``; without ``images`` they are texts. Images without bytes have no vector.
     """
     kept = parts.select("embedding_id", "document_id", "source", "content_type", "content")
     made = embedding.embed(kept.where("content_type <> 'image'") if images else kept, "content", embed)
     if images:
-        made = made.unionByName(embedding.embed(kept.where("content_type = 'image'"), "content", images))
+        pictures, column = kept.where("content_type = 'image'"), "content"
+        if data is not None:
+            pictures, column = pictures.drop("content").join(data.select("document_id", "data").where("data IS NOT NULL"), "document_id", "left"), "data"
+        seen = embedding.embed(pictures, column, images, batch=embedding.BATCHES["image"], keep=False)
+        made = made.drop("content").unionByName(seen)
     bad = F.coalesce("embedding_error", vectors.problem(F.col("embedding")))
     return made.select("embedding_id", "document_id", "source", "content_type", F.when(bad.isNull(), F.col("embedding")).alias("embedding"), bad.alias("reason"))
 
@@ -254,6 +264,7 @@ class KnowledgeBase:
 
         Documents are read and preprocessed once, chunked once and embedded once: each step reads what the one before wrote. Of documents
         of one source the last is taken, by column ``order`` if there is one, then by title and content; the others are skipped.
+        A column ``data`` holds the bytes of images, which ``images`` then gets; they aren't stored.
         ``batch``: a stream and the number of its batch; one that was taken in before is left alone.
         """
         self.check_model()
@@ -265,9 +276,10 @@ class KnowledgeBase:
         ready = self.tables.put(folder, "sources", last_of_each(ready, order))
         unfit = self.tables.put(folder, "skipped", unfit.unionByName(superseded(ready)))
         clean = ready.select("d.*")
+        data = clean.select("document_id", "data") if "data" in clean.columns else None
         put = {"skipped": unfit, "documents": self.tables.put(folder, "documents", clean.select("document_id", "source", "title", "content_type"))}
         put["chunks"] = parts = self.tables.put(folder, "chunks", chunked(clean, self.config, chunker))
-        made = embedded(parts, embed, images)
+        made = embedded(parts, embed, images, data)
         made = ann.with_cells(made, found[1]) if found else made.withColumn("cell", F.lit(None).cast("int"))
         put["vectors"] = made = self.tables.put(folder, "vectors", made)
         entry = self.tables.commit(folder, {name: df.schema for name, df in put.items()}, batch=batch, index=found[0] if found else None)
@@ -288,10 +300,11 @@ class KnowledgeBase:
         one = lambda name: self.tables.scan(name, added[-1:])
         return summary(one("documents"), one("chunks"), one("vectors"), one("skipped"))
 
-    def rebuild(self, embed: embedding.Embed = embedding.hash_embed, images: embedding.Embed | None = None) -> None:
-        """Vectors anew from the stored chunks, with the present model."""
+    def rebuild(self, embed: embedding.Embed = embedding.hash_embed, images: embedding.Embed | None = None, data: DataFrame | None = None) -> None:
+        """Vectors anew from the stored chunks, with the present model. ``data``: documents of images, with source and data, for ``images``."""
         chunks = self.table("chunks")
-        self._whole({"documents": self.table("documents"), "chunks": chunks, "vectors": embedded(chunks, embed, images)})
+        data = None if data is None else data.select(document_id(F.col("source")).alias("document_id"), "data")
+        self._whole({"documents": self.table("documents"), "chunks": chunks, "vectors": embedded(chunks, embed, images, data)})
         first = self.table("vectors").select(F.size("embedding").alias("d")).first()
         self._remember(first["d"] if first else None)
 

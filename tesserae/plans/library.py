@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions import mime, text
+from tesserae.functions import image, mime, text
 from tesserae.operators import catalog, chunking, contents, embedding, ingest, knn, prompt, registry, rerank, scratch, store
 from tesserae.plans import texts
 from tesserae.plans.catalog import files, read
@@ -128,6 +132,31 @@ def image_documents(spark, sf_dir: str) -> DataFrame:
     return sources.documents(sources.from_memory(rows)).select("source", "title", "content", "content_type", "error")
 
 
+def _drawn(pages: DataFrame) -> DataFrame:
+    """(display_name, content): each page's bytes as the grey pixels of a PNG of 64 columns, the last row filled up with black; all filters occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                said = [np.frombuffer(x or b"", np.uint8) for x in part.column(1).to_pylist()]
+                pixels = [np.append(x, np.zeros(-len(x) % 64 if len(x) else 64, np.uint8)).reshape(-1, 64) for x in said]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([image.to_png(x, (2, 1, 0, 3, 4)) for x in pixels], pa.binary())], names=["display_name", "content"])
+
+    named = pages.select(F.concat(F.lit("g/"), "page_id", F.lit(".png")).alias("display_name"), F.col("html").cast("binary").alias("html"))
+    return named.mapInArrow(run, "display_name string, content binary")
+
+
+def image_vectors(spark, sf_dir: str) -> DataFrame:
+    """Vectors of the images that ``pages`` make, from their bytes; numbers in millionths."""
+    docs = sources.documents(sources.from_memory(_drawn(read(spark, sf_dir, "pages"))), data=True).drop("error")
+    config = ingest.Config(mode="multimodal")
+    clean, _ = ingest.prepared(docs, config)
+    made = ingest.embedded(ingest.chunked(clean, config), images=image.describe, data=clean)
+    numbers = F.array_join(F.transform("embedding", lambda x: F.floor(x * 1e6 + 0.5)), ",")
+    return made.select(F.regexp_extract("source", r"g/(\d+)", 1).cast("long").alias("page_id"), numbers.alias("numbers"), F.col("reason").isNull().alias("fine"))
+
+
 def text_documents(spark, sf_dir: str) -> DataFrame:
     body = F.when(F.col("doc_id") % 5 == 0, F.lit(" \n")).otherwise(F.concat(F.lit("Preface\n #  On "), "source", F.lit("  \n"), "text"))
     rows = read(spark, sf_dir, "documents").select(F.concat(F.lit("t/d"), "doc_id", F.lit(".txt")).alias("display_name"), body.alias("content"))
@@ -258,7 +287,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         system_info_upsert, catalog_merge, content_by_hash, content_by_storage, content_by_id, content_insert, content_refused, content_directory, known_ids, store_repair,
-        missing_files, size_readable, operation_metrics, storage_paths, discover_reasons, image_documents, text_documents, mode_filter, embedding_kinds,
+        missing_files, size_readable, operation_metrics, storage_paths, discover_reasons, image_documents, image_vectors, text_documents, mode_filter, embedding_kinds,
         fence_aliases, ingest_summary, ingest_duplicates, ingest_chunks, embed_failures, word_chunks, paragraph_chunks, search_with_vector, rerank_fallback,
         cross_modal_presets, cross_modal_semantic, answer_generate, prompt_attributed,
     )
@@ -279,6 +308,15 @@ _LIB = f"WITH l AS (SELECT doc_id, lang, CASE WHEN lang <> 'es' AND regexp_repla
 _PARAS = r"list_filter(list_transform(string_split(regexp_replace(text, '[.!?]', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 _NAMES = [*text.FENCE_ALIASES, "rust", " "]
 _COSINE = "(SELECT query_id, r.id, coalesce(round(sum(q.x * d.x), 6), 0.0) AS s FROM r LEFT JOIN q ON q.id = r.query_id LEFT JOIN d ON d.id = r.id AND d.i = q.i GROUP BY ALL)"
+_IMAGE = """WITH p AS (SELECT page_id, list_transform(regexp_extract_all(hex(encode(html)), '..'), lambda x: ('0x' || x)::INT) AS p FROM pages),
+s AS (SELECT page_id, p, greatest(1, ceil(len(p) / 64.0))::INT AS h FROM p), f AS (SELECT page_id, h, list_resize(p, 64 * h, 0) AS p FROM s),
+i AS (SELECT page_id, h, p, unnest(range(64 * h)) AS i FROM f), n AS (SELECT page_id, h, p, i // 64 AS y, i % 64 AS x, i FROM i),
+g AS (SELECT page_id, y * 4 // h * 4 + x // 16 AS cell, p[i + 1] AS v, abs(p[i + 1 + least(1, 63 - x)] - p[i + 1 - least(1, x)]) AS a, abs(p[i + 1 + 64 * least(1, h - 1 - y)] - p[i + 1 - 64 * least(1, y)]) AS b FROM n),
+k AS (SELECT page_id, cell, v, a + b AS size, CASE WHEN a >= 2 * b THEN 1 WHEN b >= 2 * a THEN 2 ELSE 3 END AS kind FROM g),
+t AS (SELECT page_id, cell, [sum(v + 1), coalesce(sum(size) FILTER (kind = 1), 0), coalesce(sum(size) FILTER (kind = 2), 0), coalesce(sum(size) FILTER (kind = 3), 0)] AS t FROM k GROUP BY ALL),
+e AS (SELECT page_id, unnest(range(64)) AS j FROM pages), u AS (SELECT e.page_id, j, coalesce(t[j % 4 + 1], 0)::DOUBLE AS u FROM e LEFT JOIN t ON e.page_id = t.page_id AND j // 4 = cell),
+l AS (SELECT page_id, sqrt(sum(u * u)) AS l FROM u GROUP BY page_id)
+SELECT page_id, string_agg(floor(u / l * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT::VARCHAR, ',' ORDER BY j) AS numbers, TRUE AS fine FROM u JOIN l USING (page_id) GROUP BY page_id"""
 _INSTRUCT = texts.instruct("context", "query")
 ORACLE_SQL = {
     "system_info_upsert": "SELECT arg_max(lang, doc_id) FILTER (doc_id % 3 = 0) AS mode, arg_max(source, doc_id) FILTER (doc_id % 4 = 1) AS model, arg_max(n_chars, doc_id) FILTER (doc_id % 5 = 2) AS dim FROM documents",
@@ -297,6 +335,7 @@ ORACLE_SQL = {
     "storage_paths": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '.md' ELSE '/inside/' || source || '.md' END AS path FROM documents",
     "discover_reasons": f"{_F} SELECT doc_id, ext, {_REASON.format(chr(87) + 'HEN image THEN ' + repr('images need multimodal mode'))} AS text, {_REASON.format('')} AS multimodal FROM k",
     "image_documents": "SELECT 'p/i' || doc_id || '.png' AS source, 'i' || doc_id AS title, 'Image: i' || doc_id || chr(10) || 'Description: Image file: i' || doc_id || chr(10) || 'Dimensions: ' || n_chars || 'x' || doc_id || chr(10) || 'Format: PNG' AS content, 'image' AS content_type, NULL::VARCHAR AS error FROM documents",
+    "image_vectors": _IMAGE,
     "text_documents": "WITH d AS (SELECT doc_id, doc_id % 5 = 0 AS blank, 't/d' || doc_id || '.txt' AS source, source AS s, text FROM documents) SELECT source, CASE WHEN blank THEN 'd' || doc_id ELSE 'On ' || s END AS title, CASE WHEN blank THEN ' ' || chr(10) ELSE 'Preface' || chr(10) || ' #  On ' || s || '  ' || chr(10) || text END AS content, 'text' AS content_type, CASE WHEN blank THEN 'no content in ' || source END AS error FROM d",
     "mode_filter": f"WITH k AS (SELECT doc_id, {_pick('doc_id', ['text', 'text/html', 'image', 'pdf', None, 'audio'])} AS content_type FROM documents) SELECT *, CASE WHEN content_type IN ('image', 'audio') OR content_type IS NULL THEN 'not taken in text mode: ' || coalesce(content_type, 'unknown') END AS reason FROM k",
     "embedding_kinds": "SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 3) THEN 'image' ELSE 'text' END AS kind FROM documents",

@@ -112,8 +112,11 @@ def image_size(content: Column) -> Column:
     return run(content)
 
 
-def documents(files: DataFrame, caption: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(source, title, content, content_type, error) of discovered files. Images become texts about them, with a caption if a function is given."""
+def documents(files: DataFrame, caption: Callable[[Column], Column] | None = None, data: bool = False) -> DataFrame:
+    """(source, title, content, content_type, error) of discovered files. Images become texts about them, with a caption if a function is given.
+
+    ``data``: with a column of that name, the bytes of images, for embedders of images.
+    """
     ok = files.where("reason IS NULL")
     plain = F.decode(F.col("content"), "UTF-8")
     read = (
@@ -128,9 +131,9 @@ def documents(files: DataFrame, caption: Callable[[Column], Column] | None = Non
         "\n", F.concat(F.lit("Image: "), name), F.concat(F.lit("Description: "), described),
         F.concat(F.lit("Dimensions: "), size["width"], F.lit("x"), size["height"]), F.concat(F.lit("Format: "), F.upper(F.substring("ext", 2, 10))),
     )
-    out = ok.select(F.col("path").alias("source"), F.when(image, about).otherwise(read).alias("content"), F.when(image, "image").when(F.col("ext").isin(".pdf", ".docx"), F.substring("ext", 2, 10)).otherwise("text").alias("content_type"))
+    out = ok.select(F.col("path").alias("source"), F.when(image, about).otherwise(read).alias("content"), F.when(image, "image").when(F.col("ext").isin(".pdf", ".docx"), F.substring("ext", 2, 10)).otherwise("text").alias("content_type"), *[F.when(image, F.col("content")).alias("data")] * data)
     error = F.when(F.coalesce(rules.trim(F.col("content")), F.lit("")) == "", F.concat(F.lit("no content in "), F.col("source")))
-    return out.select("source", rules.title(F.coalesce("content", F.lit("")), F.col("source")).alias("title"), "content", "content_type", error.alias("error"))
+    return out.select("source", rules.title(F.coalesce("content", F.lit("")), F.col("source")).alias("title"), "content", "content_type", error.alias("error"), *["data"] * data)
 
 
 def from_memory(rows: DataFrame, name: str = "display_name", content: str = "content") -> DataFrame:
