@@ -149,7 +149,9 @@ def _drawn(pages: DataFrame) -> DataFrame:
 
 def image_vectors(spark, sf_dir: str) -> DataFrame:
     """Vectors of the images that ``pages`` make, from their bytes; numbers in millionths."""
-    docs = sources.documents(sources.from_memory(_drawn(read(spark, sf_dir, "pages"))), data=True).drop("error")
+    path = scratch.folder(spark, "images")  # drawn once, read by column
+    sources.documents(sources.from_memory(_drawn(read(spark, sf_dir, "pages"))), data=True).drop("error").write.parquet(path)
+    docs = spark.read.parquet(path)
     config = ingest.Config(mode="multimodal")
     clean, _ = ingest.prepared(docs, config)
     made = ingest.embedded(ingest.chunked(clean, config), images=image.describe, data=clean)
