@@ -16,6 +16,8 @@ import numpy as np
 
 #: Pixels in a band; the longest row, in bytes; pixels that an interlaced image may have.
 BAND, MOST_ROW, MOST_INTERLACED = 1 << 18, 1 << 24, 1 << 26
+#: Bytes of an anti-diagonal from which on its bytes are found at once.
+DIAGONAL = 128
 #: Cells of a descriptor to a side, and sums of a cell.
 GRID, SUMS = 4, 4
 #: First bytes of a PNG; samples of a pixel by its colour type; first column, first row and steps of the passes of an interlaced image.
@@ -41,8 +43,8 @@ def guesses(kinds: np.ndarray, left: np.ndarray, up: np.ndarray, corner: np.ndar
 def unfiltered(raw: np.ndarray, step: int, above: np.ndarray) -> np.ndarray:
     """The bytes of filtered rows (the first of each is its filter), given the row above; ``step`` bytes are a pixel.
 
-    Rows whose filter looks to one side only are summed at once. From the first to the last of the others, a byte waits for the one to its left and the
-    ones above, so all bytes of an anti-diagonal are found at once, whatever the filters of their rows.
+    Rows whose filter looks to one side only are summed at once. For the others a byte waits for the one to its left and the ones above. Where
+    anti-diagonals are long, all bytes of one are found at once, whatever the filters of their rows; where they are short, a byte at a time.
     """
     kinds, n, width = raw[:, 0], len(raw), raw.shape[1] - 1
     if kinds.max(initial=0) > 4:
@@ -51,6 +53,8 @@ def unfiltered(raw: np.ndarray, step: int, above: np.ndarray) -> np.ndarray:
     out[0, step:], out[1:, step:] = above, raw[:, 1:]
     hard = np.flatnonzero(kinds > 2)
     begin, end = (hard[0], hard[-1] + 1) if hard.size else (n, n)
+    if min((end - begin) * step, width) < DIAGONAL:
+        begin, end, hard = n, n, hard[:0]
     for y in chain(range(begin), range(end, n)):
         if y == end:
             _diagonals(out.reshape(n + 1, -1, step), kinds, begin, end)
@@ -59,11 +63,27 @@ def unfiltered(raw: np.ndarray, step: int, above: np.ndarray) -> np.ndarray:
             row[:] = np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
         elif kinds[y] == 2:
             row[:] = (row + out[y, step:]) & 255
+        elif kinds[y] > 2:
+            row[:] = _bytewise(int(kinds[y]), row.tolist(), out[y].tolist(), step)
     if end == n and hard.size:
         _diagonals(out.reshape(n + 1, -1, step), kinds, begin, end)
     return out[1:, step:].astype(np.uint8)
 
 
+def _bytewise(kind: int, row: list[int], above: list[int], step: int) -> list[int]:
+    """A row of filter 3 or 4; ``above`` begins with a pixel of zeros."""
+    out = [0] * step
+    if kind == 3:
+        for x, left, up in zip(row, out, above[step:], strict=False):  # ``out`` grows while it is read
+            out.append((x + ((left + up) >> 1)) & 255)
+        return out[step:]
+    for x, left, up, corner in zip(row, out, above[step:], above, strict=False):
+        by_left, by_up = abs(up - corner), abs(left - corner)
+        by_corner = abs(left + up - 2 * corner)
+        out.append((x + (left if by_left <= by_up and by_left <= by_corner else up if by_up <= by_corner else corner)) & 255)
+    return out[step:]
+
+
 def _diagonals(out: np.ndarray, kinds: np.ndarray, begin: int, end: int) -> None:
     across, n = out.shape[1] - 1, end - begin
     for t in range(n + across - 1):

@@ -119,9 +119,10 @@ def documents(files: DataFrame, caption: Callable[[Column], Column] | None = Non
     """
     ok = files.where("reason IS NULL")
     plain = F.decode(F.col("content"), "UTF-8")
+    only = lambda ext: F.when(F.col("ext") == ext, F.col("content"))  # noqa: E731 - Python gets the bytes of these files alone
     read = (
-        F.when(F.col("ext") == ".docx", _udf(docx_text, "string")(F.col("content")))
-        .when(F.col("ext") == ".pdf", _udf(pdf_text, "string")(F.col("content"))).otherwise(plain)
+        F.when(F.col("ext") == ".docx", _udf(docx_text, "string")(only(".docx")))
+        .when(F.col("ext") == ".pdf", _udf(pdf_text, "string")(only(".pdf"))).otherwise(plain)
     )
     name = rules.basename(F.col("path"))
     image = F.col("ext").isin(*IMAGES)

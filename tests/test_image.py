@@ -42,8 +42,10 @@ def decoded(content):
     return out
 
 
-def test_filters_against_a_plain_decoder(monkeypatch):
+@pytest.mark.parametrize("diagonal", [1, 30, 10**9])
+def test_filters_against_a_plain_decoder(monkeypatch, diagonal):
     monkeypatch.setattr(image, "BAND", 40)  # several bands an image
+    monkeypatch.setattr(image, "DIAGONAL", diagonal)
     rng = random.Random(1)
     for colour, depth in [(0, 8), (0, 16), (2, 8), (2, 16), (4, 8), (6, 8), (6, 16)]:
         for height, width in [(1, 1), (7, 5), (23, 9), (5, 60)]:
