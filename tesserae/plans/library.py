@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import image, mime, text
-from tesserae.operators import catalog, chunking, contents, embedding, ingest, knn, prompt, registry, rerank, scratch, store
+from tesserae.operators import catalog, chunking, contents, embedding, ingest, knn, pipeline, prompt, registry, rerank, scratch, store
 from tesserae.plans import texts
 from tesserae.plans.catalog import files, read
 from tesserae.sources import files as sources
@@ -260,6 +261,23 @@ def rerank_fallback(spark, sf_dir: str) -> DataFrame:
     return rerank.rerank(texts.results(spark, sf_dir), "cross-encoder", logits=lambda r: r.withColumn("logit", logit)).select("query_id", "id", "score", "rank")
 
 
+def _near_in_length(rows: pd.DataFrame) -> list[float]:
+    """A strategy of its own that takes no queries of an odd length."""
+    if (rows["query"].str.len() % 2 == 1).any():
+        raise ValueError("an odd query")
+    return (1 / (1 + (rows["content"].str.len() - rows["query"].str.len()).abs())).tolist()
+
+
+def search_plugged(spark, sf_dir: str) -> DataFrame:
+    """A search with a registered strategy, which fails for some queries: their results keep their order."""
+    pipeline.register("near in length", _near_in_length)
+    chosen = pipeline.SearchPipeline(strategy="near in length", k=3, candidates=texts.K)
+    vectors = texts.embedded(spark, sf_dir).select(F.col("doc_id").alias("id"), "embedding")
+    contents_ = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("title"), "source", F.lit("text").alias("content_type"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return chosen.run(vectors, contents_, asked).select("query_id", "id", "score", "rank", "used_fallback")
+
+
 def cross_modal_presets(spark, sf_dir: str) -> DataFrame:
     rows = texts.results(spark, sf_dir).withColumn("query_type", F.lit("text")).withColumn("similarity", F.round(F.col("score") * 0.9 + 0.05, 6))
     out = None
@@ -290,7 +308,7 @@ QUERIES = {
     for f in (
         system_info_upsert, catalog_merge, content_by_hash, content_by_storage, content_by_id, content_insert, content_refused, content_directory, known_ids, store_repair,
         missing_files, size_readable, operation_metrics, storage_paths, discover_reasons, image_documents, image_vectors, text_documents, mode_filter, embedding_kinds,
-        fence_aliases, ingest_summary, ingest_duplicates, ingest_chunks, embed_failures, word_chunks, paragraph_chunks, search_with_vector, rerank_fallback,
+        fence_aliases, ingest_summary, ingest_duplicates, ingest_chunks, embed_failures, word_chunks, paragraph_chunks, search_with_vector, rerank_fallback, search_plugged,
         cross_modal_presets, cross_modal_semantic, answer_generate, prompt_attributed,
     )
 }
@@ -352,6 +370,7 @@ SELECT doc_id, k::INT AS chunk_index, array_to_string(w[30 * k + 1 : 30 * k + 40
     "paragraph_chunks": f"WITH p AS (SELECT doc_id, CASE WHEN lang = 'es' THEN replace(regexp_replace(text, '[.!?]', '', 'g'), chr(10), chr(10) || ' ' || chr(10)) ELSE array_to_string({_PARAS}, chr(10) || chr(10)) END AS content FROM documents) SELECT doc_id, 0 AS chunk_index, content, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> ''))::INT AS token_count FROM p WHERE content <> ''",
     "search_with_vector": f"{texts._SEARCH}, a AS (SELECT i, x FROM q WHERE id = (SELECT min(item_id) FROM benchmark)), t AS (SELECT doc_id, source, coalesce((SELECT round(sum(a.x * d.x), 6) FROM a JOIN d ON a.i = d.i WHERE d.id = doc_id), 0.0) AS score FROM documents WHERE lang = 'de') SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score, round(1 - score, 6) AS distance, source FROM t ORDER BY score DESC, doc_id LIMIT 7",
     "rerank_fallback": f"{texts._SEARCH}, p AS (SELECT *, round(1 / (1 + exp(-(ln(length(content) + 1) - 7))), 6) AS p FROM r), n AS (SELECT query_id, id, CASE WHEN query_id % 2 = 1 THEN score WHEN max(p) OVER (PARTITION BY query_id) - min(p) OVER (PARTITION BY query_id) < 0.1 THEN round(least(1.0::DOUBLE, score + {texts._bonus('content')}), 6) ELSE p END AS score FROM p) {texts._RANK}",
+    "search_plugged": f"{texts._SEARCH}, p AS (SELECT query_id, id, length(query) % 2 = 1 AS odd, CASE WHEN length(query) % 2 = 1 THEN score ELSE round(1::DOUBLE / (1 + abs(length(content) - length(query))), 6) END AS score FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM p) SELECT query_id, id, score, rank, odd AS used_fallback FROM n WHERE rank <= 3",
     "cross_modal_presets": f"{texts._SEARCH}, m AS (SELECT query_id, id, content_type, CASE WHEN content_type = 'image' THEN greatest(0, round(score * 0.9::DOUBLE + 0.05::DOUBLE, 6)) ELSE score END AS score FROM r), k AS (SELECT unnest(['images by text', 'texts by image', 'unified']) AS preset), n AS (SELECT preset, query_id, id, score FROM m, k WHERE CASE preset WHEN 'images by text' THEN content_type = 'image' WHEN 'texts by image' THEN content_type = 'text' ELSE TRUE END AND (content_type <> 'image' OR score >= 0.2)) SELECT preset, query_id, id, score, row_number() OVER (PARTITION BY preset, query_id ORDER BY score DESC, id)::INT AS rank FROM n",
     "cross_modal_semantic": f"{texts._SEARCH} SELECT query_id, id, CASE WHEN id IN (SELECT id FROM d) AND query_id IN (SELECT id FROM q) THEN s END AS similarity FROM {_COSINE}",
     "answer_generate": texts._context("(2048 - 512 - 150 - ceil(length(query) / 4.0))", "r WHERE rank <= 3") + f", a AS (SELECT *, {_INSTRUCT} AS p FROM g) SELECT query_id, 'This prompt has ' || length(p) || ' characters.' AS response, included, truncated, (ceil(length(p) / 4.0) + ceil(length('This prompt has ' || length(p) || ' characters.') / 4.0))::BIGINT AS tokens_used FROM a",
