@@ -117,7 +117,7 @@ def found_files(spark, sf_dir: str) -> DataFrame:
     first = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("89504E470D0A1A0A", "FFD8FFE0", "474946383961")]), (F.col("doc_id") % 3 + 1).cast("int"))
     content = F.concat(first, F.encode("text", "UTF-8"))
     rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("in/d"), "doc_id", ext).alias("path"), content.alias("content"))
-    return rows.withColumns({"ext": text.extension(F.col("path")), "length": F.octet_length("content") * F.when(F.col("doc_id") % 11 == 0, 40_000).otherwise(1)})
+    return rows.withColumns({"ext": text.extension(F.col("path")), "length": F.octet_length("content").cast("long") * F.when(F.col("doc_id") % 11 == 0, 40_000).otherwise(1)})
 
 
 def discover_reasons(spark, sf_dir: str) -> DataFrame:
