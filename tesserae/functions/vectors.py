@@ -44,6 +44,12 @@ def normalized(a: Column) -> Column:
     return F.when(m > 0, F.transform(a, lambda x: x.cast("double") / m)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Rounded, half away from zero; a negative number that rounds to nothing stays -0.0, as in IEEE arithmetic (Spark's ``round`` drops the sign)."""
+    out = F.round(x, digits)
+    return F.when(out == 0, x * F.lit(0.0)).otherwise(out)
+
+
 def problem(a: Column) -> Column:
     """Why a vector can't be indexed: 'empty', 'not finite', 'all zero', 'too short'; null if it can."""
     finite = F.forall(a, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))

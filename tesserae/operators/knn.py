@@ -22,7 +22,7 @@ def top_k(rows: DataFrame, query: list[float], k: int = 10, key: str = "vec_id",
     if k < 1:
         raise ValueError("k must be positive")
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.select(key, F.round(vectors.cosine(F.col(column), q), 6).alias("score"))
+    scored = rows.select(key, vectors.rounded(vectors.cosine(F.col(column), q)).alias("score"))
     best = scored.orderBy(F.desc("score"), key).limit(k)
     return best.select(key, "score", F.round(1 - F.col("score"), 6).alias("distance"), F.row_number().over(W.orderBy(F.desc("score"), key)).alias("rank"))
 

@@ -75,7 +75,7 @@ def semantic(results: DataFrame, embed, column: str = "content") -> DataFrame:
     """Adds ``similarity``, the cosine of the query's and the content's vectors, both embedded here; null where one can't be."""
     both = embedding.embed(embedding.embed(results, "query", embed, "_q"), column, embed, "_c")
     fine = vectors.problem(F.col("_q")).isNull() & vectors.problem(F.col("_c")).isNull()
-    near = F.when(fine, F.round(vectors.cosine(F.col("_q"), F.col("_c")), 6))
+    near = F.when(fine, vectors.rounded(vectors.cosine(F.col("_q"), F.col("_c"))))
     return both.withColumn("similarity", near).drop("_q", "_c", "_q_error", "_c_error")
 
 

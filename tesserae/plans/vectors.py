@@ -23,7 +23,7 @@ def _against_first(function):
     def run(spark, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir)
         q = F.array(*[F.lit(float(x)) for x in first(rows)])
-        return rows.select("vec_id", F.round(function(F.col("embedding"), q), 6).alias("value"))
+        return rows.select("vec_id", fn.rounded(function(F.col("embedding"), q)).alias("value"))
 
     return run
 
@@ -33,7 +33,7 @@ def magnitudes(spark, sf_dir: str) -> DataFrame:
 
 
 def normalized(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir).select("vec_id", F.transform(fn.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("value"))
+    return table(spark, sf_dir).select("vec_id", F.transform(fn.normalized(F.col("embedding")), lambda x: fn.rounded(x)).alias("value"))
 
 
 def validated(spark, sf_dir: str) -> DataFrame:

@@ -30,3 +30,11 @@ def test_discover_reasons_of_long_texts(beside_sql):
     """Lengths beyond an int."""
     rows = [(k, "x" * n, "en", "s", n) for k, n in ((0, 60_000), (11, 60_000), (13, 9), (22, 70_000), (33, 100), (44, 0), (77, 80_000))]
     assert sum("file too large" in r for r in beside_sql("discover_reasons", "documents", rows, DOCUMENTS)) == 3
+
+
+@pytest.mark.parametrize("name", ["vec_normalize", "vec_cosine", "vec_dot", "vec_euclidean", "knn_single"])
+def test_signs_of_values_near_zero(beside_sql, name):
+    """What rounds to zero from below is -0.0, as it is in SQL."""
+    rows = [(0, [1.0, 0.0], 0), (1, [-1e-8, 1.0], 1), (2, [1e-8, 1.0], 1), (3, [-0.0, 2.0], 1), (4, [-1.0, -3e-7], 1)]
+    said = beside_sql(name, "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    assert any("-0.0" in r for r in said) or name == "vec_euclidean"
