@@ -3,7 +3,10 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from tesserae.functions import markup
 
 
 @pytest.fixture
@@ -38,3 +41,33 @@ def test_signs_of_values_near_zero(beside_sql, name):
     rows = [(0, [1.0, 0.0], 0), (1, [-1e-8, 1.0], 1), (2, [1e-8, 1.0], 1), (3, [-0.0, 2.0], 1), (4, [-1.0, -3e-7], 1)]
     said = beside_sql(name, "embeddings", rows, "vec_id long, embedding array<float>, label int")
     assert any("-0.0" in r for r in said) or name == "vec_euclidean"
+
+
+def sent_to_python(df) -> int:
+    """Bytes that a plan without exchanges gives to Python."""
+    df.collect()
+    left, total = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        plan = left.pop()
+        metric = plan.metrics().get("pythonDataSent")
+        total += metric.get().value() if metric.isDefined() else 0
+        left += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """200 texts, 4 million characters; a diagram in each."""
+    return spark.range(200).selectExpr("id", "concat('```mermaid\nA --> B\n```\n', repeat('plain words. ', 1500)) AS t").coalesce(1)
+
+
+def test_python_gets_diagrams_without_the_texts_around_them(long_texts):
+    out = long_texts.select(markup.diagrams_column(F.col("t")).alias("t"))
+    assert sent_to_python(out) < 100_000
+    assert {r.t for r in out.collect()} == {"A leads to B\n" + "plain words. " * 1500}
+
+
+def test_diagrams_column_equals_the_plain_function(spark):
+    texts = ["", "a", "```mermaid```", "```MerMaid\nA --> B```x```mermaid\nA --- B\n```", "```mermaid\nA --> B", "$1 \\ ```mermaid\nA[$1\\] --> B\n```\n\n\nz ```js\n```", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", markup.diagrams_column(F.col("t")).alias("t")).collect()
+    assert {r.k: r.t for r in got} == {k: None if t is None else markup.diagrams(t) for k, t in enumerate(texts)}
