@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,20 +27,38 @@ DIAGRAM = (
 )
 
 
+#: Words one of which each of these patterns needs (in lower case for diagrams): texts without any aren't searched by pattern.
+JSX_WORDS = ("<", "{", "import", "export")
+DIAGRAM_WORDS = ("```mermaid", "graph", "flowchart", "diagram", "journey", "gantt", "title")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def any_word(text: Column, words: tuple[str, ...]) -> Column:
+    return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
 def any_match(text: Column, patterns: tuple[str, ...], ignore_case: bool = False) -> Column:
     return text.rlike(("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns))
 
 
 def has_jsx(text: Column) -> Column:
-    return any_match(text, JSX)
+    return any_word(text, JSX_WORDS) & any_match(text, JSX)
 
 
 def has_diagram(text: Column) -> Column:
-    return any_match(text, DIAGRAM, True)
+    return bound(F.lower(text), lambda x: any_word(x, DIAGRAM_WORDS)) & any_match(text, DIAGRAM, True)
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_extract(text, r"(?s)^\s*(\S(?:.*\S)?)", 1)
+
+
+def blank(text: Column) -> Column:
+    return ~text.rlike(r"\S")
 
 
 def basename(path: Column) -> Column:
@@ -92,8 +113,7 @@ def strip_diagrams(content: Column, mode: str = "strip") -> Column:
     block = r"(?i)```mermaid[\s\S]*?```"
     if mode == "placeholder":
         return collapse_blank_lines(F.regexp_replace(content, block, "[diagram removed]"))
-    out = collapse_blank_lines(F.regexp_replace(content, block, ""))
-    return F.when(out == "", "[content removed]").otherwise(out)
+    return bound(collapse_blank_lines(F.regexp_replace(content, block, "")), lambda out: F.when(out == "", "[content removed]").otherwise(out))
 
 
 def safe_lines(content: Column) -> Column:

@@ -67,6 +67,11 @@ def test_python_gets_diagrams_without_the_texts_around_them(long_texts):
     assert {r.t for r in out.collect()} == {"A leads to B\n" + "plain words. " * 1500}
 
 
+@pytest.mark.parametrize("mode", list(markup.MODES))
+def test_python_gets_no_text_that_is_not_mdx(long_texts, mode):
+    assert sent_to_python(long_texts.select(markup.preprocess(F.col("t"), F.lit("markdown"), mode).alias("t"))) < 100_000
+
+
 def test_diagrams_column_equals_the_plain_function(spark):
     texts = ["", "a", "```mermaid```", "```MerMaid\nA --> B```x```mermaid\nA --- B\n```", "```mermaid\nA --> B", "$1 \\ ```mermaid\nA[$1\\] --> B\n```\n\n\nz ```js\n```", None]
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", markup.diagrams_column(F.col("t")).alias("t")).collect()
