@@ -49,9 +49,10 @@ def prepared(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(source, title, content, content_type) documents that the mode takes, preprocessed, with their ids; and the others, with reasons."""
     fit, unfit = files.in_mode(docs, config.mode)
     ids = fit.withColumn("document_id", document_id(F.col("source")))
-    kind = text.language(F.col("content"), F.col("source"))
-    clean = F.when(F.col("content_type") == "image", F.col("content")).otherwise(markup.preprocess(F.col("content"), kind, config.preprocessing))
-    return ids.withColumn("content", clean), unfit.select("source", "reason")
+    text_ = F.when(F.col("content_type") == "image", None).otherwise(F.col("content"))
+    ids = ids.withColumn("_kind", text.language(text_, F.col("source")))  # told once
+    clean = F.when(F.col("content_type") == "image", F.col("content")).otherwise(markup.preprocess(F.col("content"), F.col("_kind"), config.preprocessing))
+    return ids.withColumn("content", clean).drop("_kind"), unfit.select("source", "reason")
 
 
 def last_of_each(ready: DataFrame, order: str | None = None) -> DataFrame:

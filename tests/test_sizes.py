@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tesserae.functions import markup
+from tesserae.operators import ingest
 
 
 @pytest.fixture
@@ -72,6 +73,11 @@ def test_python_gets_no_text_that_is_not_mdx(long_texts, mode):
     assert sent_to_python(long_texts.select(markup.preprocess(F.col("t"), F.lit("markdown"), mode).alias("t"))) < 100_000
 
 
+def test_preparing_documents_sends_plain_ones_nowhere(long_texts):
+    docs = long_texts.selectExpr("concat('d/', id, '.txt') AS source", "'' AS title", "t AS content", "'text' AS content_type")
+    assert sent_to_python(ingest.prepared(docs, ingest.Config(preprocessing="balanced"))[0]) < 100_000
+
+
 def test_diagrams_column_equals_the_plain_function(spark):
     texts = ["", "a", "```mermaid```", "```MerMaid\nA --> B```x```mermaid\nA --- B\n```", "```mermaid\nA --> B", "$1 \\ ```mermaid\nA[$1\\] --> B\n```\n\n\nz ```js\n```", None]
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", markup.diagrams_column(F.col("t")).alias("t")).collect()
