@@ -4,31 +4,50 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 Embed = Callable[[list[str]], np.ndarray]
 
 
+_word, _between = re.compile(r"[a-z0-9]+"), re.compile(r"[^a-z0-9]")
+#: Characters whose words are counted at a time.
+PART = 1 << 18
+
+
 @lru_cache(200_000)
 def _place(word: str, dim: int) -> tuple[int, float]:
     digest = hashlib.md5(word.encode()).hexdigest()
     return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
 
 
+def _words(text: str) -> Counter[str]:
+    """How often each word occurs; a long text's words are never in memory all at once."""
+    text, out, at = text.lower(), Counter(), 0
+    while at < len(text):
+        end = _between.search(text, at + PART) if len(text) - at > PART else None
+        to = end.start() if end else len(text)
+        out.update(_word.findall(text, at, to))
+        at = to
+    return out
+
+
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """Signed counts of hashed words, divided by their length. A text without words is the zero vector."""
     out = np.zeros((len(texts), dim))
-    said = [re.findall(r"[a-z0-9]+", (text or "").lower()) for text in texts]
+    said = [_words(text or "") for text in texts]
     known = {word: k for k, word in enumerate(dict.fromkeys(word for words in said for word in words))}
     if known:
         at, sign = (np.array(x) for x in zip(*(_place(word, dim) for word in known), strict=True))
         word = np.fromiter((known[w] for words in said for w in words), np.int64)
-        np.add.at(out, (np.repeat(np.arange(len(texts)), [len(words) for words in said]), at[word]), sign[word])
+        times = np.fromiter((n for words in said for n in words.values()), np.float64)
+        np.add.at(out, (np.repeat(np.arange(len(texts)), [len(words) for words in said]), at[word]), sign[word] * times)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0)
 
@@ -37,8 +56,23 @@ def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
 BATCHES = {"text": 256, "image": 4}
 
 
+#: Bytes that a function gets at a time, unless a single text or image has more.
+MOST_BYTES = 4 << 20
+
+
+def portions(rows: pa.RecordBatch, column: str, most: int, most_bytes: int = MOST_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows, up to ``most`` and ``most_bytes`` bytes of a column at a time, a row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < rows.num_rows:
+        full = int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, "right"))
+        to = min(max(full, at + 1), at + most)
+        yield rows.slice(at, to - at)
+        at = to
+
+
 def embed(rows: DataFrame, text: str, function: Embed = hash_embed, column: str = "embedding", batch: int = BATCHES["text"], keep: bool = True) -> DataFrame:
-    """The input with a vector per row; ``function`` gets lists of up to ``batch`` texts, or bytes if the column holds these. A batch that fails is
+    """The input with a vector per row; ``function`` gets lists of up to ``batch`` texts of ``MOST_BYTES`` together, or bytes if the column holds these. A batch that fails is
     tried text by text; a text that fails has a null vector and the error's text in ``embedding_error``. ``keep``: whether the text's column stays."""
 
     kinds = dict(rows.dtypes)
@@ -53,14 +87,13 @@ def embed(rows: DataFrame, text: str, function: Embed = hash_embed, column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
+            for part in portions(b, text, batch):
                 texts = [t or nothing for t in part.column(text).to_pylist()]
                 try:
                     made = [(v, None) for v in function(texts)]
                 except Exception:
                     made = [one(t) for t in texts]
-                vectors = pa.array([None if v is None else np.asarray(v, np.float64).tolist() for v, _ in made], pa.list_(pa.float64()))
+                vectors = pa.array([None if v is None else np.asarray(v, np.float64) for v, _ in made], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*map(part.column, stay), vectors, pa.array([e for _, e in made], pa.string())], names=[*stay, column, f"{column}_error"])
 
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in stay) + f", `{column}` array<double>, `{column}_error` string"
