@@ -12,7 +12,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tesserae.operators import embedding
+
 Count = Callable[[str], int]
+#: Bytes of texts that are chunked at a time, unless a single one has more.
+PART = 1 << 20
 
 
 def count_words(text: str) -> int:
@@ -41,6 +45,25 @@ def split_sentences(text: str) -> list[str]:
     return [s for x in re.split(r"(?<=[.!?])\s+", text) if (s := x.strip())]
 
 
+class Remembered:
+    """A counter that is asked about each string of a document once."""
+
+    def __init__(self, count: Count) -> None:
+        self.count, self.known, self.overhead = count, {}, getattr(count, "overhead", None)
+
+    def __call__(self, text: str) -> int:
+        if text not in self.known:
+            self.known[text] = self.count(text)
+        return self.known[text]
+
+    def told(self, joined: Joined) -> str:
+        """The text of joined parts, whose tokens are known if they add up."""
+        text = joined.text()
+        if self.overhead is not None:
+            self.known[text] = joined.tokens
+        return text
+
+
 class Joined:
     """Parts joined by one string, and their tokens. A counter that adds up (``overhead``) is asked about each part, any other about the whole."""
 
@@ -82,6 +105,7 @@ def split_words(text: str, size: int, overlap: int, count: Count = count_words)
 
     Where the overlap and the next word would not fit together, the overlap is dropped, so the split always moves on.
     """
+    told = getattr(count, "told", Joined.text)
     words, out, now, carried = text.split(), [], Joined(" ", count), 0
     i = 0
     while i < len(words):
@@ -90,7 +114,7 @@ def split_words(text: str, size: int, overlap: int, count: Count = count_words)
             now.add(words[i], tokens)
             i += 1
         elif len(now.parts) > carried:
-            out.append(now.text())
+            out.append(told(now))
             now = now.tail(overlap, True) if overlap else Joined(" ", count)
             carried = len(now.parts)
         elif now.parts:
@@ -98,11 +122,12 @@ def split_words(text: str, size: int, overlap: int, count: Count = count_words)
         else:
             out.append(words[i])
             i += 1
-    return [*out, now.text()] if now.parts else out
+    return [*out, told(now)] if now.parts else out
 
 
 def segments(text: str, size: int, count: Count = count_words) -> list[str]:
     """Paragraphs that fit, and groups of sentences of those that don't; a sentence that doesn't fit stands alone."""
+    told = getattr(count, "told", Joined.text)
     out: list[str] = []
     for paragraph in split_paragraphs(text):
         if count(paragraph) <= size:
@@ -112,57 +137,71 @@ def segments(text: str, size: int, count: Count = count_words) -> list[str]:
         for sentence in split_sentences(paragraph):
             own = count(sentence)
             if own > size or (group.parts and group.with_(sentence, own) > size):
-                out += [group.text()] * bool(group.parts)
+                out += [told(group)] * bool(group.parts)
                 group = Joined(" ", count)
             if own > size:
                 out.append(sentence)
             else:
                 group.add(sentence, group.with_(sentence, own))
-        out += [group.text()] * bool(group.parts)
+        out += [told(group)] * bool(group.parts)
     return out
 
 
 def pack(parts: list[str], config: ChunkConfig, count: Count = count_words) -> list[str]:
     """Segments joined by blank lines up to the size. The next chunk begins with the last sentences of the one before, which may push it over the size."""
+    told = getattr(count, "told", Joined.text)
     out: list[str] = []
     now = Joined("\n\n", count)
     for part in parts:
         own = count(part)
         if own > config.size:
-            out += [now.text()] * bool(now.parts)
+            out += [told(now)] * bool(now.parts)
             out += split_words(part, config.size, config.overlap, count)
             now = Joined("\n\n", count)
             continue
         if now.parts and now.with_(part, own) > config.size:
-            out.append(now.text())
+            out.append(told(now))
             said = Joined(" ", count)
-            said.parts = split_sentences(now.text()) if config.overlap else []
+            said.parts = split_sentences(out[-1]) if config.overlap else []
             kept = said.tail(config.overlap, False)
             now = Joined("\n\n", count)
             if kept.parts:
                 now.add(kept.text(), count(kept.text()))
         now.add(part, now.with_(part, own))
-    return out + [now.text()] * bool(now.parts)
+    return out + [told(now)] * bool(now.parts)
 
 
 def chunk_text(text: str | None, config: ChunkConfig, count: Count = count_words) -> list[str]:
-    return pack(segments(text or "", config.size, count), config, count)
+    return [c for c, _ in counted_chunks(text, config, count)]
+
+
+def counted_chunks(text: str | None, config: ChunkConfig, count: Count = count_words) -> list[tuple[str, int]]:
+    """Chunks and their tokens."""
+    count = Remembered(count)
+    return [(c, count(c)) for c in pack(segments(text or "", config.size, count), config, count)]
 
 
-def chunk(docs: DataFrame, key: str, text: str = "text", config: ChunkConfig | None = None, kind: str | None = None, count: Count = count_words) -> DataFrame:
-    """(key, chunk_index, content, token_count), a row per chunk. Rows whose content type (column ``kind``) is image are one chunk each."""
+def chunk(docs: DataFrame, key: str, text: str = "text", config: ChunkConfig | None = None, kind: str | None = None, count: Count = count_words, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, chunk_index, content, token_count, columns to ``keep``), a row per chunk. Rows whose content type (column ``kind``) is image are one chunk each.
+
+    A counter with a method ``prepare`` is told the texts to come, some at a time.
+    """
     config = config or ChunkConfig()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            kinds = batch.column(2).to_pylist() if kind else ["text"] * len(texts)
-            each = [[t] * bool(t) if k == "image" else chunk_text(t, config, count) for t, k in zip(texts, kinds, strict=True)]
-            flat = [c for cs in each for c in cs]
-            rows = [i for i, cs in enumerate(each) for _ in cs]
-            index = [i for cs in each for i in range(len(cs))]
-            columns = [keys.take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(flat, pa.string()), pa.array([count(c) for c in flat], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "chunk_index", "content", "token_count"])
-
-    columns = [key, text, *([kind] if kind else [])]
-    return docs.select(*columns).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, chunk_index int, content string, token_count int")
+        for whole in batches:
+            for batch in embedding.portions(whole, text, 10_000, PART):
+                keys, texts = batch.column(0), batch.column(1).to_pylist()
+                kinds = batch.column(2).to_pylist() if kind else ["text"] * len(texts)
+                getattr(count, "prepare", len)(texts)
+                each = [[(t, count(t))] * bool(t) if k == "image" else counted_chunks(t, config, count) for t, k in zip(texts, kinds, strict=True)]
+                flat = [c for cs in each for c in cs]
+                rows = pa.array([i for i, cs in enumerate(each) for _ in cs], pa.int64())
+                index = [i for cs in each for i in range(len(cs))]
+                columns = [keys.take(rows), pa.array(index, pa.int32()), pa.array([c for c, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int32())]
+                columns += [batch.column(len(batch.columns) - len(keep) + i).take(rows) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "chunk_index", "content", "token_count", *keep])
+
+    kinds_ = dict(docs.dtypes)
+    columns = [key, text, *([kind] if kind else []), *keep]
+    return docs.select(*columns).mapInArrow(run, ", ".join([f"`{key}` {kinds_[key]}, chunk_index int, content string, token_count int", *[f"`{k}` {kinds_[k]}" for k in keep]]))
