@@ -36,8 +36,8 @@ class Config:
 
 
 def standard_chunks(docs: DataFrame, config: Config) -> DataFrame:
-    """(document_id, chunk_index, content, token_count) by sentences and paragraphs; images are one chunk."""
-    return chunking.chunk(docs, "document_id", "content", config.chunks, "content_type")
+    """(document_id, chunk_index, content, token_count, source, content_type) by sentences and paragraphs; images are one chunk."""
+    return chunking.chunk(docs, "document_id", "content", config.chunks, "content_type", keep=("source", "content_type"))
 
 
 def document_id(source: Column) -> Column:
@@ -73,7 +73,9 @@ def superseded(lasts: DataFrame) -> DataFrame:
 
 def chunked(clean: DataFrame, config: Config, chunker: Chunker = standard_chunks) -> DataFrame:
     """(embedding_id, document_id, source, chunk_index, content, content_type, token_count). An id tells its content type where that isn't text."""
-    parts = chunker(clean, config).join(clean.select("document_id", "source", "content_type"), "document_id")
+    parts = chunker(clean, config)
+    if lacking := [c for c in ("source", "content_type") if c not in parts.columns]:  # documents are shuffled and prepared again only for a chunker that drops these
+        parts = parts.join(clean.select("document_id", *lacking), "document_id")
     made = text.embedding_id(F.concat_ws("/", "document_id", "chunk_index", "content"))
     named = F.when(F.col("content_type") == "image", F.concat(F.lit("image_"), made)).otherwise(made)
     return parts.select(named.alias("embedding_id"), "document_id", "source", "chunk_index", "content", "content_type", "token_count")
@@ -97,12 +99,15 @@ def embedded(parts: DataFrame, embed: embedding.Embed = embedding.hash_embed, im
     return made.select("embedding_id", "document_id", "source", "content_type", F.when(bad.isNull(), F.col("embedding")).alias("embedding"), bad.alias("reason"))
 
 
-def summary(documents: DataFrame, chunks: DataFrame, made: DataFrame, unfit: DataFrame) -> DataFrame:
-    """A row of what an ingest did: documents taken, documents left out, chunks, embeddings and chunks without one."""
+def summary(documents: DataFrame, made: DataFrame, unfit: DataFrame) -> DataFrame:
+    """A row of what an ingest did: documents taken, documents left out, chunks, embeddings and chunks without one.
+
+    ``made`` has a row per chunk, so what is embedded is read once.
+    """
     names = ("documents", "skipped", "chunks", "embeddings", "errors")
-    count = lambda df, name, what=F.count("*"): df.agg(*[(what if n == name else F.lit(0)).cast("long").alias(n) for n in names])
-    parts = [count(documents, "documents"), count(unfit, "skipped"), count(chunks, "chunks")]
-    parts += [count(made, "embeddings", F.count("embedding")), count(made, "errors", F.count("*") - F.count("embedding"))]
+    count = lambda df, **what: df.agg(*[what.get(n, F.lit(0)).cast("long").alias(n) for n in names])
+    every, fine = F.count("*"), F.count("embedding")
+    parts = [count(documents, documents=every), count(unfit, skipped=every), count(made, chunks=every, embeddings=fine, errors=every - fine)]
     return functools.reduce(DataFrame.unionByName, parts).agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -299,7 +304,7 @@ class KnowledgeBase:
         if not added:
             raise EngineError("nothing was taken in, or what was has been compacted", Category.DATABASE)
         one = lambda name: self.tables.scan(name, added[-1:])
-        return summary(one("documents"), one("chunks"), one("vectors"), one("skipped"))
+        return summary(one("documents"), one("vectors"), one("skipped"))
 
     def rebuild(self, embed: embedding.Embed = embedding.hash_embed, images: embedding.Embed | None = None, data: DataFrame | None = None) -> None:
         """Vectors anew from the stored chunks, with the present model. ``data``: documents of images, with source and data, for ``images``."""

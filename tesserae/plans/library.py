@@ -186,7 +186,7 @@ def fence_aliases(spark, sf_dir: str) -> DataFrame:
 def _by_lines(docs: DataFrame, config: ingest.Config) -> DataFrame:
     """A chunking strategy of its own: a chunk per line."""
     lines = F.posexplode(F.filter(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: text.trim(x) != ""))
-    return docs.select("document_id", lines.alias("chunk_index", "content")).withColumn("token_count", text.word_tokens(F.col("content")))
+    return docs.select("document_id", "source", "content_type", lines.alias("chunk_index", "content")).withColumn("token_count", text.word_tokens(F.col("content")))
 
 
 def _library(spark, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ def ingest_summary(spark, sf_dir: str) -> DataFrame:
     config = ingest.Config(preprocessing="rich")
     clean, unfit = ingest.prepared(_library(spark, sf_dir), config)
     parts = ingest.chunked(clean, config, _by_lines)
-    return ingest.summary(clean, parts, ingest.embedded(parts), unfit)
+    return ingest.summary(clean, ingest.embedded(parts), unfit)
 
 
 def ingest_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -250,7 +250,7 @@ def _asked_vector(spark, sf_dir: str) -> list[float]:
 def search_with_vector(spark, sf_dir: str) -> DataFrame:
     """The documents of one type that are nearest to a vector at hand."""
     docs = read(spark, sf_dir, "documents")
-    rows = embedding.embed(docs.where("lang = 'de'").select("doc_id", "text"), "text").drop("text")
+    rows = embedding.embed(docs.where("lang = 'de'").select("doc_id", "text"), "text", keep=False)
     best = knn.top_k(rows, _asked_vector(spark, sf_dir), 7, "doc_id")
     return best.join(docs.select("doc_id", "source"), "doc_id").select("rank", "doc_id", "score", "distance", "source")
 
