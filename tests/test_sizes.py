@@ -1,13 +1,16 @@
 """What only larger tables hold: long texts, values near zero, many and large rows."""
 
+from collections import Counter
+
 import duckdb
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tesserae.functions import markup
-from tesserae.operators import ingest
+from tesserae.functions import markup, wordpiece
+from tesserae.operators import chunking, embedding, ingest
 
 
 @pytest.fixture
@@ -82,3 +85,47 @@ def test_diagrams_column_equals_the_plain_function(spark):
     texts = ["", "a", "```mermaid```", "```MerMaid\nA --> B```x```mermaid\nA --- B\n```", "```mermaid\nA --> B", "$1 \\ ```mermaid\nA[$1\\] --> B\n```\n\n\nz ```js\n```", None]
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", markup.diagrams_column(F.col("t")).alias("t")).collect()
     assert {r.k: r.t for r in got} == {k: None if t is None else markup.diagrams(t) for k, t in enumerate(texts)}
+
+
+def test_chunks_carry_their_document_without_a_join(spark):
+    """Documents are neither prepared again nor shuffled for what the chunker can carry."""
+    docs = spark.createDataFrame([("d/1.txt", "t", "One. Two.", "text"), ("d/2.txt", "t", "x", "image")], "source string, title string, content string, content_type string")
+    clean, unfit = ingest.prepared(docs, ingest.Config(mode="multimodal"))
+    parts = ingest.chunked(clean, ingest.Config(mode="multimodal"))
+    assert "Join" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.source, r.content, r.content_type) for r in parts.collect()) == [("d/1.txt", "One. Two.", "text"), ("d/2.txt", "x", "image")]
+    plan = ingest.summary(clean, ingest.embedded(parts), unfit)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # chunked once, embedded once
+    assert plan.first() == (2, 0, 2, 2, 0)
+
+
+def test_functions_get_portions_by_bytes():
+    rows = pa.record_batch([pa.array(["x" * n for n in (3, 3, 20, 1, 1, 1, 1, 0)] + [None])], ["t"])
+    got = [p.column(0).to_pylist() for p in embedding.portions(rows, "t", 3, 6)]
+    assert [len(p) for p in got] == [2, 1, 3, 3] and sum(got, []) == rows.column(0).to_pylist()
+
+
+def test_words_of_a_long_text_are_counted_part_by_part(monkeypatch):
+    text = "Ab cd, ef-ab " * 50 + "x" * 40
+    whole = embedding.hash_embed([text, None, ""]).tolist()
+    monkeypatch.setattr(embedding, "PART", 7)
+    assert embedding._words(text) == {"ab": 100, "cd": 50, "ef": 50, "x" * 40: 1} and embedding.hash_embed([text, None, ""]).tolist() == whole
+
+
+def test_each_string_is_counted_once():
+    """Sentences, paragraphs and chunks aren't counted again and again, and words are cut up for many texts at once."""
+    asked = Counter()
+
+    def count(text: str) -> int:
+        asked[text] += 1
+        return len(text.split())
+
+    count.overhead = 0
+    text = "\n\n".join(f"Some {k} words are here. And {k} more of them. " * (k % 7) for k in range(60))
+    made = chunking.counted_chunks(text, chunking.ChunkConfig(20, 6), count)
+    assert max(asked.values()) == 1 and all(n == len(c.split()) for c, n in made) and len(made) > 20
+    counter = wordpiece.WordPiece(["a", "##b", "c"])
+    counter.prepare(["ab c.", None, "ab, é", "x" * 200])
+    calls = []
+    counter.pieces = lambda said: calls.append(said)
+    assert counter("ab c.") == 6 and not calls
