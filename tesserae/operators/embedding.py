@@ -5,8 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,14 @@ Embed = Callable[[list[str]], np.ndarray]
 
 
 _word, _between = re.compile(r"[a-z0-9]+"), re.compile(r"[^a-z0-9]")
-#: Characters whose words are counted at a time.
+#: Characters whose words are counted at a time, in a long text or in several texts.
 PART = 1 << 18
 
 
-@lru_cache(200_000)
-def _place(word: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.md5(word.encode()).hexdigest()
-    return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+def _places(words: Iterable[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word counts, and with which sign. Nothing is kept: a corpus has more rare words than a cache holds."""
+    digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in words), np.uint8).reshape(-1, 16)
+    return digests[:, :4].copy().view(">u4").ravel().astype(np.int64) % dim, np.where(digests[:, 4] >> 4 & 1, -1.0, 1.0)
 
 
 def _words(text: str) -> Counter[str]:
@@ -38,16 +37,27 @@ def _words(text: str) -> Counter[str]:
     return out
 
 
+def _blocks(texts: list[str]) -> Iterator[slice]:
+    """Consecutive texts of about ``PART`` characters together, a text at least."""
+    at = size = 0
+    for k, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= PART or k == len(texts):
+            yield slice(at, k)
+            at, size = k, 0
+
+
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """Signed counts of hashed words, divided by their length. A text without words is the zero vector."""
     out = np.zeros((len(texts), dim))
-    said = [_words(text or "") for text in texts]
-    known = {word: k for k, word in enumerate(dict.fromkeys(word for words in said for word in words))}
-    if known:
-        at, sign = (np.array(x) for x in zip(*(_place(word, dim) for word in known), strict=True))
-        word = np.fromiter((known[w] for words in said for w in words), np.int64)
-        times = np.fromiter((n for words in said for n in words.values()), np.float64)
-        np.add.at(out, (np.repeat(np.arange(len(texts)), [len(words) for words in said]), at[word]), sign[word] * times)
+    for block in _blocks(texts):
+        said = [_words(text or "") for text in texts[block]]
+        known = {word: k for k, word in enumerate(dict.fromkeys(word for words in said for word in words))}
+        if known:
+            at, sign = _places(known, dim)
+            word = np.fromiter((known[w] for words in said for w in words), np.int64)
+            times = np.fromiter((n for words in said for n in words.values()), np.float64)
+            np.add.at(out[block], (np.repeat(np.arange(len(said)), [len(words) for words in said]), at[word]), sign[word] * times)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0)
 

@@ -1,5 +1,6 @@
 """What only larger tables hold: long texts, values near zero, many and large rows."""
 
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -112,6 +113,19 @@ def test_words_of_a_long_text_are_counted_part_by_part(monkeypatch):
     assert embedding._words(text) == {"ab": 100, "cd": 50, "ef": 50, "x" * 40: 1} and embedding.hash_embed([text, None, ""]).tolist() == whole
 
 
+def test_embedding_holds_the_words_of_few_texts_at_a_time():
+    """Of many texts with words of their own, a part is counted at a time, and no word is kept."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(20_000)) for k in range(10)]
+    embedding.hash_embed(texts[:1])
+    tracemalloc.start()
+    try:
+        made = embedding.hash_embed(texts)
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert made.shape == (10, 64) and kept < 1 << 20 and most < 20 << 20
+
+
 def test_each_string_is_counted_once():
     """Sentences, paragraphs and chunks aren't counted again and again, and words are cut up for many texts at once."""
     asked = Counter()
