@@ -51,8 +51,9 @@ def prepared(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     ids = fit.withColumn("document_id", document_id(F.col("source")))
     text_ = F.when(F.col("content_type") == "image", None).otherwise(F.col("content"))
     ids = ids.withColumn("_kind", text.language(text_, F.col("source")))  # told once
-    clean = F.when(F.col("content_type") == "image", F.col("content")).otherwise(markup.preprocess(F.col("content"), F.col("_kind"), config.preprocessing))
-    return ids.withColumn("content", clean).drop("_kind"), unfit.select("source", "reason")
+    ids = ids.withColumn("_needed", F.coalesce(text.needs_preprocessing(text_, F.col("_kind")), F.lit(False)))  # searched once, and not for images
+    clean = F.when(F.col("content_type") == "image", F.col("content")).otherwise(markup.preprocess(F.col("content"), F.col("_kind"), config.preprocessing, F.col("_needed")))
+    return ids.withColumn("content", clean).drop("_kind", "_needed"), unfit.select("source", "reason")
 
 
 def last_of_each(ready: DataFrame, order: str | None = None) -> DataFrame:

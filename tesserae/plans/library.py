@@ -185,7 +185,7 @@ def fence_aliases(spark, sf_dir: str) -> DataFrame:
 
 def _by_lines(docs: DataFrame, config: ingest.Config) -> DataFrame:
     """A chunking strategy of its own: a chunk per line."""
-    lines = F.posexplode(F.filter(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: text.trim(x) != ""))
+    lines = F.posexplode(F.filter(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: ~text.blank(x)))
     return docs.select("document_id", "source", "content_type", lines.alias("chunk_index", "content")).withColumn("token_count", text.word_tokens(F.col("content")))
 
 

@@ -82,6 +82,20 @@ def test_preparing_documents_sends_plain_ones_nowhere(long_texts):
     assert sent_to_python(ingest.prepared(docs, ingest.Config(preprocessing="balanced"))[0]) < 100_000
 
 
+def test_preparing_documents_sends_no_images_text(spark):
+    """An image's text stays as it is, so it isn't searched for diagrams."""
+    docs = spark.range(200).coalesce(1).selectExpr("concat('d/', id, '.txt') AS source", "'' AS title", "concat('```mermaid\n', repeat('A --> B\n', 1500), '```') AS content", "if(id >= 0, 'image', 'text') AS content_type")
+    clean = ingest.prepared(docs, ingest.Config(mode="multimodal", preprocessing="rich"))[0]
+    assert sent_to_python(clean) < 100_000
+    assert {r.content for r in clean.collect()} == {"```mermaid\n" + "A --> B\n" * 1500 + "```"}
+
+
+def test_ingest_chunks_shuffles_nothing(spark):
+    """Documents are read once and each is worked on alone, so the work grows as the input does."""
+    plan = entry.queries()["ingest_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+
+
 def test_diagrams_column_equals_the_plain_function(spark):
     texts = ["", "a", "```mermaid```", "```MerMaid\nA --> B```x```mermaid\nA --- B\n```", "```mermaid\nA --> B", "$1 \\ ```mermaid\nA[$1\\] --> B\n```\n\n\nz ```js\n```", None]
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", markup.diagrams_column(F.col("t")).alias("t")).collect()
